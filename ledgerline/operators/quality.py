@@ -3,15 +3,14 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.frames import match_nulls_join, require_columns
+from ledgerline.functions.frames import require_columns
 from ledgerline.functions.scalars import (
     PLAIN_COUNT_TEXT,
-    clean_name,
     strategy_name,
     strict_decimal,
     strict_integer,
 )
-from ledgerline.operators.samples import SERIES, series_totals
+from ledgerline.operators.samples import INTERVAL_SECONDS, SERIES, billed_rate
 from ledgerline.schemas import SAMPLE_COLUMNS
 
 # Names, ranges and limits that a sample or a run is held to.
@@ -33,52 +32,53 @@ def run_of_file(name):
     return F.regexp_extract(name, RUN_FILE, 1), F.regexp_extract(name, RUN_FILE, 2)
 
 
-def check_samples(raw: DataFrame, rules="load") -> DataFrame:
-    """Typed sample columns beside ``reasons``, a text that is empty for a good row.
+def sample_rules(rules="load"):
+    """(valid, reasons, typed columns) of a sample row in text.
 
     ``rules="load"`` asks for numbers only and cleans the strategy name; ``rules="full"`` also
-    asks for a known strategy exactly as written and for plausible ranges.
+    asks for a known strategy exactly as written and for plausible ranges. ``valid`` reads each
+    field once, so that filtering by it stays cheap; ``reasons`` says all that is wrong.
     """
-    require_columns(raw, SAMPLE_COLUMNS, "samples")
-    text = {name: F.col(name) for name in SAMPLE_COLUMNS}
-    executors = strict_integer(text["executor_count"], "int")
-    cpu = strict_decimal(text["cpu_millicores"])
-    memory = strict_decimal(text["memory_mib"])
-    stamp = strict_integer(text["timestamp"])
+    executors = strict_integer(F.col("executor_count"), "int")
+    cpu = strict_decimal(F.col("cpu_millicores"))
+    memory = strict_decimal(F.col("memory_mib"))
+    stamp = strict_integer(F.col("timestamp"))
     reasons = [
-        F.when(stamp.isNull(), F.lit("non-numeric timestamp")),
-        F.when(executors.isNull(), F.lit("non-numeric executor_count")),
-        F.when(cpu.isNull(), F.lit("non-numeric cpu_millicores")),
-        F.when(memory.isNull(), F.lit("non-numeric memory_mib")),
+        (F.col("strategy").isNull(), "missing strategy"),
+        (stamp.isNull(), "non-numeric timestamp"),
+        (executors.isNull(), "non-numeric executor_count"),
+        (cpu.isNull(), "non-numeric cpu_millicores"),
+        (memory.isNull(), "non-numeric memory_mib"),
     ]
     if rules == "full":
-        known = F.coalesce(text["strategy"].isin(KNOWN_STRATEGIES), F.lit(False))
+        known = F.col("strategy").isin(KNOWN_STRATEGIES)
         reasons += [
-            F.when(~known, F.lit("unknown strategy")),
-            F.when(~executors.between(*EXECUTOR_RANGE), F.lit("executor_count out of range")),
-            F.when(cpu < 0, F.lit("negative cpu_millicores")),
-            F.when(memory < 0, F.lit("negative memory_mib")),
+            (~known, "unknown strategy"),
+            (~executors.between(*EXECUTOR_RANGE), "executor_count out of range"),
+            (cpu < 0, "negative cpu_millicores"),
+            (memory < 0, "negative memory_mib"),
         ]
+        in_range = (executors >= EXECUTOR_RANGE[0]) & (executors <= EXECUTOR_RANGE[1])
+        valid = known & stamp.isNotNull() & in_range & (cpu >= 0) & (memory >= 0)
+    else:
+        present = F.col("strategy").isNotNull() & stamp.isNotNull() & executors.isNotNull()
+        valid = present & cpu.isNotNull() & memory.isNotNull()
     typed = {
-        "strategy_text": text["strategy"],
-        "strategy": strategy_name(text["strategy"]),
+        "strategy": strategy_name(F.col("strategy")),
         "timestamp": stamp,
         "executor_count": executors,
         "cpu_millicores": cpu,
         "memory_mib": memory,
-        "reasons": F.concat_ws("; ", *reasons),
     }
-    return raw.withColumns(typed)
+    texts = [F.when(wrong, F.lit(text)) for wrong, text in reasons]
+    return F.coalesce(valid, F.lit(False)), F.concat_ws("; ", *texts), typed
 
 
 def split_samples(raw: DataFrame, rules="load") -> tuple[DataFrame, DataFrame]:
     """(good, rejects); rejects keep the text as it came, with the reasons."""
-    good = check_samples(raw, rules).filter(F.col("reasons") == "").drop("reasons", "strategy_text")
-    kept = raw.withColumn("as_read", F.struct(*raw.columns))
-    rejects = (
-        check_samples(kept, rules).filter(F.col("reasons") != "").select("as_read.*", "reasons")
-    )
-    return good, rejects
+    require_columns(raw, SAMPLE_COLUMNS, "samples")
+    valid, reasons, typed = sample_rules(rules)
+    return raw.filter(valid).withColumns(typed), raw.filter(~valid).withColumn("reasons", reasons)
 
 
 def reading_warnings(raw: DataFrame, fields=("executor_count", "cpu_millicores", "memory_mib")) -> DataFrame:
@@ -92,14 +92,16 @@ def reading_warnings(raw: DataFrame, fields=("executor_count", "cpu_millicores",
 
 def complete_runs(raw: DataFrame) -> DataFrame:
     """One row per results file: readable, and holding all three strategies?"""
-    checked = check_samples(raw)
-    held = [F.bool_or(F.col("strategy") == name) for name in COMPLETE_RUN]
+    require_columns(raw, SAMPLE_COLUMNS, "samples")
+    valid, _, _ = sample_rules()
+    strategy = strategy_name(F.col("strategy"))
+    held = [F.bool_or(strategy == name) for name in COMPLETE_RUN]
     run_id, mode = run_of_file(F.col("file"))
     return (
-        checked.groupBy("file")
+        raw.groupBy("file")
         .agg(
             F.count(F.lit(1)).alias("sample_count"),
-            F.bool_and(F.col("reasons") == "").alias("readable"),
+            F.bool_and(valid).alias("readable"),
             F.coalesce(held[0] & held[1] & held[2], F.lit(False)).alias("has_all_strategies"),
         )
         .select(
@@ -119,8 +121,8 @@ def newest_complete_run(raw: DataFrame) -> DataFrame:
     return complete_runs(raw).filter("complete").orderBy(F.desc("file")).limit(1)
 
 
-def _series_facts(samples: DataFrame) -> DataFrame:
-    """Head, tail and peak facts per series.
+def _order_facts(samples: DataFrame) -> DataFrame:
+    """Head and tail facts per series.
 
     Samples that share second and executor count are interchangeable, so they are counted into
     one row; positions come from running sums of these counts.
@@ -143,7 +145,7 @@ def _series_facts(samples: DataFrame) -> DataFrame:
     executors = F.col("executors")
     active_rows = F.greatest(F.lit(0), F.least(F.col("n"), F.col("active") - F.col("start")))
     gap_end = F.min(F.when(F.col("upto") >= F.col("measured"), F.col("timestamp")))
-    order_facts = placed.groupBy(*SERIES).agg(
+    return placed.groupBy(*SERIES).agg(
         F.try_divide(
             (gap_end - F.min("timestamp")).cast("double"), F.max("measured") - 1
         ).alias("mean_gap"),
@@ -152,14 +154,16 @@ def _series_facts(samples: DataFrame) -> DataFrame:
         F.min(F.when(F.col("upto") > F.col("active"), executors)).alias("idle_min"),
         F.max(F.when(F.col("start") < F.col("active"), executors)).alias("active_max"),
     )
-    signs = samples.groupBy(*SERIES).agg(
+
+
+def _level_facts(samples: DataFrame) -> DataFrame:
+    return samples.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        F.max("executor_count").alias("peak_executor_count"),
+        (F.sum(billed_rate()) * INTERVAL_SECONDS).alias("simulated_cost_usd"),
         F.count_if(F.col("cpu_millicores") < 0).alias("negative_cpu"),
         F.count_if(F.col("memory_mib") < 0).alias("negative_memory"),
     )
-    totals = series_totals(samples).select(
-        *SERIES, "sample_count", "peak_executor_count", "simulated_cost_usd"
-    )
-    return match_nulls_join(match_nulls_join(order_facts, totals, SERIES), signs, SERIES)
 
 
 def _verdict(name, passed, observed, bound):
@@ -176,7 +180,8 @@ def run_checks(samples: DataFrame) -> DataFrame:
 
     ``passed`` is null where the check does not apply to the series.
     """
-    facts = _series_facts(samples)
+    levels = _level_facts(samples)
+    facts = levels.join(_order_facts(samples), SERIES, "left")
     fact = {name: F.col(name) for name in facts.columns}
     strategy, cost, peak = fact["strategy"], fact["simulated_cost_usd"], fact["peak_executor_count"]
     known = strategy.isin(COMPLETE_RUN)
@@ -208,7 +213,7 @@ def run_checks(samples: DataFrame) -> DataFrame:
         _verdict("positive_cost", cost > 0, cost, "> 0"),
         _verdict("cost_range", cost.between(*COST_RANGE), cost, "0.0001 to 1.0"),
     ]
-    runs = facts.groupBy("run_id").agg(
+    runs = levels.groupBy("run_id").agg(
         F.count_if(known).alias("held"),
         F.min(F.when(peak == MAX_EXECUTORS, cost)).alias("cheapest_full"),
         F.max(F.when(peak == 1, cost)).alias("dearest_single"),

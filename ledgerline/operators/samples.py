@@ -8,7 +8,6 @@ series has, the window over it is no longer than the run is in seconds.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.frames import match_nulls_join
 from ledgerline.functions.scalars import (
     EXECUTOR_MIB,
     EXECUTOR_MILLICORES,
@@ -19,6 +18,7 @@ from ledgerline.functions.scalars import (
 )
 
 SERIES = ["run_id", "strategy"]
+INTERVAL_SECONDS = 10
 SUMMARY_COLUMNS = [
     "run_id", "strategy", "duration_seconds", "observed_seconds",
     "scale_up_latency_seconds", "scale_down_time_seconds",
@@ -55,7 +55,7 @@ def cpu_utilisation():
     return F.when(F.col("executor_count") > 0, percent(share))
 
 
-def series_totals(samples: DataFrame, interval_seconds=10, strict=False) -> DataFrame:
+def series_totals(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=False) -> DataFrame:
     """Everything about a series that does not depend on the order of its samples."""
     totals = samples.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("sample_count"),
@@ -114,12 +114,12 @@ def scaling_times(samples: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(samples: DataFrame, interval_seconds=10, strict=False) -> DataFrame:
+def cost_summary(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=False) -> DataFrame:
     totals = series_totals(samples, interval_seconds, strict)
-    return match_nulls_join(totals, scaling_times(samples), SERIES).select(*SUMMARY_COLUMNS)
+    return totals.join(scaling_times(samples), SERIES, "left").select(*SUMMARY_COLUMNS)
 
 
-def compare_strategies(samples: DataFrame, interval_seconds=10) -> DataFrame:
+def compare_strategies(samples: DataFrame, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
     """Summaries of each run, cheapest strategy first."""
     return cost_summary(samples, interval_seconds).orderBy("run_id", "simulated_cost_usd", "strategy")
 
@@ -185,7 +185,7 @@ def dead_metrics(samples: DataFrame) -> DataFrame:
     )
 
 
-def minute_rollup(samples: DataFrame, interval_seconds=10, lateness="30 seconds") -> DataFrame:
+def minute_rollup(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="30 seconds") -> DataFrame:
     """Peak, average and cost per minute and strategy; the same code in batch and on a stream."""
     stamped = samples.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", lateness)
     return (

@@ -81,17 +81,19 @@ def counter_rate(counter: DataFrame, window_seconds=60) -> DataFrame:
     )
 
 
-def latest(series: DataFrame, keys, value) -> DataFrame:
-    """Value of the last second per group; equal seconds keep the larger value."""
-    known = series.filter(F.col(value).isNotNull())
-    newest = F.max(F.struct("ts", value)).getField(value)
-    return known.groupBy(*keys).agg(newest.alias(value))
+def on_grid(df: DataFrame, step_seconds) -> DataFrame:
+    return df.withColumn("step", F.floor(F.col("ts") / step_seconds) * step_seconds)
+
+
+def last_of_step(df: DataFrame, keys, value, step_seconds) -> DataFrame:
+    """Value of the last second of each step; ``df`` has one row per key and second."""
+    known = on_grid(df, step_seconds).filter(F.col(value).isNotNull())
+    return known.groupBy(*keys, "step").agg(F.max_by(value, "ts").alias(value))
 
 
 def cpu_millicores(rates: DataFrame, step_seconds=10) -> DataFrame:
     """Millicores in use per strategy on a time grid: each pod's last rate of the step, summed."""
-    stepped = rates.withColumn("step", F.floor(F.col("ts") / step_seconds) * step_seconds)
-    per_pod = latest(stepped, [*POD_SERIES, "step"], "rate")
+    per_pod = last_of_step(rates, POD_SERIES, "rate", step_seconds)
     return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy"), "step").agg(
         (F.sum("rate") * 1000).alias("cpu_millicores"),
         F.count(F.lit(1)).alias("series"),
@@ -99,8 +101,9 @@ def cpu_millicores(rates: DataFrame, step_seconds=10) -> DataFrame:
 
 
 def memory_mib(working_set: DataFrame) -> DataFrame:
-    """MiB in use per strategy: last reading of each container, summed."""
-    per_pod = latest(working_set, POD_SERIES, "value")
+    """MiB in use per strategy: last reading of each container, summed; equal seconds keep the larger."""
+    last = F.max(F.struct("ts", "value")).getField("value")
+    per_pod = working_set.groupBy(*POD_SERIES).agg(last.alias("value"))
     return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy")).agg(
         (F.sum("value") / 1048576).alias("memory_mib"), F.count(F.lit(1)).alias("series")
     )
@@ -163,15 +166,11 @@ def _spans(rows: DataFrame, keys, ts, state) -> DataFrame:
 
 def autoscaler_readings(metrics: DataFrame, step_seconds=10) -> DataFrame:
     """What the autoscalers look at, on a time grid: (strategy, signal, step, value), averaged over pods."""
-
-    def grid(df):
-        return df.withColumn("step", F.floor(F.col("ts") / step_seconds) * step_seconds)
-
-    heap = latest(grid(heap_percent(metrics)), ["pod", "step"], "heap_pct").select(
+    heap = last_of_step(heap_percent(metrics), ["pod"], "heap_pct", step_seconds).select(
         "pod", "step", F.lit("heap_pct").alias("signal"), F.col("heap_pct").alias("value")
     )
     counter = select_series(metrics, CPU_COUNTER, real_containers=True)
-    rates = latest(grid(counter_rate(counter)), [*POD_SERIES, "step"], "rate")
+    rates = last_of_step(counter_rate(counter), POD_SERIES, "rate", step_seconds)
     per_pod = rates.groupBy("pod", "step").agg(F.sum("rate").alias("rate"))
     cpu = per_pod.select(
         "pod",
