@@ -107,6 +107,6 @@ def read_lines(spark, path) -> DataFrame:
 
 def read_answers(spark, path) -> DataFrame:
     """Metric answers: one JSON document per file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("scrape"), F.col("value").alias("answer")
     )

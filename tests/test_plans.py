@@ -1,0 +1,41 @@
+"""What the optimised plans must and must not contain."""
+
+import pytest
+
+from ledgerline.plans.catalog import QUERIES
+
+STREAMS = {"stream_rollup", "stream_ingest"}
+
+
+def plan(df, physical=False):
+    execution = df._jdf.queryExecution()
+    return (execution.executedPlan() if physical else execution.optimizedPlan()).toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
+def test_no_python_and_no_cross_join(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir), physical=True)
+    for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in text
+
+
+def test_score_has_no_window_and_folds_pairs_first(spark, sf_dir):
+    text = plan(QUERIES["steam_heavy"](spark, sf_dir))
+    assert "Window" not in text
+    assert "Repartition" not in text
+    assert "Aggregate [user_id" in text
+
+
+def test_scans_read_only_what_is_needed(spark, sf_dir):
+    text = plan(QUERIES["top_games"](spark, sf_dir), physical=True)
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in text
+    text = plan(QUERIES["by_property_type"](spark, sf_dir), physical=True)
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
+
+
+def test_one_sketch_for_all_percentiles(spark, sf_dir):
+    assert plan(QUERIES["affordability_gap"](spark, sf_dir)).count("percentile_approx(") == 1
+
+
+def test_only_the_asked_metric_is_built(spark, sf_dir):
+    assert plan(QUERIES["live_count"](spark, sf_dir), physical=True).count("FileScan") == 1
