@@ -114,6 +114,13 @@ def scaling_times(samples: DataFrame) -> DataFrame:
     )
 
 
+def started_samples(samples: DataFrame) -> DataFrame:
+    """Samples from the first second with running executors on; a series without any has none."""
+    first_running = F.min(F.when(F.col("executor_count") > 0, F.col("timestamp")))
+    starts = samples.groupBy(*SERIES).agg(first_running.alias("started")).filter("started IS NOT NULL")
+    return samples.join(starts, SERIES).filter(F.col("timestamp") >= F.col("started")).drop("started")
+
+
 def cost_summary(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=False) -> DataFrame:
     totals = series_totals(samples, interval_seconds, strict)
     return totals.join(scaling_times(samples), SERIES, "left").select(*SUMMARY_COLUMNS)

@@ -128,8 +128,8 @@ QUERIES = {
     "top_games": _reviews_query(reviews.top_games),
     "sentiment": _reviews_query(reviews.sentiment),
     "user_activity": _reviews_query(reviews.user_activity),
-    "rank_in_library": _reviews_query(reviews.rank_in_library),
-    "banded_rank": _reviews_query(reviews.banded_rank),
+    "rank_in_library": lambda spark, sf_dir: reviews.rank_in_library(tables.reviews(spark, sf_dir)),
+    "banded_rank": lambda spark, sf_dir: reviews.banded_rank(tables.reviews(spark, sf_dir)),
     "top_games_contract": _reviews_query(lambda df: reviews.top_games(df, "recommendation_count")),
     "app_sentiment": _reviews_query(reviews.app_sentiment),
     "sentiment_ratio": _reviews_query(reviews.sentiment_ratio),
@@ -146,6 +146,7 @@ QUERIES = {
     "affordability_gap_exact": _sales_query(lambda df: prices.affordability_gap(df, exact=True)),
     "county_contract": _sales_query(prices.county_contract),
     "yoy_trend": _sales_query(prices.yoy_trend),
+    "started_samples": _samples_query(samples.started_samples),
     "cost_summary": _samples_query(samples.cost_summary),
     "compare_strategies": _samples_query(samples.compare_strategies),
     "metric_winners": _samples_query(lambda df: samples.metric_winners(samples.cost_summary(df))),

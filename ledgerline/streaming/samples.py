@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators.quality import split_samples
-from ledgerline.operators.samples import minute_rollup
+from ledgerline.operators.samples import INTERVAL_SECONDS, minute_rollup
 from ledgerline.schemas import SAMPLE_COLUMNS, text_schema
 from ledgerline.sources.shared import shared_folder
 
@@ -38,19 +38,32 @@ def ingest(raw: DataFrame, folder: str, rules="full", every=None):
     return paths, running
 
 
-def ingest_now(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def finish(running) -> None:
+    """Wait for all queries; when one fails, stop the others."""
+    try:
+        for query in running:
+            query.awaitTermination()
+    finally:
+        for query in running:
+            query.stop()
+
+
+def ingest_now(raw: DataFrame, rules="full") -> tuple[DataFrame, DataFrame]:
     """Run the ingest over all present input; (good, rejects) as written."""
     spark = raw.sparkSession
-    paths, running = ingest(raw, shared_folder(spark, "ingest"))
-    for query in running:
-        query.awaitTermination()
-    return spark.read.parquet(paths["good"]), spark.read.parquet(paths["rejects"])
+    good, rejects = split_samples(raw, rules)
+    paths, running = ingest(raw, shared_folder(spark, "ingest"), rules)
+    finish(running)
+    return (
+        spark.read.schema(good.schema).parquet(paths["good"]),
+        spark.read.schema(rejects.schema).parquet(paths["rejects"]),
+    )
 
 
-def rollup_now(samples: DataFrame, interval_seconds=10, lateness="30 seconds") -> DataFrame:
+def rollup_now(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="30 seconds") -> DataFrame:
     """Run the minute rollup over all present input; holds the minutes the watermark has closed."""
     spark = samples.sparkSession
     folder = shared_folder(spark, "rollup")
     rollup = minute_rollup(samples, interval_seconds, lateness)
-    write_stream(rollup, f"{folder}/minutes", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/minutes")
+    finish([write_stream(rollup, f"{folder}/minutes", f"{folder}/checkpoint")])
+    return spark.read.schema(rollup.schema).parquet(f"{folder}/minutes")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from ledgerline.operators.reviews import banded_rank
 from ledgerline.plans.catalog import QUERIES
 
 STREAMS = {"stream_rollup", "stream_ingest"}
@@ -39,3 +40,33 @@ def test_one_sketch_for_all_percentiles(spark, sf_dir):
 
 def test_only_the_asked_metric_is_built(spark, sf_dir):
     assert plan(QUERIES["live_count"](spark, sf_dir), physical=True).count("FileScan") == 1
+
+
+@pytest.fixture()
+def small_skew(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_a_hot_tie_is_split_when_ranks_join_back(spark, small_skew):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(
+        "cast(id as string) AS app_id", "if(id < 150000, 'hot', cast(id div 10 as string)) AS user_id",
+        "'true' AS is_recommended", "cast(if(id < 120000, 0, id) as float) AS hours",
+    )
+    ranked = banded_rank(rows)
+    assert ranked.filter("user_id = 'hot' AND hours = 0 AND rank_in_library = 30001").count() == 120_000
+    ranked.collect()
+    assert "skew=true" in plan(ranked, physical=True)

@@ -4,9 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerline.functions.scalars import cost_rate, strategy_label
 from ledgerline.operators import samples as ops
-from pyspark.sql import functions as F
 
 SCHEMA = "run_id string, strategy string, timestamp bigint, executor_count int, cpu_millicores double, memory_mib double"
 NODE_SECOND = 0.09576 / 3600
@@ -67,6 +68,11 @@ def test_duration(spark):
     assert summary(spark, *[(10 * i, 1, 1, 1) for i in range(12)])["duration_seconds"] == 120
 
 
+def test_samples_start_with_the_first_running_executor(spark):
+    df = series(spark, (0, 0, 9, 9), (10, 1, 1, 1), (20, 0, 1, 1)).unionAll(series(spark, (0, 0, 1, 1), strategy="dra"))
+    assert sorted((r["strategy"], r["timestamp"]) for r in ops.started_samples(df).collect()) == [("keda", 10), ("keda", 20)]
+
+
 def three(spark):
     parts = {"dra": (1, 500, 256), "keda": (2, 1800, 900), "hpa": (3, 2800, 1400)}
     out = None

@@ -71,6 +71,16 @@ def test_late_samples_are_dropped(spark, tmp_path):
     assert step() == {(0, 1), (180, 2)}
 
 
+def test_no_rejects_is_an_empty_table(spark, tmp_path):
+    folder = tmp_path / "clean"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + "keda,10,1,100,1\n")
+    good, rejects = ops.ingest_now(ops.stream_samples(spark, str(folder)))
+    assert (good.count(), rejects.count()) == (1, 0)
+    closed = ops.rollup_now(split_samples(ops.stream_samples(spark, str(folder)))[0])
+    assert closed.count() == 0
+
+
 def test_header_must_match(spark, tmp_path):
     folder = tmp_path / "swapped"
     folder.mkdir()
