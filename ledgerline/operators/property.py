@@ -7,6 +7,8 @@ from ledgerline.functions.frames import match_nulls_join
 from ledgerline.functions.scalars import rounded_ratio, sale_year, to_long
 
 PRICE_STEP = 10_000
+MIN_SALES = 100
+GAP_PER_MILLE = (100, 500, 900)
 
 
 def clean_sales(raw: DataFrame) -> DataFrame:
@@ -62,60 +64,52 @@ def exact_percentiles(sales: DataFrame, keys, per_mille) -> DataFrame:
     )
 
 
-def price_stats(sales: DataFrame, keys, exact=False, per_mille=(500,)) -> DataFrame:
-    """keys, total_sales, avg_price, max_price, min_price and one p<n> column per percentile.
-
-    The default percentile is the mergeable sketch, one for all percentiles; ``exact`` walks
-    counted prices instead.
-    """
-    plain = [
+def _plain_stats():
+    return [
         F.count(F.lit(1)).alias("total_sales"),
         F.avg("price").alias("avg_price"),
         F.max("price").alias("max_price"),
         F.min("price").alias("min_price"),
     ]
+
+
+def _sketched(per_mille):
+    """One mergeable sketch for all percentiles."""
+    return F.percentile_approx("price", F.array(*[F.lit(p / 1000) for p in per_mille])).alias("points")
+
+
+def price_stats(sales: DataFrame, keys, exact=False, per_mille=(500,)) -> DataFrame:
+    """keys, total_sales, avg_price, max_price, min_price and one p<n> column per percentile.
+
+    Percentiles come from the approximate sketch; ``exact`` walks counted prices instead.
+    """
     if exact:
-        stats = sales.groupBy(*keys).agg(*plain)
+        stats = sales.groupBy(*keys).agg(*_plain_stats())
         return match_nulls_join(stats, exact_percentiles(sales, keys, per_mille), keys, "left").drop("priced")
-    shares = F.array(*[F.lit(p / 1000) for p in per_mille])
-    stats = sales.groupBy(*keys).agg(*plain, F.percentile_approx("price", shares).alias("points"))
-    return stats.select(
-        *keys, "total_sales", "avg_price", "max_price", "min_price",
-        *[F.col("points")[i].alias(f"p{p}") for i, p in enumerate(per_mille)],
-    )
+    points = [F.col("points")[i].alias(f"p{p}") for i, p in enumerate(per_mille)]
+    stats = sales.groupBy(*keys).agg(*_plain_stats(), _sketched(per_mille))
+    return stats.select(*keys, "total_sales", "avg_price", "max_price", "min_price", *points)
 
 
-def by_county(sales: DataFrame, exact=False) -> DataFrame:
-    return (
-        price_stats(sales, ["county"], exact)
-        .select("county", "total_sales", "avg_price", F.col("p500").alias("median_price"), "max_price", "min_price")
-        .orderBy(F.desc("median_price"), "county")
-    )
+def _county_table(stats):
+    return stats.select(
+        "county", "total_sales", "avg_price", F.col("p500").alias("median_price"), "max_price", "min_price"
+    ).orderBy(F.desc("median_price"), "county")
 
 
-def by_year(sales: DataFrame, exact=False) -> DataFrame:
-    return (
-        price_stats(sales, ["year"], exact)
-        .select("year", "total_sales", F.col("p500").alias("median_price"), "avg_price")
-        .orderBy("year")
-    )
+def _year_table(stats):
+    return stats.select("year", "total_sales", F.col("p500").alias("median_price"), "avg_price").orderBy("year")
 
 
-def by_property_type(sales: DataFrame, exact=False) -> DataFrame:
-    return (
-        price_stats(sales, ["property_type"], exact)
-        .select(
-            "property_type", F.col("total_sales").alias("count"), F.col("p500").alias("median_price"), "avg_price"
-        )
-        .orderBy(F.desc("count"), "property_type")
-    )
+def _type_table(stats):
+    return stats.select(
+        "property_type", F.col("total_sales").alias("count"), F.col("p500").alias("median_price"), "avg_price"
+    ).orderBy(F.desc("count"), "property_type")
 
 
-def affordability_gap(sales: DataFrame, min_sales=100, exact=False) -> DataFrame:
-    """Ratio of the dear to the cheap end per district, for districts above ``min_sales`` sales."""
+def _gap_table(stats, min_sales):
     return (
-        price_stats(sales, ["district", "county"], exact, per_mille=(100, 500, 900))
-        .filter(F.col("total_sales") > min_sales)
+        stats.filter(F.col("total_sales") > min_sales)
         .select(
             "district",
             "county",
@@ -129,6 +123,62 @@ def affordability_gap(sales: DataFrame, min_sales=100, exact=False) -> DataFrame
     )
 
 
+def by_county(sales: DataFrame, exact=False) -> DataFrame:
+    return _county_table(price_stats(sales, ["county"], exact))
+
+
+def by_year(sales: DataFrame, exact=False) -> DataFrame:
+    return _year_table(price_stats(sales, ["year"], exact))
+
+
+def by_property_type(sales: DataFrame, exact=False) -> DataFrame:
+    return _type_table(price_stats(sales, ["property_type"], exact))
+
+
+def affordability_gap(sales: DataFrame, min_sales=MIN_SALES, exact=False) -> DataFrame:
+    """Ratio of the dear to the cheap end per district, for districts above ``min_sales`` sales."""
+    return _gap_table(price_stats(sales, ["district", "county"], exact, GAP_PER_MILLE), min_sales)
+
+
+def report_stats(sales: DataFrame) -> DataFrame:
+    """The groups of all four price tables from one pass over the sales, told apart by ``result``.
+
+    The sales are read once and only partial statistics are shuffled; the outcome has one row
+    per group and is small enough to persist for the four writes.
+    """
+    keys = ["county", "year", "property_type", "district"]
+    grouped = sales.groupingSets(
+        [["county"], ["year"], ["property_type"], ["district", "county"]], *[F.col(key) for key in keys]
+    )
+    stats = grouped.agg(
+        *_plain_stats(), _sketched(GAP_PER_MILLE), *[F.grouping(key).alias(f"{key}_rolled") for key in keys]
+    )
+    result = (
+        F.when(F.col("year_rolled") == 0, "by_year")
+        .when(F.col("property_type_rolled") == 0, "by_property_type")
+        .when(F.col("district_rolled") == 0, "affordability_gap")
+        .otherwise("by_county")
+    )
+    points = [F.col("points")[i].alias(f"p{p}") for i, p in enumerate(GAP_PER_MILLE)]
+    return stats.select(
+        result.alias("result"), *keys, "total_sales", "avg_price", "max_price", "min_price", *points
+    )
+
+
+def property_report(stats: DataFrame, min_sales=MIN_SALES) -> dict:
+    """The four price tables from ``report_stats``."""
+
+    def part(name):
+        return stats.filter(F.col("result") == name)
+
+    return {
+        "by_county": _county_table(part("by_county")),
+        "by_year": _year_table(part("by_year")),
+        "by_property_type": _type_table(part("by_property_type")),
+        "affordability_gap": _gap_table(part("affordability_gap"), min_sales),
+    }
+
+
 def county_contract(sales: DataFrame) -> DataFrame:
     return sales.groupBy("county").agg(
         F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("transaction_count")
@@ -146,13 +196,3 @@ def yoy_trend(sales: DataFrame, exact=False) -> DataFrame:
         previous.alias("previous_median"),
         F.try_divide((F.col("median_price") - previous) * 100.0, previous).alias("change_pct"),
     )
-
-
-def property_report(sales: DataFrame, exact=False) -> dict:
-    """The four price tables over one cleaned input. Persist ``sales`` when writing all four."""
-    return {
-        "by_county": by_county(sales, exact),
-        "by_year": by_year(sales, exact),
-        "by_property_type": by_property_type(sales, exact),
-        "affordability_gap": affordability_gap(sales, exact=exact),
-    }

@@ -140,6 +140,7 @@ QUERIES = {
     "by_year": _sales_query(prices.by_year),
     "by_property_type": _sales_query(prices.by_property_type),
     "affordability_gap": _sales_query(prices.affordability_gap),
+    "property_report": _sales_query(prices.report_stats),
     "by_county_exact": _sales_query(lambda df: prices.by_county(df, exact=True)),
     "by_year_exact": _sales_query(lambda df: prices.by_year(df, exact=True)),
     "by_property_type_exact": _sales_query(lambda df: prices.by_property_type(df, exact=True)),

@@ -22,6 +22,7 @@ class Job:
     weight: str
     inputs: dict
     build: Callable
+    shared: Callable | None = None
     results: list = field(default_factory=list)
     sink: Callable = write_single
 
@@ -53,8 +54,8 @@ REGISTRY = {
             },
         ),
         Job(
-            "property_prices", HEAVY, {"sales": read_sales},
-            lambda sales: prices.property_report(sales),
+            "property_prices", HEAVY, {"sales": read_sales}, prices.property_report,
+            shared=lambda sales: prices.report_stats(prices.clean_sales(sales)),
             results=["by_county", "by_year", "by_property_type", "affordability_gap"],
         ),
     ]
@@ -79,6 +80,8 @@ def _check_schema(name: str, df: DataFrame, expected) -> None:
 def run(spark: SparkSession, name: str, root: DataRoot, out=None, partitions=None):
     """Build a job's results and, with ``out``, write them; returns ({result: DataFrame}, seconds).
 
+    A job with several results has a small shared stage, computed once for all its writes.
+
     ``partitions`` maps an input to a round-robin partition count, for load tests; by default
     Spark sizes the partitions.
     """
@@ -88,12 +91,9 @@ def run(spark: SparkSession, name: str, root: DataRoot, out=None, partitions=Non
     for i, input_name in enumerate(job.inputs):
         count = (partitions or {}).get(input_name)
         tables[i] = tables[i].repartition(count) if count else tables[i]
-    shared = None
-    if "sales" in job.inputs:
-        cleaned = prices.clean_sales(tables[0]).select("price", "year", "property_type", "district", "county")
-        tables = [cleaned]
-        if out:
-            shared = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+    shared = job.shared(*tables) if job.shared else None
+    if shared is not None:
+        tables = [shared.persist(StorageLevel.MEMORY_AND_DISK) if out else shared]
     try:
         results = job.build(*tables)
         for result_name, schema in job.schemas.items():
@@ -103,6 +103,6 @@ def run(spark: SparkSession, name: str, root: DataRoot, out=None, partitions=Non
         elif out:
             job.sink(results[job.name], out)
     finally:
-        if shared is not None:
+        if shared is not None and out:
             shared.unpersist()
     return results, time.perf_counter() - started

@@ -27,17 +27,42 @@ def test_all_bad(spark):
     assert clean(spark, sale("NOT_A_PRICE"), sale("ALSO_BAD")).count() == 0
 
 
-@pytest.mark.parametrize("exact", [False, True])
-def test_report(spark, exact):
-    sales = clean(
+def report_sales(spark):
+    return clean(
         spark,
         *[sale(str(100000 + 1000 * i), "2015-06-15 00:00", "D", "WESTMINSTER", "GREATER LONDON") for i in range(110)],
     )
-    report = {name: [tuple(r) for r in df.collect()] for name, df in ops.property_report(sales, exact).items()}
-    assert report["affordability_gap"] == [("WESTMINSTER", "GREATER LONDON", 154000, 198000, 110000, 110, 1.8)]
-    assert report["by_county"] == [("GREATER LONDON", 110, 154500.0, 154000, 209000, 100000)]
-    assert report["by_year"] == [(2015, 110, 154000, 154500.0)]
-    assert report["by_property_type"] == [("D", 110, 154000, 154500.0)]
+
+
+REPORT = {
+    "affordability_gap": [("WESTMINSTER", "GREATER LONDON", 154000, 198000, 110000, 110, 1.8)],
+    "by_county": [("GREATER LONDON", 110, 154500.0, 154000, 209000, 100000)],
+    "by_year": [(2015, 110, 154000, 154500.0)],
+    "by_property_type": [("D", 110, 154000, 154500.0)],
+}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_single_tables(spark, exact):
+    sales = report_sales(spark)
+    for name, wanted in REPORT.items():
+        assert [tuple(r) for r in getattr(ops, name)(sales, exact=exact).collect()] == wanted
+
+
+def test_report(spark):
+    report = ops.property_report(ops.report_stats(report_sales(spark)))
+    assert {name: [tuple(r) for r in df.collect()] for name, df in report.items()} == REPORT
+
+
+def test_report_equals_the_single_tables(spark):
+    rng = random.Random(4)
+    data = [
+        (rng.randint(1, 10**6), rng.choice([2010, 2011]), rng.choice(["D", "S", None]), rng.choice(["a", "b", None]), rng.choice(["K", None]))
+        for _ in range(900)
+    ]
+    sales = spark.createDataFrame(data, "price bigint, year int, property_type string, district string, county string")
+    for name, df in ops.property_report(ops.report_stats(sales)).items():
+        assert df.collect() == getattr(ops, name)(sales).collect()
 
 
 def test_years_ascend(spark):
