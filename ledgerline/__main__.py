@@ -10,6 +10,9 @@ from ledgerline.plans.registry import DEFAULT_JOB, find_job, run
 from ledgerline.session import build_session
 from ledgerline.sources.files import DataRoot, read_samples
 
+# Fixed value: the line that log readers look for.
+ELAPSED_LINE = "[BENCHMARK] Job elapsed: {seconds:.2f}s  mode={mode}"
+
 
 def show_samples(spark, path):
     samples, _ = read_samples(spark, path)
@@ -28,7 +31,7 @@ def main(args):
     job = find_job(args[0] if args else DEFAULT_JOB)
     root = DataRoot.from_env()
     _, seconds = run(build_session(), job.name, root, out=root.output(job.name))
-    print(f"[BENCHMARK] Job elapsed: {seconds:.2f}s  mode={job.name}")
+    print(ELAPSED_LINE.format(seconds=seconds, mode=job.name))
 
 
 if __name__ == "__main__":

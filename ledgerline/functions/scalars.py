@@ -88,5 +88,5 @@ def cost_rate(cpu_millicores: Column, memory_mib: Column) -> Column:
 
 def non_negative(value: Column, field: str) -> Column:
     """The value itself; a negative one stops the job with the field named."""
-    message = F.concat(F.lit(f"{field} must be >= 0, got "), value.cast("string"))
+    message = F.concat(F.lit(f"{field} is negative: "), value.cast("string"))
     return F.when(value < 0, F.raise_error(message).cast("double")).otherwise(value)

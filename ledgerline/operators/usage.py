@@ -28,12 +28,19 @@ def _number(text):
 
 
 def answer_total(answer_json):
-    """Sum of the result values of one answer, truncated; null without results or with a bad one."""
+    """Sum of the result values of one answer, truncated; null without results or with a bad one.
+
+    The count travels with the sum, so that the answer is parsed once.
+    """
     results = F.from_json(answer_json, ANSWER_TYPE).getField("data").getField("result")
-    total = F.aggregate(
-        results, F.lit(0.0), lambda acc, row: acc + F.try_element_at(row["value"], F.lit(2)).try_cast("double")
-    )
-    return F.when(F.size(results) > 0, total.try_cast("bigint"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+
+    def add(acc, row):
+        value = F.try_element_at(row["value"], F.lit(2)).try_cast("double")
+        return F.struct((acc["total"] + value).alias("total"), (acc["n"] + 1).alias("n"))
+
+    total = F.aggregate(results, start, add, lambda acc: F.when(acc["n"] > 0, acc["total"]))
+    return total.try_cast("bigint")
 
 
 def metric_answers(answers: DataFrame, json_col="answer", out="total") -> DataFrame:
