@@ -81,6 +81,30 @@ def split_samples(raw: DataFrame, rules="load") -> tuple[DataFrame, DataFrame]:
     return raw.filter(valid).withColumns(typed), raw.filter(~valid).withColumn("reasons", reasons)
 
 
+def labelled_samples(raw: DataFrame, rules="load") -> DataFrame:
+    """All rows in one frame, for a sink that separates them by ``outcome``.
+
+    Good rows carry the typed columns; rejected ones carry ``as_read``, the row as it came, and the reasons.
+    """
+    require_columns(raw, SAMPLE_COLUMNS, "samples")
+    valid, reasons, typed = sample_rules(rules)
+    others = [F.col(name) for name in raw.columns if name not in SAMPLE_COLUMNS]
+    return raw.select(
+        *others,
+        *[F.when(valid, column).alias(name) for name, column in typed.items()],
+        F.when(~valid, F.struct(*raw.columns)).alias("as_read"),
+        F.when(~valid, reasons).alias("reasons"),
+        F.when(valid, "good").otherwise("rejected").alias("outcome"),
+    )
+
+
+def unlabelled_samples(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of ``labelled_samples``, shaped as by ``split_samples``."""
+    good = labelled.filter(F.col("outcome") == "good").drop("as_read", "reasons", "outcome")
+    rejects = labelled.filter(F.col("outcome") == "rejected").select("as_read.*", "reasons")
+    return good, rejects
+
+
 def reading_warnings(raw: DataFrame, fields=("executor_count", "cpu_millicores", "memory_mib")) -> DataFrame:
     """Per field, how many readings are not made of digits only and therefore count as 0."""
     bad = [

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.operators.quality import split_samples
+from ledgerline.operators.quality import labelled_samples, unlabelled_samples
 from ledgerline.operators.samples import INTERVAL_SECONDS, minute_rollup
 from ledgerline.schemas import SAMPLE_COLUMNS, text_schema
 from ledgerline.sources.shared import shared_folder
@@ -14,50 +14,32 @@ def stream_samples(spark: SparkSession, path: str, columns=None, **options) -> D
     return reader.option("enforceSchema", False).options(**options).csv(path)
 
 
-def write_stream(df: DataFrame, path: str, checkpoint: str, every=None):
+def write_stream(df: DataFrame, path: str, checkpoint: str, every=None, partition_by=()):
     """Append to parquet, exactly once. Without ``every`` all present input is read, then it ends."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    writer = df.writeStream.format("parquet").outputMode("append").trigger(**trigger)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    return writer.option("path", path).option("checkpointLocation", checkpoint).start()
 
 
 def ingest(raw: DataFrame, folder: str, rules="full", every=None):
-    """Good samples and rejects into two tables; returns their paths and the running queries."""
-    good, rejects = split_samples(raw, rules)
-    paths = {"good": f"{folder}/good", "rejects": f"{folder}/rejects"}
-    running = [
-        write_stream(good, paths["good"], f"{folder}/checkpoint-good", every),
-        write_stream(rejects, paths["rejects"], f"{folder}/checkpoint-rejects", every),
-    ]
-    return paths, running
+    """Validate the input once into a table that keeps good samples and rejects in separate partitions."""
+    labelled = labelled_samples(raw, rules)
+    return write_stream(labelled, f"{folder}/samples", f"{folder}/checkpoint", every, ["outcome"])
 
 
-def finish(running) -> None:
-    """Wait for all queries; when one fails, stop the others."""
-    try:
-        for query in running:
-            query.awaitTermination()
-    finally:
-        for query in running:
-            query.stop()
+def ingested(raw: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) as written so far by an ingest of ``raw``."""
+    table = raw.sparkSession.read.schema(labelled_samples(raw).schema).parquet(f"{folder}/samples")
+    return unlabelled_samples(table)
 
 
 def ingest_now(raw: DataFrame, rules="full") -> tuple[DataFrame, DataFrame]:
     """Run the ingest over all present input; (good, rejects) as written."""
-    spark = raw.sparkSession
-    good, rejects = split_samples(raw, rules)
-    paths, running = ingest(raw, shared_folder(spark, "ingest"), rules)
-    finish(running)
-    return (
-        spark.read.schema(good.schema).parquet(paths["good"]),
-        spark.read.schema(rejects.schema).parquet(paths["rejects"]),
-    )
+    folder = shared_folder(raw.sparkSession, "ingest")
+    ingest(raw, folder, rules).awaitTermination()
+    return ingested(raw, folder)
 
 
 def rollup_now(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="30 seconds") -> DataFrame:
@@ -65,5 +47,5 @@ def rollup_now(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="
     spark = samples.sparkSession
     folder = shared_folder(spark, "rollup")
     rollup = minute_rollup(samples, interval_seconds, lateness)
-    finish([write_stream(rollup, f"{folder}/minutes", f"{folder}/checkpoint")])
+    write_stream(rollup, f"{folder}/minutes", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(rollup.schema).parquet(f"{folder}/minutes")

@@ -45,6 +45,22 @@ def test_ingest_equals_batch(spark, folder):
     assert len(rows(good)) > 0 and len(rows(rejects)) > 0
 
 
+def test_ingest_is_one_query_and_goes_on_where_it_stopped(spark, tmp_path):
+    folder = tmp_path / "growing"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + "keda,10,1,100,1\nkeda,x,1,100,1\n")
+    raw, out = ops.stream_samples(spark, str(folder)), shared_folder(spark, "growing")
+
+    def step():
+        ops.ingest(raw, out).awaitTermination()
+        return tuple(df.count() for df in ops.ingested(raw, out))
+
+    assert step() == (1, 1)
+    assert step() == (1, 1)
+    (folder / "b.csv").write_text(HEADER + "hpa,10,1,100,1\nyarn,1,1,100,1\n,1,1,1,1\n")
+    assert step() == (2, 3)
+
+
 def test_rollup_equals_batch_on_closed_minutes(spark, folder):
     good, _ = split_samples(ops.stream_samples(spark, folder), "full")
     batch_good, _ = split_samples(batch(spark, folder), "full")
