@@ -148,3 +148,18 @@ def test_latencies_equal_a_sequential_walk(spark):
         for r in ops.scaling_times(spark.createDataFrame(rows, SCHEMA)).collect()
     }
     assert found == {run: walk(points) for run, points in data.items()}
+
+
+def test_a_hot_series_is_folded_before_the_window(spark):
+    """A third of a million samples of one series in five seconds, beside small series."""
+    hot = spark.range(300_000).selectExpr(
+        "'r' AS run_id", "'dra' AS strategy", "id % 5 AS timestamp", "cast(if(id % 5 = 3, 2, 1) as int) AS executor_count",
+        "100.0D AS cpu_millicores", "64.0D AS memory_mib",
+    )
+    both = hot.unionAll(series(spark, (0, 1, 1, 1), (7, 2, 1, 1)))
+    found = {r["strategy"]: r for r in ops.cost_summary(both).collect()}
+    assert found["dra"]["duration_seconds"] == 3_000_000
+    assert (found["dra"]["scale_up_latency_seconds"], found["dra"]["scale_down_time_seconds"]) == (3.0, 1.0)
+    assert found["keda"]["scale_up_latency_seconds"] == 7.0
+    folded = ops.scaling_times(both)._jdf.queryExecution().optimizedPlan().toString()
+    assert folded.index("Window") < folded.index("Aggregate [run_id", folded.index("Window"))
