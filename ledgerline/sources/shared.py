@@ -1,20 +1,24 @@
 """The shared folder for checkpoints and intermediate tables."""
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path for one run under the folder the session names in spark.checkpoint.dir.
+    """A new path for one run in the folder that the session names in spark.checkpoint.dir.
 
-    Without that setting only a local session may go on, in a temporary folder of its own.
+    Without that setting, the folder ``scratch`` of the warehouse, which a cluster shares as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerline-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: computed once, and safe from lost executors.
+
+    Runs a job. The files stay, since the caller's result still reads them.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
