@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerline.llm import simhash
+from ledgerline.llm import line_dedup, simhash, substring_dedup
 from ledgerline.sources.packages import send_package
 
 
@@ -17,8 +17,72 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark, sf_dir):
+    found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), "line")
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["finish"].cast("string")))
+    return found.select(
+        "doc_id", "n_removed", "kept_chars", F.array_join(spans, ",").alias("removed_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op5_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE = {}
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, ls[i] AS line,
+         coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)
+), units AS (
+  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM lines
+), ranked AS (
+  SELECT *, len(string_split(norm, ' ')) >= 5
+            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone
+  FROM units
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+         string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text,
+         string_agg(start || ':' || (start + length(line)), ',' ORDER BY i) FILTER (gone) AS spans
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, length(coalesce(k.text, '')) AS kept_chars,
+       coalesce(spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(13)) AS norm
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)
+), windows AS (
+  SELECT doc_id, i, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS three
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT doc_id, i FROM windows WHERE three IS NOT NULL AND length(three) > 2
+  QUALIFY row_number() OVER (PARTITION BY three ORDER BY doc_id, i) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM lines ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+), counts AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+       coalesce(c.n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
+
+ORACLE = {
+    "op2_substring_dedup": OP2_SQL,
+    "op5_line_dedup": OP5_SQL,
+}
