@@ -1,8 +1,9 @@
 """The corpus operators as queries over the given tables: name -> (spark, sf_dir) -> DataFrame."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, line_dedup, simhash, substring_dedup
+from ledgerline.llm import chat, langid, line_dedup, piece_bpe, simhash, substring_dedup
 from ledgerline.sources.packages import send_package
 
 
@@ -26,6 +27,10 @@ def op2_substring_dedup(spark, sf_dir):
     )
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return piece_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark, sf_dir):
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
@@ -48,10 +53,18 @@ def op8_chat_formatting(spark, sf_dir):
     )
 
 
+def op9_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, rows_a_language=600, most_languages=256)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
