@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, langid, line_dedup, piece_bpe, simhash, substring_dedup
+from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, simhash, substring_dedup
 from ledgerline.sources.packages import send_package
 
 
@@ -27,6 +27,12 @@ def op2_substring_dedup(spark, sf_dir):
     )
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
 def op4_sentencepiece(spark, sf_dir):
     return piece_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,6 +67,7 @@ def op9_language_id(spark, sf_dir):
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
@@ -91,6 +98,35 @@ SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, length(coalesce(k.text, ''
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS ws
+  FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS ws
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS words
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM item_words WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS words
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM doc_words, sizes WHERE len(ws) >= size)
+), found AS (
+  SELECT doc_id, item_id, i, size FROM doc_windows JOIN item_windows USING (size, words)
+), hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(13)) AS norm
@@ -136,6 +172,7 @@ FROM whole
 """
 
 ORACLE = {
+    "op3_benchmark_decontamination": OP3_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
