@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, simhash, substring_dedup
+from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, simhash, substring_dedup, url_filter
 from ledgerline.sources.packages import send_package
 
 
@@ -42,6 +42,20 @@ def op5_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
+URL_RULES = [
+    url_filter.Rule("block", "net"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op6_url_filter(spark, sf_dir):
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op8_chat_formatting(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -70,6 +84,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
@@ -149,6 +164,61 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH split AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), cut AS (
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+    CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 40 THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS ls
+  FROM split
+), lexed AS (
+  SELECT page_id, host, path, CASE WHEN len(ls) > 8 THEN list_append(ls[1:8], '**') ELSE ls END AS lex FROM cut
+), worst AS (
+  SELECT doc_id AS page_id, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT host, lex, count(bad) AS labelled, count(*) FILTER (bad) AS bad
+  FROM lexed LEFT JOIN worst USING (page_id) GROUP BY host, lex
+), places AS (
+  SELECT host, lex, d, lex[1:d - 1] AS parent, lex[d] AS segment
+  FROM (SELECT host, lex, unnest(range(1, len(lex) + 1)) AS d FROM counted)
+), wide AS (
+  SELECT host, parent FROM places GROUP BY host, parent HAVING count(DISTINCT segment) > 30
+), templates AS (
+  SELECT host, lex, list(CASE WHEN w.host IS NOT NULL AND segment NOT LIKE '*%' THEN '*' ELSE segment END ORDER BY d) AS template
+  FROM places p LEFT JOIN wide w USING (host, parent) GROUP BY host, lex
+), paths AS (
+  SELECT c.*, coalesce(template, []) AS template FROM counted c LEFT JOIN templates USING (host, lex)
+), expanded AS (
+  SELECT *, template[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(template) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT host, d, prefix, sum(labelled) AS labelled, sum(bad) AS bad FROM expanded GROUP BY host, d, prefix
+), kept AS (
+  SELECT n.host, n.d, n.prefix, (n.bad + 0.2::DOUBLE * 5.0::DOUBLE) / (n.labelled + 5.0::DOUBLE) AS share
+  FROM nodes n LEFT JOIN nodes p ON p.host = n.host AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+  WHERE n.d = 0 OR (p.labelled > 0 AND abs(n.bad - n.labelled * (p.bad::DOUBLE / p.labelled))
+    > 1.96::DOUBLE * sqrt(n.labelled * (p.bad::DOUBLE / p.labelled) * (1 - p.bad::DOUBLE / p.labelled)))
+), decided AS (
+  SELECT e.host, e.lex, e.template, k.prefix AS branch, k.share
+  FROM expanded e JOIN kept k ON k.host = e.host AND k.d = e.d AND k.prefix = e.prefix
+  QUALIFY row_number() OVER (PARTITION BY e.host, e.lex ORDER BY e.d DESC) = 1
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM lexed
+)
+SELECT page_id, r.host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN share > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  '/' || array_to_string(template, '/') AS template, '/' || array_to_string(branch, '/') AS branch, round(share, 9) AS bad_share
+FROM ruled r JOIN decided d ON d.host = r.host AND d.lex = r.lex
+"""
+
 OP8_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -172,6 +242,7 @@ FROM whole
 """
 
 ORACLE = {
+    "op6_url_filter": OP6_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op2_substring_dedup": OP2_SQL,
