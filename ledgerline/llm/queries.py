@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, simhash, substring_dedup, url_filter
+from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, secret_scan, simhash, substring_dedup, url_filter
 from ledgerline.sources.packages import send_package
 
 
@@ -18,6 +18,21 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op1_secret_scan(spark, sf_dir):
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(name):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in secret_scan.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"), "n_layers",
+    )
+
+
 def op2_substring_dedup(spark, sf_dir):
     found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), "line")
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["finish"].cast("string")))
@@ -80,6 +95,7 @@ def op9_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
