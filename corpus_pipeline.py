@@ -1,15 +1,22 @@
 """A corpus from raw documents: STAGES in order, each over all that its predecessor kept."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import line_dedup, simhash
-from ledgerline.llm.texts import ID, TEXT
+from ledgerline.llm import decontamination, langid, line_dedup, piece_bpe, simhash
+from ledgerline.llm.texts import ID, KEY, TEXT, same
 from ledgerline.sources.packages import send_package
 from ledgerline.sources.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def known_language(spark, docs, sf_dir):
+    """Keeps the documents whose language is told with the calibrated least score; learns from ``docs`` itself."""
+    found = langid.identify(docs.select(COLUMNS), rows_a_language=600, most_languages=256)
+    return found.where("accepted").select(COLUMNS)
+
+
 def drop_repeated_lines(spark, docs, sf_dir):
     """Removes passages of three lines that an earlier document has; a document with nothing left goes."""
     found = line_dedup.dedup_lines(docs.select(COLUMNS))
@@ -18,15 +25,33 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps one document, the one of the least id, of each group of near-duplicates."""
+    """Keeps one document, the one of the least id, of each group of near-duplicates; a row without id stays."""
     found = simhash.near_duplicates(docs, shingle_words=3, max_bits=2)
     copies = found.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("copy_id"))
     return docs.join(copies, docs[ID] == F.col("copy_id"), "left_anti").select(COLUMNS)
 
 
+def drop_contaminated(spark, docs, sf_dir):
+    """Drops documents of which a twentieth of the words or more is in passages of the benchmark."""
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select(ID, KEY)
+    named = docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
+    return named.join(dirty, same(named, dirty, [ID, KEY]), "left_anti").select(COLUMNS)
+
+
+def encode(spark, docs, sf_dir):
+    """Token ids of every document, and a digest of the text that they decode to."""
+    found = piece_bpe.tokenize(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.sha2("decoded", 256).alias("decoded_sha256")
+    return found.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", digest)
+
+
 STAGES = [
+    ("language id", known_language),
     ("line dedup", drop_repeated_lines),
     ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("sentencepiece", encode),
 ]
 
 

@@ -208,7 +208,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items (long), items (sorted array of id strings), contaminated; a row per document row.
+    """doc_id, text_key, n_words, n_hit, n_items (long), items (sorted id strings), contaminated; a row per document row.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z in lower case. A window is ``window``
     consecutive words of an item, or the whole of a shorter one; a word inside any occurrence of a window is
@@ -249,6 +249,7 @@ def contamination(
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return attach(scanned.select(ID, KEY, "n_words"), per_doc).select(
         ID,
+        KEY,
         "n_words",
         n_hit.alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontamination, langid, line_dedup, piece_bpe, secret_scan, simhash, substring_dedup, url_filter
+from ledgerline.llm import chat, decontamination, embedding_dedup, langid, line_dedup, piece_bpe, secret_scan, simhash, substring_dedup, url_filter
 from ledgerline.sources.packages import send_package
 
 
@@ -71,6 +71,10 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+
+
 def op8_chat_formatting(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -101,6 +105,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
