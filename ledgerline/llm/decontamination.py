@@ -180,7 +180,7 @@ def prefix_postings(items: DataFrame, frequencies: DataFrame) -> DataFrame:
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
-    """Candidates whose words hold a window: doc_id, text_key, item_id, and the words start to finish it covers.
+    """Candidates whose words hold a window: doc_id, key, item_id, and the words start to finish it covers.
 
     The windows of a posting that fit all have its shingle, so together they cover one stretch.
     """
@@ -208,7 +208,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, n_items (long), items (sorted id strings), contaminated; a row per document row.
+    """doc_id, KEY, n_words, n_hit, n_items (long), items (sorted id strings), contaminated; a row per document row.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z in lower case. A window is ``window``
     consecutive words of an item, or the whole of a shorter one; a word inside any occurrence of a window is

@@ -190,10 +190,10 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, **bounds) -> D
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", predicted(F.col(TEXT).cast("string")))
+    found = docs.withColumn("_llm_found", predicted(F.col(TEXT).cast("string")))
     return (
-        found.withColumn("lang_pred", F.col("_found.lang_pred"))
-        .withColumn("score", F.col("_found.score"))
+        found.withColumn("lang_pred", F.col("_llm_found.lang_pred"))
+        .withColumn("score", F.col("_llm_found.score"))
         .withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= model.least_score))
-        .drop("_found")
+        .drop("_llm_found")
     )

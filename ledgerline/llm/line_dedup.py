@@ -9,7 +9,7 @@ LINES = 3
 
 
 def _windows(docs: DataFrame, lines: int) -> DataFrame:
-    """One row per window with a line that is not blank: doc_id, text_key, start line, 128 bits of digest."""
+    """One row per window with a line that is not blank: doc_id, key, start line, 128 bits of digest."""
     cut = F.transform(F.split(F.col(TEXT), "\n", -1), lambda line: F.trim(line, F.lit(" \t\r")))
     digests = docs.select(ID, KEY, cut.alias("cut")).select(
         ID,
@@ -31,9 +31,9 @@ def _windows(docs: DataFrame, lines: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, text_key and start line of every window whose lines occurred before, in keyed documents.
+    """doc_id, key and start line of every window whose lines occurred before, in keyed documents.
 
-    The first occurrence is the one with the least (doc_id, text_key, start line), a null id first. Lines
+    The first occurrence is the one with the least (doc_id, key, start line), a null id first. Lines
     are compared without outer blanks, and windows of blank lines only are left alone. Windows are counted with map-side combining, so one that is
     in every document is a single row per task; only digests, never lines, are shuffled.
     """
@@ -62,20 +62,20 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     starts = (
         repeated_windows(keyed(docs), lines)
         .groupBy(ID, KEY)
-        .agg(F.collect_set("start").alias("_starts"))
+        .agg(F.collect_set("start").alias("_llm_starts"))
     )
     covered = F.array_distinct(
-        F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + lines - 1)))
+        F.flatten(F.transform("_llm_starts", lambda s: F.sequence(s, s + lines - 1)))
     )
     cut = F.split(F.col(TEXT), "\n", -1)
-    positions = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_covered")
-    kept = F.array_join(F.transform(positions, lambda i: F.get(F.col("_cut"), i)), "\n")
+    positions = F.array_except(F.sequence(F.lit(0), F.size("_llm_cut") - 1), "_llm_covered")
+    kept = F.array_join(F.transform(positions, lambda i: F.get(F.col("_llm_cut"), i)), "\n")
     return (
         attach(wide, starts)
-        .withColumn("_covered", covered)
-        .withColumn("_cut", cut)
-        .withColumn("n_lines", F.when(F.col(TEXT).isNull(), 0).otherwise(F.size("_cut")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"))
-        .withColumn(TEXT, F.when(F.col("_covered").isNull(), F.col(TEXT)).otherwise(kept))
-        .drop(KEY, "_starts", "_covered", "_cut")
+        .withColumn("_llm_covered", covered)
+        .withColumn("_llm_cut", cut)
+        .withColumn("n_lines", F.when(F.col(TEXT).isNull(), 0).otherwise(F.size("_llm_cut")).cast("long"))
+        .withColumn("n_removed", F.when(F.col("_llm_covered").isNull(), 0).otherwise(F.size("_llm_covered")).cast("long"))
+        .withColumn(TEXT, F.when(F.col("_llm_covered").isNull(), F.col(TEXT)).otherwise(kept))
+        .drop(KEY, "_llm_starts", "_llm_covered", "_llm_cut")
     )

@@ -284,12 +284,12 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
         ids = [np.fromstring(f[1], np.int32, sep=",") if f[0] else np.empty(0, np.int32) for f in found]
         return pd.DataFrame({"ids": ids, "decoded": [f[2] for f in found]})
 
-    coded = docs.withColumn("_coded", encode(F.col(TEXT).cast("string")))
+    coded = docs.withColumn("_llm_coded", encode(F.col(TEXT).cast("string")))
     return (
-        coded.withColumn("ids", F.col("_coded.ids"))
-        .withColumn("n_tokens", F.size("_coded.ids").cast("long"))
-        .withColumn("decoded", F.col("_coded.decoded"))
-        .drop("_coded")
+        coded.withColumn("ids", F.col("_llm_coded.ids"))
+        .withColumn("n_tokens", F.size("_llm_coded.ids").cast("long"))
+        .withColumn("decoded", F.col("_llm_coded.decoded"))
+        .drop("_llm_coded")
     )
 
 
@@ -309,5 +309,5 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             rows.append((count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = docs.select(F.col(ID).alias(ID), digest(F.col(TEXT).cast("string")).alias("_coded"))
-    return coded.select(ID, "_coded.*")
+    coded = docs.select(F.col(ID).alias(ID), digest(F.col(TEXT).cast("string")).alias("_llm_coded"))
+    return coded.select(ID, "_llm_coded.*")

@@ -273,10 +273,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             rows.append((_named(base), _named(spans), layers))
         return pd.DataFrame(rows, columns=["base", "spans", "n_layers"])
 
-    with_found = docs.withColumn("_found", found(F.col(TEXT).cast("string")))
+    with_found = docs.withColumn("_llm_found", found(F.col(TEXT).cast("string")))
     for name in ("base", "spans", "n_layers"):
-        with_found = with_found.withColumn(name, F.col(f"_found.{name}"))
-    return with_found.drop("_found")
+        with_found = with_found.withColumn(name, F.col(f"_llm_found.{name}"))
+    return with_found.drop("_llm_found")
 
 
 def _named(spans: list) -> list[dict]:

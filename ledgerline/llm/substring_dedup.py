@@ -29,7 +29,7 @@ def units(text: str, unit: str = "line", min_words: int = MIN_WORDS):
 
 
 def unit_digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, start, finish, d1, d2 of every unit of keyed documents."""
+    """doc_id, key, start, finish, d1, d2 of every unit of keyed documents."""
 
     def cut(batches):
         for batch in batches:
@@ -61,9 +61,9 @@ def _without(text: str, spans) -> str:
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, start, finish of every unit that has an earlier one of the same digest.
+    """doc_id, key, start, finish of every unit that has an earlier one of the same digest.
 
-    The order is (doc_id, text_key, start), a null id first. Digests are grouped with map-side combining:
+    The order is (doc_id, key, start), a null id first. Digests are grouped with map-side combining:
     a unit that is in every document is one row per task, and only digests and offsets are shuffled.
     """
     found = unit_digests(docs, unit, min_words)

@@ -5,13 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ID, TEXT, KEY = "doc_id", "text", "text_key"
+#: Columns whose names begin with _llm_ are the operators' own; those of an input are not kept.
+ID, TEXT, KEY = "doc_id", "text", "_llm_text_key"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null becomes empty) and text_key, a 64-bit digest of the text.
+    """doc_id, text (null becomes empty) and KEY, a 64-bit digest of the text.
 
-    (doc_id, text_key) names a document: rows that agree in id and text are one document and get the
+    (doc_id, KEY) names a document: rows that agree in id and text are one document and get the
     same result, rows with one id and different texts do not mix, and a null id is an id of its own.
     Other columns are left behind, so their names cannot clash.
     """
@@ -26,8 +27,8 @@ def same(left: DataFrame, right: DataFrame, names):
 
 def attach(docs: DataFrame, found: DataFrame, names=(ID, KEY)) -> DataFrame:
     """Left join of ``docs`` with one row per document of ``found``, keeping the keys of ``docs``."""
-    hidden = found.withColumnsRenamed({name: f"_found_{name}" for name in names})
+    hidden = found.withColumnsRenamed({name: f"_llm_found_{name}" for name in names})
     condition = reduce(
-        lambda a, b: a & b, [docs[name].eqNullSafe(hidden[f"_found_{name}"]) for name in names]
+        lambda a, b: a & b, [docs[name].eqNullSafe(hidden[f"_llm_found_{name}"]) for name in names]
     )
-    return docs.join(hidden, condition, "left").drop(*[f"_found_{name}" for name in names])
+    return docs.join(hidden, condition, "left").drop(*[f"_llm_found_{name}" for name in names])
