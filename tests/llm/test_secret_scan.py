@@ -1,0 +1,122 @@
+import base64
+import bz2
+import gzip
+import hashlib
+import lzma
+import re
+import urllib.parse
+import zlib
+
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerline.llm import secret_scan
+
+SECRET = 'password = "abcdef123456XYZ"'
+RULES = [
+    (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 12),
+    (r"AKIA[A-Z0-9]+", 0, 0, 18),
+    (r"[0-9a-f]+", 0, 0, 16),
+]
+
+
+def plain(text):
+    found = []
+    for kind, (rule, flags, group, least) in enumerate(RULES):
+        found += [(m.start(), m.end(), kind) for m in re.finditer(rule, text, flags) if len(m.group(group)) >= least]
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def b64(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token", "ToKen", "api_key", "AKIA", "ABCDEFGH12", "deadbeef", "=", ": ", "'", '"', " ", "é", "ſecret", "secret=", "x", "0123456789ab"]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert secret_scan.scan(text) == plain(text)
+
+
+WAYS = {
+    "base64": b64(SECRET),
+    "url": urllib.parse.quote(SECRET, safe=""),
+    "url>url": urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe=""),
+    "unicode": "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    "base64>gzip": b64(gzip.compress(SECRET.encode())),
+    "base64>zlib": b64(zlib.compress(SECRET.encode())),
+    "base64>bzip2": b64(bz2.compress(SECRET.encode())),
+    "base64>xz": base64.urlsafe_b64encode(lzma.compress(SECRET.encode())).decode().rstrip("="),
+    "base64>zstd": b64(zstandard.compress(SECRET.encode())),
+    "base64>gzip>zlib": b64(gzip.compress(zlib.compress(SECRET.encode()))),
+    "base64>zstd>gzip>base64": b64(zstandard.compress(gzip.compress(b64(SECRET).encode()))),
+    "base64>url>base64": b64(urllib.parse.quote(b64(SECRET), safe="")),
+}
+
+
+@pytest.mark.parametrize("path", sorted(WAYS))
+def test_layers(path):
+    text = f"é before {WAYS[path]} after é"
+    base, spans, _ = secret_scan.find(text)
+    assert [(s, e, k, "") for s, e, k in plain(text)] == base
+    at = text.index(WAYS[path])
+    whole = [(s, e) for s, e, kind, layer in spans if kind == 0 and layer == path]
+    assert whole and all(at <= s < e <= at + len(WAYS[path]) for s, e in whole)
+    if path.startswith("base64"):
+        assert whole == [(at, at + len(WAYS[path]))]
+    else:  # the span of exactly the characters that the secret is written with
+        assert whole[0][0] == at and secret_scan.Layer(text, None, None, "").root_span(*whole[0]) == whole[0]
+
+
+def test_half_encoded():
+    text = "é token=%41%42%43defghijklmnop end"
+    assert secret_scan.find(text)[1] == [(2, text.index(" end"), 0, "url")]
+
+
+def test_mime_lines():
+    blob = base64.encodebytes((SECRET + " padding" * 20).encode()).decode().strip()
+    spans = secret_scan.find(f"x {blob}\n")[1]
+    assert (2, 2 + len(blob), 0, "base64") in spans
+
+
+def test_long_stream_is_read_whole():
+    inner = "prose and more prose " * 400_000 + SECRET + " prose" * 1_000_000
+    text = "x " + b64(gzip.compress(inner.encode()))
+    assert (2, len(text), 0, "base64>gzip") in secret_scan.find(text)[1]
+
+
+def test_ends_on_repeated_layers():
+    text = "%2525252541 " + " ".join([b64("plain text here, nothing")] * 50)
+    _, spans, layers = secret_scan.find(text)
+    assert spans == [] and layers < 250
+
+
+@pytest.mark.parametrize("text", ["%", "%zz%4", "\\u12", "\\ud800", "&#99999999;", "%ff%fe%80", "A" * 17, "H4sIAAAAAAAAAAAA", "=" * 50])
+def test_broken_encodings(text):
+    assert secret_scan.find(text)[1] == [(*s, "") for s in plain(text)]
+
+
+def test_table(documents):
+    rows = [(1, None), (2, ""), (None, SECRET), (3, SECRET), (3, SECRET), (4, "x " * 200_000 + WAYS["url"])]
+    found = secret_scan.find_secrets(documents(rows)).collect()
+    assert len(found) == 6 and {r["text_key"] for r in found} == {"?"}
+    by_id = {r["doc_id"]: r for r in found}
+    assert by_id[1]["base"] == [] and by_id[2]["spans"] == [] and by_id[None]["base"][0].asDict() == {"kind": "assign", "start": 0, "finish": 27, "layer": ""}
+    assert by_id[4]["spans"][0]["start"] == 400_000 and by_id[4]["base"] == []
+    assert secret_scan.find_secrets(documents([])).count() == 0
+
+
+def test_whole_table(spark, sf_dir):
+    from ledgerline.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = QUERIES["op1_secret_scan"](spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        spans = plain(texts[row["doc_id"]])
+        named = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, e, k in spans)
+        assert row["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == i for *_, k in spans) for i in range(3)]
+        assert set(named.split(",")) <= set(row["spans"].split(","))
