@@ -10,6 +10,7 @@ from ledgerline.llm.texts import attach
 from ledgerline.sources.shared import written
 
 CELL = 256
+BLOCK = 512
 MOST_CELLS = 4096
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 64 << 20
@@ -22,16 +23,28 @@ def unit_rows(vectors) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
-    """Unit centroids; a cell that loses all its rows keeps its last centroid."""
+def _recentred(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """One round: the direction of the mean of each cell; a cell that loses all its rows stays as it is."""
+    home = np.concatenate([(rows[at : at + 2048] @ centroids.T).argmax(axis=1) for at in range(0, len(rows), 2048)])
+    sums = np.zeros_like(centroids)
+    np.add.at(sums, home, rows)
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
+
+
+def spherical_kmeans(rows: np.ndarray, cells: int, closest: float = 1.0, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """Unit centroids, of which no two have a cosine of ``closest`` or more before the last round.
+
+    Near copies in great number draw many first centroids; one of them is kept, so such a group is one cell
+    (worked in blocks) and not more cells than a vector probes.
+    """
     centroids = rows[np.random.default_rng(seed).choice(len(rows), cells, replace=False)].copy()
     for _ in range(rounds):
-        home = np.concatenate([(rows[at : at + 2048] @ centroids.T).argmax(axis=1) for at in range(0, len(rows), 2048)])
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, home, rows)
-        size = np.linalg.norm(sums, axis=1)
-        centroids[size > 0] = sums[size > 0] / size[size > 0, None]
-    return centroids
+        centroids = _recentred(rows, centroids)
+    kept = np.zeros(len(centroids), bool)
+    for at in range(len(centroids)):
+        kept[at] = not (centroids[kept] @ centroids[at] >= closest).any()
+    return _recentred(rows, centroids[kept])
 
 
 def _usable(vector):
@@ -44,13 +57,13 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
 
 
-def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int) -> np.ndarray:
+def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int, closest: float) -> np.ndarray:
     """Centroids from a sample of the classes by a hash of their id, of ``sample_rows`` rows or SAMPLE_BYTES at most."""
     width = classes.agg(F.max(F.size("vector"))).first()[0]
     rows = max(1, min(sample_rows, SAMPLE_BYTES // (8 * width)))
     sample = classes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(rows).toPandas()
     drawn = unit_rows(sample["vector"])
-    return spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))))
+    return spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))), closest)
 
 
 def _assigned(classes: DataFrame, shared, probes: int) -> DataFrame:
@@ -67,17 +80,17 @@ def _assigned(classes: DataFrame, shared, probes: int) -> DataFrame:
     return classes.mapInPandas(assign, "vector array<double>, node long, copies long, cells array<int>")
 
 
-def _dealt(assigned: DataFrame, cell: int) -> DataFrame:
+def _dealt(assigned: DataFrame, size: int) -> DataFrame:
     """The rows of every product: cell, x and y name it, ``side`` is 0 for block x of the home rows and 1 for block y.
 
-    Blocks of about ``cell`` rows, by a hash of the node, split the home rows of a cell and, apart from them (y
+    Blocks of about ``size`` rows, by a hash of the node, split the home rows of a cell and, apart from them (y
     counts on behind the home blocks), those that only probe it. Home blocks meet each other and
     all probing blocks. What the driver learns is two counts per cell.
     """
     spark = assigned.sparkSession
     spread = assigned.select("node", F.posexplode("cells").alias("rank", "cell"))
     sizes = spread.groupBy("cell").agg(F.count_if(F.col("rank") == 0).alias("home"), F.count_if(F.col("rank") > 0).alias("guests")).collect()
-    blocks = spark.sparkContext.broadcast({r["cell"]: (-(-r["home"] // cell), -(-r["guests"] // cell)) for r in sizes})
+    blocks = spark.sparkContext.broadcast({r["cell"]: (-(-r["home"] // size), -(-r["guests"] // size)) for r in sizes})
 
     def deal(batches):
         for batch in batches:
@@ -140,7 +153,7 @@ def _compare(least_cosine: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, least_cosine: float = 0.9, probes: int = 6, cell: int = CELL, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, least_cosine: float = 0.9, probes: int = 6, cell: int = CELL, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """vec_id, n_links, component_id (long) and kept (boolean): one row per row of ``vectors`` (vec_id, embedding).
 
@@ -148,8 +161,8 @@ def near_duplicates(
     they meet: the index puts every vector into the cell of its nearest centroid and compares it with
     the members of its ``probes`` nearest cells. No pair below the bound is linked; the share of pairs found is
     measured against brute force in the tests. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
-    if they exceed SAMPLE_BYTES), one per ``cell`` vectors, at most MOST_CELLS; beyond that, cells grow and
-    are compared in more blocks, which costs the square of a cell's size.
+    if they exceed SAMPLE_BYTES), one per ``cell`` vectors, at most MOST_CELLS, and merged where they are
+    near copies themselves. A larger cell is compared in blocks of ``block`` rows, which costs the square of its size.
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable, ``kept`` says
     that it is the row's own. Equal vectors are compared once and count as linked copies, repeated rows of one
@@ -166,10 +179,10 @@ def near_duplicates(
     padded = F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector")))
     usable = usable.select("vec_id", F.when(F.size("vector") < width, padded).otherwise(F.col("vector")).alias("vector"))
     classes = written(_classes(usable), "vectors")
-    centroids = _fit(classes, classes.count(), cell, sample_rows)
+    centroids = _fit(classes, classes.count(), cell, sample_rows, least_cosine)
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS vectors at most
     assigned = written(_assigned(classes, shared, probes), "assigned")
-    products = _dealt(assigned, cell).groupBy("cell", "x", "y")
+    products = _dealt(assigned, block).groupBy("cell", "x", "y")
     found = written(products.applyInPandas(_compare(least_cosine), "a long, b long, copies long"), "cosines")
     links = found.where("b is not null").groupBy("a", "b").agg(F.lit(1).alias("one"))
     components = connected_components(links.select("a", "b")).withColumnRenamed("component", "component_id")

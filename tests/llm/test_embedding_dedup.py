@@ -36,10 +36,10 @@ def groups(seed, sizes, width=24, noise=0.05):
     return [(int(i), [float(np.float32(x)) for x in rows[i]]) for i in order]
 
 
-@pytest.mark.parametrize("cell", [16, 256])
-def test_groups_over_cells_and_blocks(spark, cell):
+@pytest.mark.parametrize("cell, block", [(16, 16), (16, 512), (256, 64)])
+def test_groups_over_cells_and_blocks(spark, cell, block):
     rows = groups(1, [200, 40, 7, 2, *[1] * 150])
-    assert found(near_duplicates(table(spark, rows), cell=cell)) == brute(rows)
+    assert found(near_duplicates(table(spark, rows), cell=cell, block=block)) == brute(rows)
 
 
 def test_recall_where_neighbours_are_not_clear(spark):
