@@ -20,46 +20,67 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentiles(sales: DataFrame, keys, per_mille) -> DataFrame:
-    """Discrete price percentiles per group, exact at any size: keys, total, p<n> columns.
+def exact_stats(sales: DataFrame, keys, per_mille) -> DataFrame:
+    """keys, total_sales, avg_price, max_price, min_price and exact discrete percentiles p<n>, in one scan.
 
-    Prices are counted first. A step of ``PRICE_STEP`` holds at most that many distinct prices,
-    so the steps are summed to find the one with the wanted position, and only the rows of
-    these steps are walked.
+    Prices are counted first, with map-side combining, and everything else follows from the counts. They are summed
+    in steps of ``PRICE_STEP``, a window over the steps finds those that hold a wanted position, and only
+    their prices are walked. A window task holds the steps of a group, at most its price range divided by
+    PRICE_STEP, or the prices of a step, at most PRICE_STEP, however many sales there are.
     """
-    counts = (
-        sales.filter(F.col("price").isNotNull())
-        .groupBy(*keys, F.floor(F.col("price") / PRICE_STEP).alias("step"), "price")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = sales.groupBy(*keys, F.floor(F.col("price") / PRICE_STEP).alias("step"), "price").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    by_step = Window.partitionBy(*keys).orderBy("step")
+    priced = F.when(F.col("price").isNotNull(), F.col("n")).otherwise(0)
+    group = Window.partitionBy(*keys)
+    upto = F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     steps = (
         counts.groupBy(*keys, "step")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(by_step.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    )
-    wanted = F.array(*[F.lit(p) for p in per_mille])
-    targets = (
-        steps.withColumn("p", F.explode(wanted))
-        .withColumn("position", F.expr("(total * p + 999) div 1000"))
-        .filter((F.col("position") > F.col("upto") - F.col("n")) & (F.col("position") <= F.col("upto")))
-        .groupBy(*keys, "step")
         .agg(
-            F.first(F.col("upto") - F.col("n")).alias("before"),
-            F.first("total").alias("total"),
-            F.collect_list(F.struct("p", "position")).alias("targets"),
+            F.sum("n").alias("sales"),
+            F.sum(priced).alias("n"),
+            F.sum(F.col("price").cast("double") * F.col("n")).alias("paid"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+        )
+        .select(
+            *keys,
+            "step",
+            "n",
+            upto.alias("upto"),
+            F.sum("n").over(group).alias("total"),
+            F.sum("sales").over(group).alias("total_sales"),
+            F.sum("paid").over(group).alias("paid"),
+            F.max("high").over(group).alias("max_price"),
+            F.min("low").over(group).alias("min_price"),
         )
     )
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"(total * {p} + 999) div 1000").alias("position")) for p in per_mille])
+
+    def between(position, low, high):
+        return (position > low) & (position <= high)
+
+    targets = steps.select(
+        *keys,
+        "step",
+        (F.col("upto") - F.col("n")).alias("before"),
+        (F.col("paid") / F.nullif("total", F.lit(0))).alias("avg_price"),
+        "total",
+        "total_sales",
+        "max_price",
+        "min_price",
+        F.filter(wanted, lambda t: between(t["position"], F.col("upto") - F.col("n"), F.col("upto"))).alias("targets"),
+    ).filter((F.size("targets") > 0) | (F.col("total") == 0))
     in_step = Window.partitionBy(*keys, "step").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    stats = ["total_sales", "avg_price", "max_price", "min_price"]
     walked = (
         match_nulls_join(counts, targets, [*keys, "step"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(in_step))
-        .select(*keys, "price", "n", "upto", "total", F.inline("targets"))
-        .filter((F.col("position") > F.col("upto") - F.col("n")) & (F.col("position") <= F.col("upto")))
+        .withColumn("reached", F.col("before") + F.sum("n").over(in_step))
+        .select(*keys, *stats, "price", "n", "reached", F.inline_outer("targets"))
+        .filter(F.col("p").isNull() | between(F.col("position"), F.col("reached") - F.col("n"), F.col("reached")))
     )
     return walked.groupBy(*keys).agg(
-        F.max("total").alias("priced"),
+        *[F.max(name).alias(name) for name in stats],
         *[F.max(F.when(F.col("p") == p, F.col("price"))).alias(f"p{p}") for p in per_mille],
     )
 
@@ -84,8 +105,7 @@ def price_stats(sales: DataFrame, keys, exact=False, per_mille=(500,)) -> DataFr
     Percentiles come from the approximate sketch; ``exact`` walks counted prices instead.
     """
     if exact:
-        stats = sales.groupBy(*keys).agg(*_plain_stats())
-        return match_nulls_join(stats, exact_percentiles(sales, keys, per_mille), keys, "left").drop("priced")
+        return exact_stats(sales, keys, per_mille)
     points = [F.col("points")[i].alias(f"p{p}") for i, p in enumerate(per_mille)]
     stats = sales.groupBy(*keys).agg(*_plain_stats(), _sketched(per_mille))
     return stats.select(*keys, "total_sales", "avg_price", "max_price", "min_price", *points)
