@@ -16,12 +16,6 @@ def match_nulls_join(left: DataFrame, right: DataFrame, keys, how="inner") -> Da
     return left.join(renamed, condition, how).drop(*hidden.values())
 
 
-def largest_group(df: DataFrame, *keys) -> int:
-    """Row count of the largest group. Runs a job that shuffles one partial count per group and task."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def rounded(df: DataFrame, digits=6, **digits_of) -> DataFrame:
     """Round every floating column, so that summation order does not show; ``digits_of`` by column."""
     return df.select(

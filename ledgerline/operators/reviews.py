@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.frames import largest_group, match_nulls_join
+from ledgerline.functions.frames import match_nulls_join
 from ledgerline.functions.scalars import to_float, to_long, weighted_score
 
 
@@ -59,33 +59,27 @@ def sentiment_ratio(reviews: DataFrame) -> DataFrame:
 def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataFrame:
     """Review count, averages and weighted score per game, over reviews with a known game and user.
 
-    Reviews are folded to one row per (game, user) before the user join, so a hot user is at most
-    one row per game there and a hot game at most one row per user. Repeated users or games
-    multiply the reviews, as in a plain join; ``copies`` carries that. Games join last, after the
-    reviews have shrunk to one row per game.
+    Users and games are folded to one row per key first; repeated ones multiply the reviews, as in a plain
+    join, and ``copies`` carries that. Reviews are shuffled once, to meet their users: a user with very many
+    reviews is a hot key on that side only, which adaptive execution splits. They are then folded per game
+    before the second shuffle, so a hot game is one row per task, and games join last.
     """
     recommended = F.when(F.col("is_recommended") == "true", 1).otherwise(0)
-    per_pair = reviews.groupBy("user_id", "app_id").agg(
-        F.count(F.lit(1)).alias("recs"),
-        F.sum("hours").alias("hours"),
-        F.count("hours").alias("timed"),
-        F.sum(recommended).alias("positives"),
-    )
     per_user = users.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("copies"),
         F.sum("products").alias("products"),
         F.count("products").alias("sized"),
     )
     per_game = (
-        per_pair.join(per_user, "user_id")
+        reviews.join(per_user, "user_id")
         .groupBy("app_id")
         .agg(
-            F.sum(F.col("recs") * F.col("copies")).alias("recs"),
+            F.sum("copies").alias("recs"),
             F.sum(F.col("hours") * F.col("copies")).alias("hours"),
-            F.sum(F.col("timed") * F.col("copies")).alias("timed"),
-            F.sum(F.col("positives") * F.col("copies")).alias("positives"),
-            F.sum(F.col("recs") * F.col("products")).alias("products"),
-            F.sum(F.col("recs") * F.col("sized")).alias("sized"),
+            F.sum(F.when(F.col("hours").isNotNull(), F.col("copies")).otherwise(0)).alias("timed"),
+            F.sum(recommended * F.col("copies")).alias("positives"),
+            F.sum("products").alias("products"),
+            F.sum("sized").alias("sized"),
         )
     )
     per_title = games.groupBy("app_id", "title", "rating").agg(
@@ -103,16 +97,41 @@ def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataF
         F.try_divide(F.col("products").cast("double"), F.col("sized")).alias("avg_user_library_size"),
     )
     score = weighted_score(F.col("avg_hours_played"), F.col("avg_positive_ratio"), F.col("total_recs"))
-    return scored.withColumn("weighted_score", score).orderBy(
-        F.desc("weighted_score"), "app_id", "title", "rating"
+    return scored.withColumn("weighted_score", score).orderBy(*score_order())
+
+
+def score_order():
+    return [F.desc("weighted_score"), F.col("app_id"), F.col("title"), F.col("rating")]
+
+
+def scored_games(scored: DataFrame, ranges=64) -> DataFrame:
+    """Every game with its place by score, best first, null last; ties by app_id, title and rating.
+
+    Scores are split into ranges at their quantiles. A range's games are numbered by themselves, and the counts
+    of the better ranges are added, so only ranges (at most ``ranges`` + 1 rows) meet in one task. Games of one
+    score share a range.
+    """
+    numbered = scored.select("app_id", "title", "rating", "weighted_score")
+    cuts = F.percentile_approx("weighted_score", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]))
+    bounds = numbered.agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("cuts")).scalar()
+    better = F.size(F.filter(F.col("cuts"), lambda cut: cut > F.col("weighted_score")))
+    ranged = numbered.withColumn("cuts", bounds).select(
+        "app_id", "title", "rating", "weighted_score",
+        F.when(F.col("weighted_score").isNull(), ranges + 1).otherwise(better).alias("range"),
+    )
+    before = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*score_order()))
+    return ranged.withColumn("inside", inside).join(ahead, "range").select(
+        "app_id", "weighted_score", (F.col("inside") + F.col("ahead")).alias("row_number")
     )
 
 
 def scored_games_topk(scored: DataFrame, k=100) -> DataFrame:
-    """The k best games, numbered. Only these k rows meet in one task."""
-    order = [F.desc("weighted_score"), F.col("app_id"), F.col("title"), F.col("rating")]
-    best = scored.orderBy(*order).limit(k)
-    numbered = Window.partitionBy(F.lit(1)).orderBy(*order)
+    """A report of the k best games, numbered. Only these k rows meet in one task."""
+    best = scored.orderBy(*score_order()).limit(k)
+    numbered = Window.partitionBy(F.lit(1)).orderBy(*score_order())
     return best.select("app_id", "weighted_score", F.row_number().over(numbered).alias("row_number"))
 
 
@@ -131,23 +150,13 @@ def _hours_band(hours):
     )
 
 
-def rank_in_library(reviews: DataFrame, most_rows=1_000_000) -> DataFrame:
+def rank_in_library(reviews: DataFrame) -> DataFrame:
     """``rank()`` of each review among its user's reviews by hours, highest first, null last.
 
-    A window per user puts all reviews of a user into one task. That is the plan only while the
-    counted largest user stays within ``most_rows``; beyond, ``banded_rank`` splits the users.
-    """
-    if largest_group(reviews, "user_id") > most_rows:
-        return banded_rank(reviews)
-    library = Window.partitionBy("user_id").orderBy(F.desc("hours"))
-    return reviews.withColumn("rank_in_library", F.rank().over(library).cast("bigint"))
-
-
-def banded_rank(reviews: DataFrame) -> DataFrame:
-    """The same rank without a user's reviews ever meeting in one task.
-
-    Equal hours are counted first; a window runs per (user, band of hours), which has a bounded
-    number of distinct values, and a second one adds up whole bands. The rank then joins back.
+    No task ever holds all reviews of a user. Equal hours are counted first, with map-side combining. A window
+    runs per (user, band of hours), where a 32-bit float has a bounded number of distinct values, and one
+    per user over whole bands, of which there are some thousands at most. Both start from the same shuffle of
+    the counts. The rank then joins back to the reviews, a hot user or tie being a hot key on their side only.
     """
     keyed = reviews.select("user_id", "hours", _hours_band(F.col("hours")).alias("band"))
     ties = keyed.groupBy("user_id", "band", "hours").agg(F.count(F.lit(1)).alias("n"))

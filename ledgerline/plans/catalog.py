@@ -48,6 +48,10 @@ def scored_games_topk(spark, sf_dir):
     return rounded(reviews.scored_games_topk(steam_heavy(spark, sf_dir)))
 
 
+def scored_games(spark, sf_dir):
+    return rounded(reviews.scored_games(steam_heavy(spark, sf_dir)))
+
+
 def clean_sales(spark, sf_dir):
     cleaned = prices.clean_sales(tables.raw_sales(spark, sf_dir))
     return cleaned.select("transaction_id", "price", "year", "property_type", "district", "county")
@@ -129,11 +133,11 @@ QUERIES = {
     "sentiment": _reviews_query(reviews.sentiment),
     "user_activity": _reviews_query(reviews.user_activity),
     "rank_in_library": lambda spark, sf_dir: reviews.rank_in_library(tables.reviews(spark, sf_dir)),
-    "banded_rank": lambda spark, sf_dir: reviews.banded_rank(tables.reviews(spark, sf_dir)),
     "top_games_contract": _reviews_query(lambda df: reviews.top_games(df, "recommendation_count")),
     "app_sentiment": _reviews_query(reviews.app_sentiment),
     "sentiment_ratio": _reviews_query(reviews.sentiment_ratio),
     "most_active_users": _reviews_query(reviews.most_active_users),
+    "scored_games": scored_games,
     "scored_games_topk": scored_games_topk,
     "clean_sales": clean_sales,
     "by_county": _sales_query(prices.by_county),

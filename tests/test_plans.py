@@ -2,7 +2,7 @@
 
 import pytest
 
-from ledgerline.operators.reviews import banded_rank
+from ledgerline.operators.reviews import rank_in_library
 from ledgerline.plans.catalog import QUERIES
 
 STREAMS = {"stream_rollup", "stream_ingest"}
@@ -66,7 +66,18 @@ def test_a_hot_tie_is_split_when_ranks_join_back(spark, small_skew):
         "cast(id as string) AS app_id", "if(id < 150000, 'hot', cast(id div 10 as string)) AS user_id",
         "'true' AS is_recommended", "cast(if(id < 120000, 0, id) as float) AS hours",
     )
-    ranked = banded_rank(rows)
+    ranked = rank_in_library(rows)
     assert ranked.filter("user_id = 'hot' AND hours = 0 AND rank_in_library = 30001").count() == 120_000
     ranked.collect()
     assert "skew=true" in plan(ranked, physical=True)
+
+
+def test_ranking_runs_no_job_before_the_action(spark):
+    rows = spark.range(10).selectExpr("cast(id as string) AS app_id", "'u' AS user_id", "'true' AS is_recommended", "cast(id as float) AS hours")
+    context = spark.sparkContext
+    context.setJobGroup("building", "no job expected")
+    try:
+        rank_in_library(rows)
+        assert not context.statusTracker().getJobIdsForGroup("building")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
