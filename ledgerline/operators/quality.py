@@ -32,6 +32,16 @@ def run_of_file(name):
     return F.regexp_extract(name, RUN_FILE, 1), F.regexp_extract(name, RUN_FILE, 2)
 
 
+def with_run(raw: DataFrame) -> DataFrame:
+    """Rows of a file source with the file they came from and the run and mode its name stands for."""
+    run_id, mode = run_of_file(F.col("file"))
+    return (
+        raw.select(*raw.columns, F.col("_metadata.file_name").alias("file"))
+        .withColumn("run_id", F.when(run_id == "", F.col("file")).otherwise(run_id))
+        .withColumn("mode", mode)
+    )
+
+
 def sample_rules(rules="load"):
     """(valid, reasons, typed columns) of a sample row in text.
 
@@ -98,6 +108,16 @@ def labelled_samples(raw: DataFrame, rules="load") -> DataFrame:
     )
 
 
+def checked_samples(raw: DataFrame, rules="load") -> DataFrame:
+    """The good rows, typed; reading a bad one stops the job with its file, its fields and what is wrong."""
+    require_columns(raw, SAMPLE_COLUMNS, "samples")
+    valid, reasons, typed = sample_rules(rules)
+    shown = F.to_json(F.struct(*SAMPLE_COLUMNS), {"ignoreNullFields": "false"})
+    message = F.concat(F.lit("Invalid numeric data in "), F.coalesce("file", F.lit("?")), F.lit(": "), shown, F.lit(": "), reasons)
+    held = F.when(valid, typed["strategy"]).otherwise(F.raise_error(message).cast("string"))
+    return raw.withColumns({**typed, "strategy": held})
+
+
 def unlabelled_samples(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of ``labelled_samples``, shaped as by ``split_samples``."""
     good = labelled.filter(F.col("outcome") == "good").drop("as_read", "reasons", "outcome")
@@ -184,7 +204,7 @@ def _level_facts(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.max("executor_count").alias("peak_executor_count"),
-        (F.sum(billed_rate()) * INTERVAL_SECONDS).alias("simulated_cost_usd"),
+        (F.sum(billed_rate(strict=False)) * INTERVAL_SECONDS).alias("simulated_cost_usd"),
         F.count_if(F.col("cpu_millicores") < 0).alias("negative_cpu"),
         F.count_if(F.col("memory_mib") < 0).alias("negative_memory"),
     )
@@ -199,6 +219,10 @@ def _verdict(name, passed, observed, bound):
     )
 
 
+def _span(limits):
+    return f"{limits[0]} to {limits[1]}"
+
+
 def run_checks(samples: DataFrame) -> DataFrame:
     """One row per (run, strategy, check); run-wide checks have a null strategy.
 
@@ -215,11 +239,11 @@ def run_checks(samples: DataFrame) -> DataFrame:
         allowed = F.when(strategy == name, samples_allowed).otherwise(allowed)
     before_idle = F.when(strategy == "dra", peak).otherwise(fact["active_max"])
     per_series = [
-        _verdict("min_samples", fact["sample_count"] >= MIN_SAMPLES, fact["sample_count"], ">= 30"),
-        _verdict("sample_gap", fact["mean_gap"].between(*GAP_SECONDS), fact["mean_gap"], "8 to 15"),
+        _verdict("min_samples", fact["sample_count"] >= MIN_SAMPLES, fact["sample_count"], f">= {MIN_SAMPLES}"),
+        _verdict("sample_gap", fact["mean_gap"].between(*GAP_SECONDS), fact["mean_gap"], _span(GAP_SECONDS)),
         _verdict("cpu_not_negative", fact["negative_cpu"] == 0, fact["negative_cpu"], "0"),
         _verdict("memory_not_negative", fact["negative_memory"] == 0, fact["negative_memory"], "0"),
-        _verdict("executor_cap", F.when(known, peak <= MAX_EXECUTORS), peak, "<= 3"),
+        _verdict("executor_cap", F.when(known, peak <= MAX_EXECUTORS), peak, f"<= {MAX_EXECUTORS}"),
         _verdict(
             "executor_floor", F.when(long_enough, fact["starved_samples"] == 0),
             F.when(long_enough, fact["starved_samples"]), "0",
@@ -235,7 +259,7 @@ def run_checks(samples: DataFrame) -> DataFrame:
             F.when(long_enough & known, F.concat(F.lit("< "), before_idle.cast("string"))),
         ),
         _verdict("positive_cost", cost > 0, cost, "> 0"),
-        _verdict("cost_range", cost.between(*COST_RANGE), cost, "0.0001 to 1.0"),
+        _verdict("cost_range", cost.between(*COST_RANGE), cost, _span(COST_RANGE)),
     ]
     runs = levels.groupBy("run_id").agg(
         F.count_if(known).alias("held"),

@@ -28,24 +28,30 @@ SUMMARY_COLUMNS = [
 ]
 
 # The compared metrics with their better direction, and the order that breaks ties.
-LOWER_IS_BETTER = [
-    "scale_up_latency_seconds", "peak_executor_count", "scale_down_time_seconds", "simulated_cost_usd",
+COMPARED = [
+    ("scale_up_latency_seconds", "lower"),
+    ("peak_executor_count", "lower"),
+    ("avg_cpu_utilisation_pct", "higher"),
+    ("scale_down_time_seconds", "lower"),
+    ("simulated_cost_usd", "lower"),
 ]
-HIGHER_IS_BETTER = ["avg_cpu_utilisation_pct"]
 TIE_ORDER = ["dynamic", "keda", "hpa", "dra"]
 
 
-def billed_rate(strict=False):
-    """Cost rate of a sample; one without any reading is billed by its executors."""
+def billed_rate(strict=True):
+    """Cost rate of a sample; one without any reading is billed by its executors.
+
+    ``strict`` makes a negative one among the billed figures an error that names its field.
+    """
     cpu, memory = F.col("cpu_millicores"), F.col("memory_mib")
-    if strict:
-        cpu, memory = non_negative(cpu, "cpu_millicores"), non_negative(memory, "memory_mib")
     observed = (cpu > 0) | (memory > 0)
     executors = F.col("executor_count").cast("double")
-    return cost_rate(
-        F.when(observed, cpu).otherwise(executors * EXECUTOR_MILLICORES),
-        F.when(observed, memory).otherwise(executors * EXECUTOR_MIB),
-    )
+    billed_cpu = F.when(observed, cpu).otherwise(executors * EXECUTOR_MILLICORES)
+    billed_memory = F.when(observed, memory).otherwise(executors * EXECUTOR_MIB)
+    if strict:
+        billed_cpu = non_negative(billed_cpu, "cpu_millicores")
+        billed_memory = non_negative(billed_memory, "memory_mib")
+    return cost_rate(billed_cpu, billed_memory)
 
 
 def cpu_utilisation():
@@ -55,7 +61,7 @@ def cpu_utilisation():
     return F.when(F.col("executor_count") > 0, percent(share))
 
 
-def series_totals(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=False) -> DataFrame:
+def series_totals(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=True) -> DataFrame:
     """Everything about a series that does not depend on the order of its samples."""
     totals = samples.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("sample_count"),
@@ -121,14 +127,14 @@ def started_samples(samples: DataFrame) -> DataFrame:
     return samples.join(starts, SERIES).filter(F.col("timestamp") >= F.col("started")).drop("started")
 
 
-def cost_summary(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=False) -> DataFrame:
+def cost_summary(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=True) -> DataFrame:
     totals = series_totals(samples, interval_seconds, strict)
     return totals.join(scaling_times(samples), SERIES, "left").select(*SUMMARY_COLUMNS)
 
 
-def compare_strategies(samples: DataFrame, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
+def compare_strategies(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=True) -> DataFrame:
     """Summaries of each run, cheapest strategy first."""
-    return cost_summary(samples, interval_seconds).orderBy("run_id", "simulated_cost_usd", "strategy")
+    return cost_summary(samples, interval_seconds, strict).orderBy("run_id", "simulated_cost_usd", "strategy")
 
 
 def metric_winners(summary: DataFrame) -> DataFrame:
@@ -136,11 +142,12 @@ def metric_winners(summary: DataFrame) -> DataFrame:
 
     The first, finer rounding keeps the summation order out of the second.
     """
-    metrics = LOWER_IS_BETTER + HIGHER_IS_BETTER
+    metrics = [name for name, _ in COMPARED]
+    higher = [name for name, better in COMPARED if better == "higher"]
     values = [F.col(name).cast("double").alias(name) for name in metrics]
     long = summary.select(*SERIES, *values).unpivot(SERIES, metrics, "metric", "value")
     value = F.round(F.round("value", 10), 4)
-    signed = F.when(F.col("metric").isin(HIGHER_IS_BETTER), -value).otherwise(value)
+    signed = F.when(F.col("metric").isin(higher), -value).otherwise(value)
     place = F.array_position(F.array(*[F.lit(name) for name in TIE_ORDER]), F.col("strategy"))
     best = F.min(F.struct(signed.alias("signed"), place.alias("place"), "strategy", value.alias("value")))
     return (
@@ -192,23 +199,49 @@ def dead_metrics(samples: DataFrame) -> DataFrame:
     )
 
 
+def _by_minute(samples: DataFrame, lateness, figures) -> DataFrame:
+    stamped = samples.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", lateness)
+    minutes = stamped.groupBy(F.window("at", "1 minute").alias("minute"), "strategy").agg(*figures)
+    start, end = F.unix_timestamp("minute.start"), F.unix_timestamp("minute.end")
+    return minutes.select(start.alias("minute_start"), end.alias("minute_end"), "strategy", *minutes.columns[2:])
+
+
 def minute_rollup(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="30 seconds") -> DataFrame:
     """Peak, average and cost per minute and strategy; the same code in batch and on a stream."""
-    stamped = samples.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", lateness)
-    return (
-        stamped.groupBy(F.window("at", "1 minute").alias("minute"), "strategy")
-        .agg(
+    return _by_minute(
+        samples,
+        lateness,
+        [
             F.count(F.lit(1)).alias("sample_count"),
             F.max("executor_count").alias("peak_executor_count"),
             F.avg("executor_count").alias("avg_executor_count"),
             F.avg("cpu_millicores").alias("avg_cpu_millicores"),
             F.avg("memory_mib").alias("avg_memory_mib"),
             (F.sum(billed_rate()) * interval_seconds).alias("simulated_cost_usd"),
-        )
-        .select(
-            F.unix_timestamp("minute.start").alias("minute_start"),
-            F.unix_timestamp("minute.end").alias("minute_end"),
-            "strategy", "sample_count", "peak_executor_count", "avg_executor_count",
-            "avg_cpu_millicores", "avg_memory_mib", "simulated_cost_usd",
-        )
+        ],
+    )
+
+
+AVERAGED = {"executor_count": "avg_executor_count", "cpu_millicores": "avg_cpu_millicores", "memory_mib": "avg_memory_mib"}
+
+
+def minute_parts(samples: DataFrame, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
+    """The rollup of some of the samples, in figures that add up: counts, sums and the peak."""
+    figures = [F.count(F.lit(1)).alias("sample_count"), F.max("executor_count").alias("peak_executor_count")]
+    for name in AVERAGED:
+        figures += [F.sum(F.col(name).cast("double")).alias(f"{name}_sum"), F.count(name).alias(f"{name}_known")]
+    figures.append((F.sum(billed_rate()) * interval_seconds).alias("simulated_cost_usd"))
+    return _by_minute(samples, "0 seconds", figures)
+
+
+def merged_minutes(parts: DataFrame) -> DataFrame:
+    """``minute_rollup`` of all samples that went into ``parts``, in whatever pieces and order."""
+    averages = [
+        F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_known")).alias(out) for name, out in AVERAGED.items()
+    ]
+    return parts.groupBy("minute_start", "minute_end", "strategy").agg(
+        F.sum("sample_count").alias("sample_count"),
+        F.max("peak_executor_count").alias("peak_executor_count"),
+        *averages,
+        F.sum("simulated_cost_usd").alias("simulated_cost_usd"),
     )

@@ -30,6 +30,11 @@ THRESHOLDS = [
 
 POD_SERIES = ["pod", "container"]
 
+STEP_SECONDS = 10
+RATE_LOOKBACK = 60
+GAUGE_LOOKBACK = 300
+SLICE_SECONDS = 86_400
+
 
 def select_series(metrics, metric, pods=None, pod_prefix=None, area=None, real_containers=False) -> DataFrame:
     """Label filters. ``pods`` is a list of names, or a DataFrame with a ``pod`` column for many."""
@@ -81,30 +86,40 @@ def counter_rate(counter: DataFrame, window_seconds=60) -> DataFrame:
     )
 
 
-def on_grid(df: DataFrame, step_seconds) -> DataFrame:
-    return df.withColumn("step", F.floor(F.col("ts") / step_seconds) * step_seconds)
+def instant_values(df: DataFrame, keys, value, lookback, step_seconds=STEP_SECONDS) -> DataFrame:
+    """keys, step, value: what each series shows at every step of a time grid.
+
+    That is its newest known reading of the last ``lookback`` seconds (the step's own second included); a
+    series that is silent for longer shows nothing. ``df`` has one row per key and second. Each reading is
+    laid on the steps from its own time to the next reading's, at most lookback / step_seconds rows.
+    """
+    order = Window.partitionBy(*keys).orderBy("ts")
 
+    def step_from(ts):
+        return F.ceil(ts / step_seconds) * step_seconds
 
-def last_of_step(df: DataFrame, keys, value, step_seconds) -> DataFrame:
-    """Value of the last second of each step; ``df`` has one row per key and second."""
-    known = on_grid(df, step_seconds).filter(F.col(value).isNotNull())
-    return known.groupBy(*keys, "step").agg(F.max_by(value, "ts").alias(value))
+    known = df.filter(F.col(value).isNotNull()).withColumn("next_ts", F.lead("ts").over(order))
+    last = F.least(F.col("ts") + lookback - 1, step_from(F.col("next_ts")) - 1)
+    spread = known.select(
+        *keys, value, step_from(F.col("ts")).alias("first"), (F.floor(last / step_seconds) * step_seconds).alias("last")
+    ).filter("first <= last")
+    return spread.select(*keys, F.explode(F.sequence("first", "last", F.lit(step_seconds).cast("long"))).alias("step"), value)
 
 
-def cpu_millicores(rates: DataFrame, step_seconds=10) -> DataFrame:
-    """Millicores in use per strategy on a time grid: each pod's last rate of the step, summed."""
-    per_pod = last_of_step(rates, POD_SERIES, "rate", step_seconds)
+def cpu_millicores(rates: DataFrame, step_seconds=STEP_SECONDS, lookback=RATE_LOOKBACK) -> DataFrame:
+    """Millicores in use per strategy at every step: the newest rate of each container, summed."""
+    per_pod = instant_values(rates, POD_SERIES, "rate", lookback, step_seconds)
     return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy"), "step").agg(
         (F.sum("rate") * 1000).alias("cpu_millicores"),
         F.count(F.lit(1)).alias("series"),
     )
 
 
-def memory_mib(working_set: DataFrame) -> DataFrame:
-    """MiB in use per strategy: last reading of each container, summed; equal seconds keep the larger."""
-    last = F.max(F.struct("ts", "value")).getField("value")
-    per_pod = working_set.groupBy(*POD_SERIES).agg(last.alias("value"))
-    return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy")).agg(
+def memory_mib(working_set: DataFrame, step_seconds=STEP_SECONDS, lookback=GAUGE_LOOKBACK) -> DataFrame:
+    """MiB in use per strategy at every step: newest reading of each container, summed; equal seconds keep the larger."""
+    seconds = working_set.groupBy(*POD_SERIES, "ts").agg(F.max("value").alias("value"))
+    per_pod = instant_values(seconds, POD_SERIES, "value", lookback, step_seconds)
+    return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy"), "step").agg(
         (F.sum("value") / 1048576).alias("memory_mib"), F.count(F.lit(1)).alias("series")
     )
 
@@ -123,22 +138,23 @@ def heap_pct(metrics: DataFrame) -> DataFrame:
     return heap_percent(metrics).groupBy("pod").agg(F.avg("heap_pct").alias("heap_pct"))
 
 
-def heap_pct_by_strategy(metrics: DataFrame) -> DataFrame:
-    return (
-        heap_percent(metrics)
-        .groupBy(pod_strategy(F.col("pod")).alias("strategy"), "ts")
-        .agg(F.avg("heap_pct").alias("heap_pct"))
-    )
+def heap_pct_by_strategy(metrics: DataFrame, step_seconds=STEP_SECONDS, lookback=GAUGE_LOOKBACK) -> DataFrame:
+    """Heap use per strategy at every step, averaged over the newest readings of its pods."""
+    per_pod = instant_values(heap_percent(metrics), ["pod"], "heap_pct", lookback, step_seconds)
+    return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy"), "step").agg(F.avg("heap_pct").alias("heap_pct"))
 
 
 def heap_bytes(metrics: DataFrame, pod_prefix=None) -> DataFrame:
     return select_series(metrics, HEAP_USED, pod_prefix=pod_prefix, area="heap").select("pod", "ts", "value")
 
 
-def live_count(up: DataFrame) -> DataFrame:
-    """Pods that are up, per second."""
+def live_count(up: DataFrame, step_seconds=STEP_SECONDS, lookback=GAUGE_LOOKBACK) -> DataFrame:
+    """Pods that are up at every step, per strategy, by the newest reading of each pod."""
     seconds = up.groupBy("pod", "ts").agg(F.max("value").alias("value"))
-    return seconds.groupBy("ts").agg(F.sum("value").cast("bigint").alias("live"))
+    per_pod = instant_values(seconds, ["pod"], "value", lookback, step_seconds)
+    return per_pod.groupBy(pod_strategy(F.col("pod")).alias("strategy"), "step").agg(
+        F.sum("value").cast("bigint").alias("live")
+    )
 
 
 def executor_lifecycle(up: DataFrame) -> DataFrame:
@@ -164,13 +180,13 @@ def _spans(rows: DataFrame, keys, ts, state) -> DataFrame:
     ).drop("changed")
 
 
-def autoscaler_readings(metrics: DataFrame, step_seconds=10) -> DataFrame:
+def autoscaler_readings(metrics: DataFrame, step_seconds=STEP_SECONDS) -> DataFrame:
     """What the autoscalers look at, on a time grid: (strategy, signal, step, value), averaged over pods."""
-    heap = last_of_step(heap_percent(metrics), ["pod"], "heap_pct", step_seconds).select(
+    heap = instant_values(heap_percent(metrics), ["pod"], "heap_pct", GAUGE_LOOKBACK, step_seconds).select(
         "pod", "step", F.lit("heap_pct").alias("signal"), F.col("heap_pct").alias("value")
     )
     counter = select_series(metrics, CPU_COUNTER, real_containers=True)
-    rates = last_of_step(counter_rate(counter), POD_SERIES, "rate", step_seconds)
+    rates = instant_values(counter_rate(counter), POD_SERIES, "rate", RATE_LOOKBACK, step_seconds)
     per_pod = rates.groupBy("pod", "step").agg(F.sum("rate").alias("rate"))
     cpu = per_pod.select(
         "pod",
@@ -194,24 +210,42 @@ def thresholds(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(strategy, signal, threshold)")
 
 
-def threshold_breaches(readings: DataFrame, limits: DataFrame) -> DataFrame:
-    """Spans of consecutive readings above the threshold."""
-    judged = readings.join(limits, ["strategy", "signal"]).withColumn(
-        "breached", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
-    )
-    spans = _spans(judged, ["strategy", "signal"], "step", F.col("breached"))
-    return (
-        spans.filter("breached")
-        .groupBy("strategy", "signal", "threshold", "span")
-        .agg(
-            F.min("step").alias("breach_start"),
-            F.max("step").alias("breach_end"),
-            F.count(F.lit(1)).alias("readings"),
-            F.max("value").alias("peak"),
-        )
-        .drop("span")
+def threshold_breaches(readings: DataFrame, limits: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """Spans of consecutive readings above the threshold.
+
+    Spans are found inside slices of time, so no task holds more than a slice of a signal. Only the first and
+    last span of a slice can go on in another one; these, two rows a slice, are then joined in order.
+    """
+    signal = ["strategy", "signal", "threshold"]
+    judged = readings.join(limits, ["strategy", "signal"]).select(
+        *signal,
+        "step",
+        "value",
+        F.floor(F.col("step") / slice_seconds).alias("slice"),
+        F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("breached"),
     )
 
+    def of(ends):
+        return [
+            F.min("breach_start" if ends else "step").alias("breach_start"),
+            F.max("breach_end" if ends else "step").alias("breach_end"),
+            (F.sum("readings") if ends else F.count(F.lit(1))).alias("readings"),
+            F.max("peak" if ends else "value").alias("peak"),
+        ]
+
+    spans = _spans(judged, [*signal, "slice"], "step", F.col("breached"))
+    inside = spans.groupBy(*signal, "slice", "span", "breached").agg(*of(False))
+    within = Window.partitionBy(*signal, "slice")
+    edged = inside.withColumn("opens", F.col("span") == 1).withColumn("closes", F.col("span") == F.max("span").over(within))
+    on_edge = F.col("opens") | F.col("closes")
+    order = Window.partitionBy(*signal).orderBy("breach_start")
+    goes_on = F.col("opens") & F.lag("closes").over(order) & (F.lag("breached").over(order) == F.col("breached"))
+    chained = edged.filter(on_edge).withColumn("new", F.when(goes_on, 0).otherwise(1))
+    chains = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chains.groupBy(*signal, "chain", "breached").agg(*of(True)).drop("chain")
+    found = edged.filter(~on_edge).select(*joined.columns).unionByName(joined)
+    return found.filter("breached").drop("breached")
+
 
 def series_exists(metrics: DataFrame, metric, **labels) -> bool:
     return not select_series(metrics, metric, **labels).isEmpty()

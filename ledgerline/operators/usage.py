@@ -83,7 +83,10 @@ def usage_dump(lines: DataFrame, scrape, line_col="line", mib_per_unit=None) ->
 
 
 def sample_fallback(primary: DataFrame, dump: DataFrame, keys) -> DataFrame:
-    """Primary readings where both CPU and memory are known, else both from the dump (0 if none)."""
+    """Primary readings where both CPU and memory are known, else both from the dump (0 if none).
+
+    Scrapes that only one side has are kept; each side has one row per scrape.
+    """
     fallback = dump.select(
         *keys, F.col("cpu_millicores").alias("dump_cpu"), F.col("memory_mib").alias("dump_memory")
     )
@@ -92,7 +95,7 @@ def sample_fallback(primary: DataFrame, dump: DataFrame, keys) -> DataFrame:
     def pick(name, other):
         return F.when(both, F.col(name)).otherwise(F.coalesce(F.col(other), F.lit(0))).alias(name)
 
-    return primary.join(fallback, keys, "left").select(
+    return primary.join(fallback, keys, "full").select(
         *keys,
         pick("cpu_millicores", "dump_cpu"),
         pick("memory_mib", "dump_memory"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import rounded
 from ledgerline.operators import property as prices
-from ledgerline.operators import quality, reviews, samples, series, usage
+from ledgerline.operators import builder, quality, reviews, samples, series, usage
 from ledgerline.sources import tables
 from ledgerline.streaming import samples as streams
 
@@ -108,23 +108,37 @@ def usage_dump(spark, sf_dir):
 
 
 def sample_fallback(spark, sf_dir):
+    """One answer per scrape, the first event's. Signups are not answered and errors not dumped, so each side lacks scrapes."""
     keys = ["strategy", "timestamp"]
-    primary = metric_answers(spark, sf_dir).groupBy(*keys).agg(
-        F.sum("cpu_millicores").alias("cpu_millicores"), F.sum("memory_mib").alias("memory_mib")
-    )
-    return usage.sample_fallback(primary, usage_dump(spark, sf_dir), keys)
+    events = tables.events(spark, sf_dir)
+    answers = tables.answers(events.filter("event_type <> 'signup'"))
+    totals = usage.metric_answers(usage.metric_answers(answers, "cpu_answer", "cpu_millicores"), "memory_answer", "memory_mib")
+    first = F.min_by(F.struct("cpu_millicores", "memory_mib"), "event_id").alias("first")
+    primary = totals.groupBy(*keys).agg(first).select(*keys, "first.*")
+    dump = usage.usage_dump(tables.usage_lines(events.filter("event_type <> 'error'")), keys)
+    return usage.sample_fallback(primary, dump, keys)
 
 
 def stream_rollup(spark, sf_dir):
     return rounded(streams.rollup_now(tables.samples(tables.event_stream(spark, sf_dir))), 8, **COST_DIGITS)
 
 
+def built_samples(spark, sf_dir):
+    rows = tables.events(spark, sf_dir)
+    dump = usage.usage_dump(tables.clocked_usage_lines(rows), ["strategy", "timestamp"])
+    return builder.metrics_to_samples(tables.metrics(rows), dump, "built")
+
+
+def built_cost_summary(spark, sf_dir):
+    return rounded(samples.cost_summary(built_samples(spark, sf_dir)), 8, **COST_DIGITS)
+
+
 def stream_ingest(spark, sf_dir):
     good, rejects = streams.ingest_now(tables.raw_samples(tables.event_stream(spark, sf_dir)))
-    rows = good.select(F.lit("good").alias("outcome"), "file").unionAll(
-        rejects.select(F.lit("rejected").alias("outcome"), "file")
-    )
-    return rows.groupBy("outcome", "file").agg(F.count(F.lit(1)).alias("sample_count"))
+    shape = ["event_id", "file", "strategy", "timestamp", "executor_count", "cpu_millicores", "memory_mib"]
+    typed = good.select(*shape, F.lit("").alias("reasons"))
+    none = {name: F.lit(None).cast(dtype) for name, dtype in typed.dtypes if name in shape[2:]}
+    return typed.unionByName(rejects.withColumns(none).select(*typed.columns))
 
 
 QUERIES = {
@@ -178,6 +192,8 @@ QUERIES = {
     "metric_answers": metric_answers,
     "usage_dump": usage_dump,
     "sample_fallback": sample_fallback,
+    "built_samples": built_samples,
+    "built_cost_summary": built_cost_summary,
     "stream_rollup": stream_rollup,
     "stream_ingest": stream_ingest,
 }

@@ -42,7 +42,7 @@ def _light(name, build, sink=write_single):
 REGISTRY = {
     job.name: job
     for job in [
-        _light("top_games", games.top_games),
+        _light("top_games", games.top_games, sink=write_table),
         _light("sentiment", games.sentiment),
         _light("user_activity", games.user_activity, sink=write_table),
         Job(
@@ -53,6 +53,7 @@ REGISTRY = {
                     games.typed_reviews(reviews), games.typed_games(games_), games.typed_users(users)
                 )
             },
+            sink=write_table,
         ),
         Job(
             "property_prices", HEAVY, {"sales": read_sales}, prices.property_report,

@@ -22,15 +22,10 @@ def text_schema(columns):
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+_struct = T.StructType.fromDDL
 
 
-def _struct(text):
-    pairs = [item.split() for item in text.split(",")]
-    return T.StructType([T.StructField(name, _TYPES[dtype]) for name, dtype in pairs])
-
-
-# Result types by result name. Key columns are text when read from files.
+# Result columns and types by result name. Key columns are text when read from files.
 RESULTS = {
     "top_games": _struct("app_id string, count bigint"),
     "sentiment": _struct("is_recommended string, count bigint"),

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import require_columns
-from ledgerline.operators.quality import run_of_file, split_samples
+from ledgerline.functions.scalars import strategy_name
+from ledgerline.operators.quality import checked_samples, run_of_file, split_samples, with_run
 from ledgerline.schemas import (
     GAME_COLUMNS,
     REVIEW_COLUMNS,
@@ -22,6 +23,9 @@ from ledgerline.schemas import (
 )
 
 
+SCRAPE_FILE = r"^([A-Za-z]+)-(\d+)\."
+
+
 @dataclass(frozen=True)
 class DataRoot:
     """Where a user's tables lie. ``fmt`` is csv or parquet; the path is any Spark can open."""
@@ -72,41 +76,74 @@ def read_sales(spark, root: DataRoot) -> DataFrame:
     return df
 
 
-def read_raw_samples(spark, path) -> DataFrame:
-    """Sample files as text, with the file each row came from and the run its name stands for."""
-    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    require_columns(df, SAMPLE_COLUMNS, path)
+MOST_FIELDS = 64
+
+
+def _any_order(spark, path) -> DataFrame:
+    """Sample files read by each file's own header: fields by place, named by joining the header row of the file.
+
+    Reads the files twice, once for the header rows. A file without the required columns is an error.
+    """
+    names = [f"c{i}" for i in range(MOST_FIELDS)]
+    rows = spark.read.schema(text_schema(names)).option("header", False).csv(path)
+    cells = rows.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    is_header = F.lit(True)
+    for name in SAMPLE_COLUMNS[:2]:
+        is_header &= F.coalesce(F.array_contains("cells", name), F.lit(False))
+    headers = cells.filter(is_header).groupBy("path").agg(F.first("cells").alias("header"))
+    joined = cells.filter(~is_header).join(headers, "path", "left")
+
+    def cell(name):
+        place = F.array_position("header", name)
+        missing = F.raise_error(F.concat(F.col("file"), F.lit(f" missing required columns: {name}"))).cast("string")
+        return F.when(F.coalesce(place, F.lit(0)) == 0, missing).otherwise(F.get("cells", (place - 1).cast("int"))).alias(name)
+
     run_id, mode = run_of_file(F.col("file"))
     return (
-        df.select(*SAMPLE_COLUMNS, F.col("_metadata.file_name").alias("file"))
+        joined.select(*[cell(name) for name in SAMPLE_COLUMNS], "file")
         .withColumn("run_id", F.when(run_id == "", F.col("file")).otherwise(run_id))
         .withColumn("mode", mode)
     )
 
 
-def read_samples(spark, path, strict=True) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects). Strict reading stops at any bad row, and at an input without rows."""
-    raw = read_raw_samples(spark, path)
-    good, rejects = split_samples(raw)
-    if strict:
-        bad = rejects.limit(1).collect()
-        if bad:
-            fields = {name: bad[0][name] for name in SAMPLE_COLUMNS}
-            raise ValueError(f"Invalid numeric data in {bad[0]['file']}: {fields}")
-        if raw.isEmpty():
-            raise ValueError(f"No samples in {path}")
-    return good, rejects
+def read_raw_samples(spark, path, any_order=False) -> DataFrame:
+    """Sample files as text, with the file each row came from and the run its name stands for.
+
+    The columns may be in any order, but in the same one in all files, unless ``any_order`` is set.
+    """
+    if any_order:
+        return _any_order(spark, path)
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    require_columns(df, SAMPLE_COLUMNS, path)
+    return with_run(df).select(*SAMPLE_COLUMNS, "file", "run_id", "mode")
+
+
+def read_samples(spark, path, strict=True, any_order=False) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects). Strict reading has no rejects: the job that meets a bad row stops and names its file and fields.
+
+    An input without rows is an error in strict mode, seen from its first row.
+    """
+    raw = read_raw_samples(spark, path, any_order)
+    if not strict:
+        return split_samples(raw)
+    if raw.isEmpty():
+        raise ValueError(f"No samples in {path}")
+    return checked_samples(raw), split_samples(raw)[1].limit(0)
+
+
+def _of_scrape(df: DataFrame) -> DataFrame:
+    """With the file name, and strategy and timestamp where it is <strategy>-<seconds>.<anything>."""
+    name = F.col("_metadata.file_name")
+    stamp = F.regexp_extract(name, SCRAPE_FILE, 2).try_cast("bigint")
+    strategy = F.when(stamp.isNotNull(), strategy_name(F.regexp_extract(name, SCRAPE_FILE, 1)))
+    return df.select(*df.columns, name.alias("scrape"), strategy.alias("strategy"), stamp.alias("timestamp"))
 
 
 def read_lines(spark, path) -> DataFrame:
-    """Usage dumps: one text file per scrape, one row per line."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("scrape"), F.col("value").alias("line")
-    )
+    """Usage dumps: one text file per scrape, one row per line: line, scrape, strategy, timestamp."""
+    return _of_scrape(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def read_answers(spark, path) -> DataFrame:
-    """Metric answers: one JSON document per file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("scrape"), F.col("value").alias("answer")
-    )
+    """Metric answers: one JSON document per file: answer, scrape, strategy, timestamp."""
+    return _of_scrape(spark.read.text(path, wholetext=True).withColumnRenamed("value", "answer"))

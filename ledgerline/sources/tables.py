@@ -227,6 +227,16 @@ def answers(events: DataFrame) -> DataFrame:
 
 def usage_lines(events: DataFrame) -> DataFrame:
     """Per event one line of a usage dump; its kind decides the units and the missing columns."""
+    return events.select(*_scrape_columns(), _usage_line().alias("line"))
+
+
+def clocked_usage_lines(events: DataFrame) -> DataFrame:
+    """The same lines, scraped every ten seconds of the sample clock."""
+    timestamp = (F.floor(_clock() / 10) * 10).alias("timestamp")
+    return events.select(_strategy().alias("strategy"), timestamp, _usage_line().alias("line"))
+
+
+def _usage_line():
     kind = F.col("event_type")
     number, k = F.floor(F.col("value")).cast("string"), _k().cast("string")
     pod = F.concat(F.lit("pod-"), F.col("user_id").cast("string"))
@@ -237,4 +247,4 @@ def usage_lines(events: DataFrame) -> DataFrame:
         .when(kind == "signup", F.concat(pod, F.lit(" "), number, F.lit("m")))
         .otherwise(pod)
     )
-    return events.select(*_scrape_columns(), line.alias("line"))
+    return line

@@ -1,17 +1,20 @@
-"""The sample jobs on a stream: the batch functions, a watermark and file sinks."""
+"""The sample jobs on a stream: the batch functions and file sinks."""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.operators.quality import labelled_samples, unlabelled_samples
-from ledgerline.operators.samples import INTERVAL_SECONDS, minute_rollup
+from ledgerline.operators.quality import labelled_samples, unlabelled_samples, with_run
+from ledgerline.operators.samples import INTERVAL_SECONDS, merged_minutes, minute_parts
 from ledgerline.schemas import SAMPLE_COLUMNS, text_schema
 from ledgerline.sources.shared import shared_folder
 
 
 def stream_samples(spark: SparkSession, path: str, columns=None, **options) -> DataFrame:
-    """Sample files as they arrive, as text. A header that differs from the columns is an error."""
+    """Sample files as they arrive, as text, with the file and the run its name stands for, like the batch reader.
+
+    A header that differs from the columns is an error.
+    """
     reader = spark.readStream.schema(text_schema(columns or SAMPLE_COLUMNS)).option("header", True)
-    return reader.option("enforceSchema", False).options(**options).csv(path)
+    return with_run(reader.option("enforceSchema", False).options(**options).csv(path))
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, every=None, partition_by=()):
@@ -42,10 +45,31 @@ def ingest_now(raw: DataFrame, rules="full") -> tuple[DataFrame, DataFrame]:
     return ingested(raw, folder)
 
 
-def rollup_now(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, lateness="30 seconds") -> DataFrame:
-    """Run the minute rollup over all present input; holds the minutes the watermark has closed."""
-    spark = samples.sparkSession
-    folder = shared_folder(spark, "rollup")
-    rollup = minute_rollup(samples, interval_seconds, lateness)
-    write_stream(rollup, f"{folder}/minutes", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(rollup.schema).parquet(f"{folder}/minutes")
+def rollup(samples: DataFrame, folder: str, interval_seconds=INTERVAL_SECONDS, every=None):
+    """Keep the minute rollup of a stream of samples in ``folder``: a table of parts per micro-batch.
+
+    The parts add up, so every sample counts whenever it arrives, no minute waits for a watermark and the stream
+    holds no state. A batch that is run again overwrites its own parts.
+    """
+    parts = f"{folder}/parts"
+
+    def keep(batch, number):
+        minute_parts(batch, interval_seconds).write.mode("overwrite").parquet(f"{parts}/batch={number}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    writer = samples.writeStream.foreachBatch(keep).trigger(**trigger)
+    return writer.option("checkpointLocation", f"{folder}/checkpoint").start()
+
+
+def rolled_up(samples: DataFrame, folder: str, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
+    """The rollup of all samples that a ``rollup`` of ``samples`` has kept so far; equals the batch rollup of them."""
+    shape = minute_parts(samples, interval_seconds).schema
+    parts = samples.sparkSession.read.schema(shape).option("pathGlobFilter", "*.parquet")
+    return merged_minutes(parts.option("recursiveFileLookup", True).parquet(folder))
+
+
+def rollup_now(samples: DataFrame, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
+    """Run the minute rollup over all present input."""
+    folder = shared_folder(samples.sparkSession, "rollup")
+    rollup(samples, folder, interval_seconds).awaitTermination()
+    return rolled_up(samples, folder, interval_seconds)
