@@ -114,8 +114,8 @@ def checked_samples(raw: DataFrame, rules="load") -> DataFrame:
     valid, reasons, typed = sample_rules(rules)
     shown = F.to_json(F.struct(*SAMPLE_COLUMNS), {"ignoreNullFields": "false"})
     message = F.concat(F.lit("Invalid numeric data in "), F.coalesce("file", F.lit("?")), F.lit(": "), shown, F.lit(": "), reasons)
-    held = F.when(valid, typed["strategy"]).otherwise(F.raise_error(message).cast("string"))
-    return raw.withColumns({**typed, "strategy": held})
+    # a filter, since a column that a job does not read is never computed
+    return raw.filter(F.when(valid, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).withColumns(typed)
 
 
 def unlabelled_samples(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from ledgerline.operators import property as prices
 from ledgerline.operators import reviews as games
@@ -29,7 +29,7 @@ class Job:
 
     @property
     def schemas(self):
-        return {name: RESULTS[name] for name in self.results or [self.name]}
+        return {name: StructType.fromDDL(RESULTS[name]) for name in self.results or [self.name]}
 
 
 def _light(name, build, sink=write_single):

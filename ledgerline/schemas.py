@@ -22,28 +22,25 @@ def text_schema(columns):
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 
 
-_struct = T.StructType.fromDDL
-
-
-# Result columns and types by result name. Key columns are text when read from files.
+# Result columns and types by result name, as DDL. Key columns are text when read from files.
 RESULTS = {
-    "top_games": _struct("app_id string, count bigint"),
-    "sentiment": _struct("is_recommended string, count bigint"),
-    "user_activity": _struct("user_id string, count bigint"),
-    "steam_heavy": _struct(
+    "top_games": ("app_id string, count bigint"),
+    "sentiment": ("is_recommended string, count bigint"),
+    "user_activity": ("user_id string, count bigint"),
+    "steam_heavy": (
         "app_id string, title string, rating string, total_recs bigint, avg_hours_played double, "
         "avg_positive_ratio double, positive_recs bigint, avg_user_library_size double, "
         "weighted_score double"
     ),
-    "by_county": _struct(
+    "by_county": (
         "county string, total_sales bigint, avg_price double, median_price bigint, "
         "max_price bigint, min_price bigint"
     ),
-    "by_year": _struct("year int, total_sales bigint, median_price bigint, avg_price double"),
-    "by_property_type": _struct(
+    "by_year": ("year int, total_sales bigint, median_price bigint, avg_price double"),
+    "by_property_type": (
         "property_type string, count bigint, median_price bigint, avg_price double"
     ),
-    "affordability_gap": _struct(
+    "affordability_gap": (
         "district string, county string, median_price bigint, p90_price bigint, "
         "p10_price bigint, total_sales bigint, affordability_ratio double"
     ),

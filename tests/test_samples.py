@@ -29,10 +29,21 @@ def test_cost_rate(spark, cpu, memory, nodes):
     assert df.select(cost_rate(F.col("c"), F.col("m"))).first()[0] == pytest.approx(nodes * NODE_SECOND)
 
 
-@pytest.mark.parametrize("cpu, memory, field", [(-1, 0, "cpu_millicores"), (0, -1, "memory_mib")])
-def test_negative_readings_stop_a_strict_summary(spark, cpu, memory, field):
+@pytest.mark.parametrize("job", [ops.cost_summary, ops.compare_strategies, ops.minute_rollup])
+@pytest.mark.parametrize("cpu, memory, field", [(-1, 5, "cpu_millicores"), (5, -1, "memory_mib")])
+def test_negative_readings_are_an_error(spark, job, cpu, memory, field):
     with pytest.raises(Exception, match=f"{field} is negative"):
-        ops.cost_summary(series(spark, (0, 1, cpu, memory)), strict=True).collect()
+        job(series(spark, (0, 1, cpu, memory))).collect()
+
+
+def test_a_negative_reading_that_is_not_billed_is_none(spark):
+    assert summary(spark, (0, 2, -1, 0))["simulated_cost_usd"] == pytest.approx(10 * NODE_SECOND)
+    assert summary(spark, (0, 2, 0, -3))["simulated_cost_usd"] == pytest.approx(10 * NODE_SECOND)
+
+
+def test_negative_readings_can_be_let_through(spark):
+    row = ops.compare_strategies(series(spark, (0, 1, -500, 4096)), strict=False).collect()[0]
+    assert row["simulated_cost_usd"] == pytest.approx(5 * NODE_SECOND)
 
 
 def test_scale_up(spark):

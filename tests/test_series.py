@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerline.operators import series as ops
@@ -27,18 +29,49 @@ def test_window_forgets_what_is_older(spark):
     assert [r["rate"] for r in ops.counter_rate(df).orderBy("ts").collect()] == [None, 10.0, 0.1, 0.1]
 
 
-def test_millicores_by_strategy(spark):
-    df = metric(
-        spark, ops.CPU_COUNTER, *[(pod, t, t * 0.25) for pod in ("spark-worker-keda-1", "spark-worker-keda-2", "spark-dynamic-1") for t in (0, 5, 10)]
-    )
-    found = {(r["strategy"], r["step"]): (r["cpu_millicores"], r["series"]) for r in ops.cpu_millicores(ops.counter_rate(df)).collect()}
-    assert found == {("keda", 0): (500.0, 2), ("keda", 10): (500.0, 2), ("dra", 0): (250.0, 1), ("dra", 10): (250.0, 1)}
+def shown(readings, lookback, step=10):
+    """Per step of the grid the newest reading of each pod, by looking back from every step."""
+    out = {}
+    for t in range(-step, max(ts for _, ts, _ in readings) // step * step + lookback + 2 * step, step):
+        for pod in {p for p, _, _ in readings}:
+            seen = [(ts, v) for p, ts, v in readings if p == pod and t - lookback < ts <= t and v is not None]
+            if seen:
+                out[t, pod] = max(seen)[1]
+    return out
+
+
+@pytest.mark.parametrize("lookback", [7, 10, 60, 300])
+def test_instant_values_of_irregular_scrapes(spark, lookback):
+    rng = random.Random(lookback)
+    readings = sorted({(p, t): None if rng.random() < 0.1 else float(t) for p in "abc" for t in rng.sample(range(500), 40)}.items())
+    readings = [(p, t, v) for (p, t), v in readings]
+    df = spark.createDataFrame(readings, "pod string, ts bigint, value double")
+    found = ops.instant_values(df, ["pod"], "value", lookback).collect()
+    assert {(r["step"], r["pod"]): r["value"] for r in found} == shown(readings, lookback)
+    assert len(found) == len(shown(readings, lookback))
+
+
+def test_steady_pods_scraped_at_odd_times(spark):
+    """Two pods of 500 m, scraped every 15 seconds and not together: 1000 m from the second rate on."""
+    rows = [(f"spark-worker-keda-{p}", t, t * 0.5) for p in (1, 2) for t in range(3 * p, 120, 15)]
+    found = {r["step"]: (r["cpu_millicores"], r["series"]) for r in ops.cpu_millicores(ops.counter_rate(metric(spark, ops.CPU_COUNTER, *rows))).collect()}
+    assert {step: found[step] for step in range(30, 160, 10)} == {step: (1000.0, 2) for step in range(30, 160, 10)}
+    assert found[20] == (500.0, 1) and max(found) < 120 + 60
 
 
-def test_memory_uses_the_last_reading(spark):
+def test_memory_over_time_forgets_dead_pods(spark):
     mib = 1048576
-    df = metric(spark, ops.WORKING_SET, ("spark-worker-hpa-1", 0, 9 * mib), ("spark-worker-hpa-1", 10, 2 * mib), ("spark-worker-hpa-2", 5, 3 * mib))
-    assert [tuple(r) for r in ops.memory_mib(df).collect()] == [("hpa", 5.0, 2)]
+    rows = [("spark-worker-hpa-1", 0, 9 * mib), ("spark-worker-hpa-1", 10, 2 * mib), ("spark-worker-hpa-2", 5, 3 * mib), ("spark-worker-hpa-2", 1000, mib)]
+    found = {r["step"]: (r["memory_mib"], r["series"]) for r in ops.memory_mib(metric(spark, ops.WORKING_SET, *rows)).collect()}
+    assert (found[0], found[10], found[300], found[1000]) == ((9.0, 1), (5.0, 2), (5.0, 2), (1.0, 1))
+    assert 310 not in found and 1300 not in found
+
+
+def test_heap_by_strategy_averages_the_pods_alive(spark):
+    pods = {"spark-dynamic-1": (0, 50), "spark-dynamic-2": (7, 100)}
+    heap = metric(spark, ops.HEAP_USED, *[(p, t, v) for p, (t, v) in pods.items()]).unionAll(metric(spark, ops.HEAP_MAX, *[(p, t, 200) for p, (t, _) in pods.items()]))
+    found = {r["step"]: r["heap_pct"] for r in ops.heap_pct_by_strategy(heap).collect()}
+    assert (found[0], found[10], found[290], found[300]) == (25.0, 37.5, 37.5, 50.0)
 
 
 def test_heap(spark):
@@ -51,12 +84,18 @@ def test_heap(spark):
 
 def test_liveness(spark):
     df = metric(spark, ops.UP, *[("a", t, v) for t, v in [(0, 1), (1, 1), (2, 0), (3, 0), (4, 1)]], ("b", 0, 1), ("b", 2, 1))
-    assert {tuple(r) for r in ops.live_count(df).collect()} == {(0, 2), (1, 1), (2, 1), (3, 0), (4, 1)}
     assert {tuple(r) for r in ops.executor_lifecycle(df).collect()} == {
         ("a", 1, 0, 1, 2), ("a", 0, 2, 3, 2), ("a", 1, 4, 4, 1), ("b", 1, 0, 2, 2)
     }
 
 
+def test_live_pods_scraped_one_after_the_other(spark):
+    rows = [(f"spark-worker-keda-{p}", t + p, 1) for p in range(3) for t in range(0, 100, 10)] + [("spark-dynamic-9", 0, 1), ("spark-dynamic-9", 30, 0)]
+    found = {(r["strategy"], r["step"]): r["live"] for r in ops.live_count(metric(spark, ops.UP, *rows), lookback=20).collect()}
+    assert [found["keda", t] for t in range(0, 110, 10)] == [1] + [3] * 10
+    assert (found["dra", 0], found["dra", 10], found["dra", 30]) == (1, 1, 0) and ("dra", 20) not in found
+
+
 def test_label_filters(spark):
     df = metric(spark, "m", ("spark-worker-keda-1", 0, 1), ("a.b", 0, 1), ("axb", 0, 1)).unionAll(
         metric(spark, "m", ("pause", 0, 1), container="POD")
@@ -96,7 +135,27 @@ def test_autoscaler_readings(spark):
         metric(spark, ops.HEAP_MAX, *[(p, 0, 100) for p in pods])
     )
     cpu = metric(spark, ops.CPU_COUNTER, *[(p, t, t * r) for p, r in zip(pods, (0.5, 0.25)) for t in (0, 5)])
-    found = {(r["strategy"], r["signal"]): r["value"] for r in ops.autoscaler_readings(heap.unionAll(cpu)).collect()}
+    rows = ops.autoscaler_readings(heap.unionAll(cpu)).collect()
+    found = {(r["strategy"], r["signal"]): r["value"] for r in rows}
+    assert {r["step"] for r in rows if r["signal"] == "cpu_pct"} == set(range(10, 65, 10))
     assert found == {
         ("hpa", "heap_pct"): 70.0, ("hpa", "cpu_pct"): pytest.approx(37.5), ("hpa", "cpu_millicores"): pytest.approx(375.0)
     }
+
+
+@pytest.mark.parametrize("slice_seconds", [20, 70, 86_400])
+def test_breaches_over_slices(spark, slice_seconds):
+    rng = random.Random(slice_seconds)
+    values = [rng.choice([50.0, 66.0, 80.0, 90.0, None]) if i % 40 > 25 else 99.0 for i in range(300)]
+    readings = spark.createDataFrame([("keda", "heap_pct", 10 * i + (500 if i > 200 else 0), v) for i, v in enumerate(values)], "strategy string, signal string, step bigint, value double")
+    wanted, open_span = [], None
+    for i, v in enumerate([*values, None]):
+        step = 10 * i + (500 if i > 200 else 0)
+        if v is not None and v > 65:
+            open_span = open_span or [step, step, 0, 0.0]
+            open_span = [open_span[0], step, open_span[2] + 1, max(open_span[3], v)]
+        elif open_span:
+            wanted.append(tuple(open_span))
+            open_span = None
+    found = ops.threshold_breaches(readings, ops.thresholds(spark), slice_seconds).collect()
+    assert sorted((r["breach_start"], r["breach_end"], r["readings"], r["peak"]) for r in found) == wanted

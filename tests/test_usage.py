@@ -62,9 +62,9 @@ def test_answers(spark, answer, total):
 def test_fallback_is_for_both_or_none(spark):
     schema = "t int, cpu_millicores bigint, memory_mib bigint"
     primary = spark.createDataFrame([(1, 10, 20), (2, None, 20), (3, 10, None), (4, None, None)], schema)
-    other = spark.createDataFrame([(1, 1, 1), (2, 5, 6), (3, 7, 8)], schema)
+    other = spark.createDataFrame([(1, 1, 1), (2, 5, 6), (3, 7, 8), (5, 9, 10), (6, None, 4)], schema)
     found = {tuple(r) for r in ops.sample_fallback(primary, other, ["t"]).collect()}
-    assert found == {(1, 10, 20, "metrics"), (2, 5, 6, "usage dump"), (3, 7, 8, "usage dump"), (4, 0, 0, "usage dump")}
+    assert found == {(1, 10, 20, "metrics"), (2, 5, 6, "usage dump"), (3, 7, 8, "usage dump"), (4, 0, 0, "usage dump"), (5, 9, 10, "usage dump"), (6, 0, 4, "usage dump")}
 
 
 def test_non_counts_become_zero(spark):
