@@ -7,9 +7,11 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ledgerline.llm.texts import ID, TEXT
@@ -18,6 +20,7 @@ SPACE = "▁"
 CACHED_CHUNKS = 200_000
 CACHED_PAIRS = 400_000
 NO_MERGE = float("-inf")
+SLICE_ROWS = 64
 
 
 def _fields(message: bytes):
@@ -275,22 +278,28 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
 
     Null text is encoded like empty text: no ids, 0, and an empty string. Whole texts are encoded, and equal
     texts get equal ids. ``model_path`` must be readable on every executor. Columns of the three names are replaced.
+    Ids and texts leave Python in slices of a batch, so a task holds the tokens of SLICE_ROWS rows.
     """
+    kept = docs.drop("ids", "n_tokens", "decoded").withColumn(TEXT, F.col(TEXT).cast("string"))
+    added = T.StructType.fromDDL("ids array<int>, n_tokens long, decoded string")
 
-    @pandas_udf("ids array<int>, decoded string")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches):
         own = coder(model_path)
-        found = [own.encode_and_decode(text or "") for text in texts]
-        ids = [np.fromstring(f[1], np.int32, sep=",") if f[0] else np.empty(0, np.int32) for f in found]
-        return pd.DataFrame({"ids": ids, "decoded": [f[2] for f in found]})
-
-    coded = docs.withColumn("_llm_coded", encode(F.col(TEXT).cast("string")))
-    return (
-        coded.withColumn("ids", F.col("_llm_coded.ids"))
-        .withColumn("n_tokens", F.size("_llm_coded.ids").cast("long"))
-        .withColumn("decoded", F.col("_llm_coded.decoded"))
-        .drop("_llm_coded")
-    )
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                values, counts, decoded = [], [], []
+                for text in part.column(TEXT).to_pylist():
+                    count, ids, back = own.encode_and_decode(text or "")
+                    values.append(np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32))
+                    counts.append(count)
+                    decoded.append(back)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
+                columns = [*part.columns, ids, pa.array(counts, pa.int64()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added.names])
+
+    return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, *added.fields]))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
