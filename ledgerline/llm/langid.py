@@ -85,7 +85,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
     held = np.arange(len(shares)) % 3 == 2
     if not held.any() or count == 1:
         held = np.zeros(len(shares), bool)
-    train, target = shares[~held], np.eye(count, dtype=np.float32)[labels[~held]]
+    learned, target = np.flatnonzero(~held), np.eye(count, dtype=np.float32)
     weights = [
         random.normal(0, 0.1, (shares.shape[1], size)).astype(np.float32),
         random.normal(0, 0.1, (size, count)).astype(np.float32),
@@ -94,16 +94,17 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
     for _ in range(epochs if count > 1 else 0):
-        order = random.permutation(len(train))
+        order = random.permutation(learned)
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
             embedding, linear, bias = weights
-            hidden = train[rows] @ embedding
+            given = shares[rows]
+            hidden = given @ embedding
             logits = hidden @ linear + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
-            error = (chance / chance.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
+            error = (chance / chance.sum(axis=1, keepdims=True) - target[labels[rows]]) / len(rows)
             step += 1
-            for i, slope in enumerate((train[rows].T @ (error @ linear.T), hidden.T @ error, error.sum(axis=0))):
+            for i, slope in enumerate((given.T @ (error @ linear.T), hidden.T @ error, error.sum(axis=0))):
                 first[i] = 0.9 * first[i] + 0.1 * slope
                 second[i] = 0.999 * second[i] + 0.001 * slope * slope
                 scaled = first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
@@ -112,7 +113,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
     scores = embedding @ linear
     temperature, least = 1.0, 0.5
     if held.any():
-        logits = shares[held] @ scores + bias
+        logits = np.concatenate([shares[at : at + 256].astype(np.float64) @ scores for at in range(0, len(shares), 256)])[held] + bias
         chosen = np.arange(len(logits)), labels[held]
 
         def chances(t):
@@ -160,16 +161,19 @@ def train(docs: DataFrame, rows_a_language: int = 600, most_languages: int = 256
         return pd.DataFrame({"buckets": hit, "counts": [c[h].astype(np.int32) for c, h in zip(found, hit)]})
 
     drawn = pool.where(draw < chance).select(ID, "lang", counted(TEXT).alias("c")).select(ID, "lang", "c.*")
-    sample = drawn.where(F.size("buckets") > 0).toPandas().sort_values([ID, "lang"], kind="stable")
-    if not len(sample):
+    table = drawn.where(F.size("buckets") > 0).toArrow()
+    count = table.num_rows
+    if not count:
         return None
-    shares = np.zeros((len(sample), BUCKETS), np.float32)
-    for row, (buckets, counts) in enumerate(zip(sample["buckets"], sample["counts"])):
-        shares[row, np.asarray(buckets)] = np.asarray(counts) / np.sum(counts)
-    languages = sorted(set(sample["lang"]))
-    order = np.random.default_rng(3).permutation(len(sample))
-    labels = sample["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
-    return fit(shares[order], labels[order], languages)
+    table = table.sort_by([(ID, "ascending"), ("lang", "ascending")])
+    names = table["lang"].to_pylist()
+    languages = sorted(set(names))
+    order = np.random.default_rng(3).permutation(count)
+    shares = np.zeros((count, BUCKETS), np.float32)
+    for row, at in enumerate(order.tolist()):
+        counts = table["counts"][at].values.to_numpy()
+        shares[row, table["buckets"][at].values.to_numpy()] = counts / counts.sum()
+    return fit(shares, np.array([languages.index(names[at]) for at in order]), languages)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None, **bounds) -> DataFrame:
