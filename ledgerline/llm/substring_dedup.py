@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ledgerline.llm.texts import ID, KEY, TEXT, attach, keyed
+from ledgerline.sources.shared import written
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]+(?:\n(?!\s*\n))?)+")}
 MIN_WORDS = 5
@@ -74,6 +75,8 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
         .where("n > 1")
         .select("d1", "d2", "earliest")
     )
+    # written, so that both sides of the join are plain shuffles and a hot unit can be split
+    repeated = written(repeated, "units")
     return found.join(repeated, ["d1", "d2"]).where(place > F.col("earliest")).select(ID, KEY, "start", "finish")
 
 
