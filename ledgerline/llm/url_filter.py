@@ -145,6 +145,7 @@ def judge_urls(
     )
     paths = written(_generalised(written(counted, "paths"), most_children), "templates")
     judged = attach(paths.select("host", "lex", "template"), _judged(paths, deviation, prior, strength), ["host", "lex"])
+    judged = written(judged, "branches")  # so that a hot template can be split in the join with its pages
     rule = rule_for(F.col("host"), F.col("path"), rules)
     found = attach(split.withColumn("found", rule), judged, ["host", "lex"])
     by_branch = F.when(F.col("share") > reject_share, "block").otherwise("allow")
