@@ -66,8 +66,13 @@ def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int, closest: f
     return spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))), closest)
 
 
-def _assigned(classes: DataFrame, shared, probes: int) -> DataFrame:
-    """``classes`` with the cells of the nearest centroids, nearest first; the first is the vector's home."""
+def _assigned(classes: DataFrame, shared, probes: int, least_cosine: float) -> DataFrame:
+    """``classes`` with the cells of the nearest centroids, nearest first (the first is the vector's home), and ``core``.
+
+    A vector is core if its angle to its home centroid is at most half the angle of ``least_cosine``: any two
+    core vectors of a cell are then linked for certain. The tiny margin keeps rounding out of that.
+    """
+    half = np.sqrt((1 + least_cosine) / 2) + 1e-9
 
     def assign(batches):
         for batch in batches:
@@ -75,42 +80,53 @@ def _assigned(classes: DataFrame, shared, probes: int) -> DataFrame:
             count = min(probes, near.shape[1])
             best = np.argpartition(-near, count - 1, axis=1)[:, :count]
             order = np.take_along_axis(-near, best, axis=1).argsort(axis=1, kind="stable")
-            yield batch.assign(cells=list(np.take_along_axis(best, order, axis=1).astype(np.int32)))
+            cells = np.take_along_axis(best, order, axis=1).astype(np.int32)
+            yield batch.assign(cells=list(cells), core=near.max(axis=1) >= half)
 
-    return classes.mapInPandas(assign, "vector array<double>, node long, copies long, cells array<int>")
+    return classes.mapInPandas(assign, "vector array<double>, node long, copies long, cells array<int>, core boolean")
 
 
 def _dealt(assigned: DataFrame, size: int) -> DataFrame:
-    """The rows of every product: cell, x and y name it, ``side`` is 0 for block x of the home rows and 1 for block y.
+    """The rows of every product: cell, x and y name it, ``side`` is 0 for its block x and 1 for its block y.
 
-    Blocks of about ``size`` rows, by a hash of the node, split the home rows of a cell and, apart from them (y
-    counts on behind the home blocks), those that only probe it. Home blocks meet each other and
-    all probing blocks. What the driver learns is two counts per cell.
+    A cell's rows are split, by a hash of the node, into blocks of about ``size`` rows, numbered through: loose home
+    rows, core home rows, and guests, which only probe the cell. Loose blocks meet all blocks, core blocks meet
+    guests, and core blocks need not meet each other, so a dense group of copies costs no more than its
+    few loose rows and guests times its size. What the driver learns is three counts per cell.
     """
     spark = assigned.sparkSession
-    spread = assigned.select("node", F.posexplode("cells").alias("rank", "cell"))
-    sizes = spread.groupBy("cell").agg(F.count_if(F.col("rank") == 0).alias("home"), F.count_if(F.col("rank") > 0).alias("guests")).collect()
-    blocks = spark.sparkContext.broadcast({r["cell"]: (-(-r["home"] // size), -(-r["guests"] // size)) for r in sizes})
+    spread = assigned.select("core", F.posexplode("cells").alias("rank", "cell"))
+    home = F.col("rank") == 0
+    sizes = spread.groupBy("cell").agg(
+        F.count_if(home & ~F.col("core")).alias("loose"), F.count_if(home & F.col("core")).alias("core"), F.count_if(~home).alias("guests")
+    )
+    counts = {r["cell"]: tuple(-(-r[kind] // size) for kind in ("loose", "core", "guests")) for r in sizes.collect()}
+    blocks = spark.sparkContext.broadcast(counts)
+
+    def meetings(number, rank, core, draw):
+        loose, cores, guests = blocks.value[number]
+        visitors = range(loose + cores, loose + cores + guests)
+        if rank:
+            own = loose + cores + draw % guests
+            return [(number, o, own, 1) for o in range(loose + cores)]
+        if core:
+            own = loose + draw % cores
+            return [(number, o, own, 1) for o in range(loose)] + [(number, own, o, 0) for o in visitors]
+        own = draw % loose
+        met = [(number, min(own, o), max(own, o), int(o < own)) for o in range(loose)]
+        return met + [(number, own, o, 0) for o in [*range(loose, loose + cores), *visitors]]
 
     def deal(batches):
         for batch in batches:
             own, products = [], []
             draws = pd.util.hash_array(batch["node"].to_numpy(np.int64))
-            for at, (cells, draw) in enumerate(zip(batch["cells"], draws.tolist())):
+            for at, (cells, core, draw) in enumerate(zip(batch["cells"], batch["core"], draws.tolist())):
                 for rank, number in enumerate(cells):
-                    home, guests = blocks.value[number]
-                    if rank == 0:
-                        block = draw % home
-                        met = [(number, min(block, o), max(block, o), int(o < block)) for o in range(home)]
-                        met += [(number, block, home + g, 0) for g in range(guests)]
-                    elif home:
-                        met = [(number, o, home + draw % guests, 1) for o in range(home)]
-                    else:
-                        continue
+                    met = meetings(number, rank, core, draw)
                     own.extend([at] * len(met))
                     products.extend(met)
             for start in range(0, len(own), 4096):
-                part = batch.iloc[own[start : start + 4096]].reset_index(drop=True)
+                part = batch.drop(columns="core").iloc[own[start : start + 4096]].reset_index(drop=True)
                 names = pd.DataFrame(products[start : start + 4096], columns=["cell", "x", "y", "side"])
                 yield pd.concat([names, part], axis=1)
 
@@ -118,6 +134,17 @@ def _dealt(assigned: DataFrame, size: int) -> DataFrame:
     return assigned.mapInPandas(deal, shape)
 
 
+def _core_links(assigned: DataFrame) -> DataFrame:
+    """The links among the core rows of each cell, without comparing them: a star and the counts."""
+    core = assigned.where("core").select(F.element_at("cells", 1).alias("home"), "node", "copies")
+    whole = core.groupBy("home").agg(F.min("node").alias("least"), F.sum("copies").alias("all_copies"))
+    known = core.join(whole, "home")
+    none = F.lit(None).cast("long")
+    star = known.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"), none.alias("copies"))
+    counts = known.select(F.col("node").alias("a"), none.alias("b"), (F.col("all_copies") - F.col("copies")).alias("copies"))
+    return star.unionAll(counts.where("copies > 0"))
+
+
 def _compare(least_cosine: float):
     """The links inside one product: (a, b, null) stars that connect the same nodes, (a, null, linked copies)."""
 
@@ -162,7 +189,8 @@ def near_duplicates(
     the members of its ``probes`` nearest cells. No pair below the bound is linked; the share of pairs found is
     measured against brute force in the tests. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
     if they exceed SAMPLE_BYTES), one per ``cell`` vectors, at most MOST_CELLS, and merged where they are
-    near copies themselves. A larger cell is compared in blocks of ``block`` rows, which costs the square of its size.
+    near copies themselves. A larger cell is compared in blocks of ``block`` rows. Vectors so near their centroid that
+    they must be linked with each other are counted and not compared; the rest of a cell costs its size times the cell's.
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable, ``kept`` says
     that it is the row's own. Equal vectors are compared once and count as linked copies, repeated rows of one
@@ -181,9 +209,10 @@ def near_duplicates(
     classes = written(_classes(usable), "vectors")
     centroids = _fit(classes, classes.count(), cell, sample_rows, least_cosine)
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS vectors at most
-    assigned = written(_assigned(classes, shared, probes), "assigned")
+    assigned = written(_assigned(classes, shared, probes, least_cosine), "assigned")
     products = _dealt(assigned, block).groupBy("cell", "x", "y")
-    found = written(products.applyInPandas(_compare(least_cosine), "a long, b long, copies long"), "cosines")
+    compared = products.applyInPandas(_compare(least_cosine), "a long, b long, copies long")
+    found = written(compared.unionAll(_core_links(assigned)), "cosines")
     links = found.where("b is not null").groupBy("a", "b").agg(F.lit(1).alias("one"))
     components = connected_components(links.select("a", "b")).withColumnRenamed("component", "component_id")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("linked"))
