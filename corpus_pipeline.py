@@ -13,6 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def known_language(spark, docs, sf_dir):
     """Keeps the documents whose language is told with the calibrated least score; learns from ``docs`` itself."""
+    send_package(spark)
     found = langid.identify(docs.select(COLUMNS), rows_a_language=600, most_languages=256)
     return found.where("accepted").select(COLUMNS)
 
@@ -26,6 +27,7 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keeps one document, the one of the least id, of each group of near-duplicates; a row without id stays."""
+    send_package(spark)
     found = simhash.near_duplicates(docs, shingle_words=3, max_bits=2)
     copies = found.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("copy_id"))
     return docs.join(copies, docs[ID] == F.col("copy_id"), "left_anti").select(COLUMNS)
@@ -33,6 +35,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_contaminated(spark, docs, sf_dir):
     """Drops documents of which a twentieth of the words or more is in passages of the benchmark."""
+    send_package(spark)
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = found.where("contaminated").select(ID, KEY)
     named = docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
@@ -41,6 +44,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """Token ids of every document, and a digest of the text that they decode to."""
+    send_package(spark)
     found = piece_bpe.tokenize(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.sha2("decoded", 256).alias("decoded_sha256")
     return found.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", digest)
@@ -57,7 +61,6 @@ STAGES = [
 
 def run(spark, sf_dir):
     """The rows of the last stage, from the table ``documents``; every stage is written and read again."""
-    send_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

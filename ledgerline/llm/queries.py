@@ -240,6 +240,23 @@ SELECT page_id, r.host, path, rule,
 FROM ruled r JOIN decided d ON d.host = r.host AND d.lex = r.lex
 """
 
+OP7_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM good UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least, vec_id) AS component_id, vec_id = coalesce(least, vec_id) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT vec_id, min(other) AS least FROM reach GROUP BY vec_id) USING (vec_id)
+"""
+
 OP8_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -265,6 +282,7 @@ FROM whole
 ORACLE = {
     "op6_url_filter": OP6_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
