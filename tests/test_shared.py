@@ -1,15 +1,17 @@
 """The shared folder, and the package on the executors."""
 
+import os
 import subprocess
 import sys
 import zipfile
 
-from conftest import ROOT
-
 from ledgerline.sources import packages
 from ledgerline.sources.shared import shared_folder, written
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def test_new_folder_for_each_use(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
