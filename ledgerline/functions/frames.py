@@ -16,6 +16,17 @@ def match_nulls_join(left: DataFrame, right: DataFrame, keys, how="inner") -> Da
     return left.join(renamed, condition, how).drop(*hidden.values())
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys, spread, salts=16) -> DataFrame:
+    """Inner equi-join in which a hot key of ``left`` is dealt over ``salts`` tasks by a hash of ``spread``.
+
+    For a small ``right`` that was aggregated by the same keys: its rows are repeated ``salts`` times. Without
+    that, Spark would take over the aggregate's partitioning, and a hot key could not be split.
+    """
+    dealt = left.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts)))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def rounded(df: DataFrame, digits=6, **digits_of) -> DataFrame:
     """Round every floating column, so that summation order does not show; ``digits_of`` by column."""
     return df.select(

@@ -59,27 +59,22 @@ def sentiment_ratio(reviews: DataFrame) -> DataFrame:
 def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataFrame:
     """Review count, averages and weighted score per game, over reviews with a known game and user.
 
-    Users and games are folded to one row per key first; repeated ones multiply the reviews, as in a plain
-    join, and ``copies`` carries that. Reviews are shuffled once, to meet their users: a user with very many
-    reviews is a hot key on that side only, which adaptive execution splits. They are then folded per game
-    before the second shuffle, so a hot game is one row per task, and games join last.
+    Reviews are shuffled once, to meet their users. Both sides of that join are plain shuffles, so a user with
+    very many reviews is split by adaptive execution. They are then folded per game before the second shuffle, so a
+    hot game is one row per task, and games join last. Repeated users and games multiply the reviews; games are
+    folded to one row per title first, and ``copies`` carries that.
     """
     recommended = F.when(F.col("is_recommended") == "true", 1).otherwise(0)
-    per_user = users.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.sum("products").alias("products"),
-        F.count("products").alias("sized"),
-    )
     per_game = (
-        reviews.join(per_user, "user_id")
+        reviews.join(users.select("user_id", "products"), "user_id")
         .groupBy("app_id")
         .agg(
-            F.sum("copies").alias("recs"),
-            F.sum(F.col("hours") * F.col("copies")).alias("hours"),
-            F.sum(F.when(F.col("hours").isNotNull(), F.col("copies")).otherwise(0)).alias("timed"),
-            F.sum(recommended * F.col("copies")).alias("positives"),
+            F.count(F.lit(1)).alias("recs"),
+            F.sum("hours").alias("hours"),
+            F.count("hours").alias("timed"),
+            F.sum(recommended).alias("positives"),
             F.sum("products").alias("products"),
-            F.sum("sized").alias("sized"),
+            F.count("products").alias("sized"),
         )
     )
     per_title = games.groupBy("app_id", "title", "rating").agg(

@@ -8,6 +8,7 @@ series has, the window over it is no longer than the run is in seconds.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.frames import salted_join
 from ledgerline.functions.scalars import (
     EXECUTOR_MIB,
     EXECUTOR_MILLICORES,
@@ -124,7 +125,7 @@ def started_samples(samples: DataFrame) -> DataFrame:
     """Samples from the first second with running executors on; a series without any has none."""
     first_running = F.min(F.when(F.col("executor_count") > 0, F.col("timestamp")))
     starts = samples.groupBy(*SERIES).agg(first_running.alias("started")).filter("started IS NOT NULL")
-    return samples.join(starts, SERIES).filter(F.col("timestamp") >= F.col("started")).drop("started")
+    return salted_join(samples, starts, SERIES, ["timestamp", "cpu_millicores"]).filter(F.col("timestamp") >= F.col("started")).drop("started")
 
 
 def cost_summary(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=True) -> DataFrame:

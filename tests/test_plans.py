@@ -2,7 +2,8 @@
 
 import pytest
 
-from ledgerline.operators.reviews import rank_in_library
+from ledgerline.operators.reviews import rank_in_library, score_games
+from ledgerline.operators.samples import started_samples
 from ledgerline.plans.catalog import QUERIES
 
 STREAMS = {"stream_rollup", "stream_ingest"}
@@ -20,11 +21,11 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
         assert word not in text
 
 
-def test_score_has_no_window_and_folds_pairs_first(spark, sf_dir):
+def test_score_has_no_window_and_no_fold_per_pair(spark, sf_dir):
     text = plan(QUERIES["steam_heavy"](spark, sf_dir))
     assert "Window" not in text
     assert "Repartition" not in text
-    assert "Aggregate [user_id" in text
+    assert "Aggregate [user_id" not in text
 
 
 def test_scans_read_only_what_is_needed(spark, sf_dir):
@@ -81,3 +82,26 @@ def test_ranking_runs_no_job_before_the_action(spark):
         assert not context.statusTracker().getJobIdsForGroup("building")
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_hot_user_is_split_when_reviews_meet_users(spark, small_skew):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(
+        "cast(id % 50 as string) AS app_id", "if(id < 120000, 'hot', cast(id as string)) AS user_id",
+        "'true' AS is_recommended", "cast(1 as float) AS hours",
+    )
+    users = spark.range(0, 200_000, 1, 8).selectExpr("if(id = 0, 'hot', cast(id as string)) AS user_id", "id AS products")
+    games = spark.range(50).selectExpr("cast(id as string) AS app_id", "'t' AS title", "'r' AS rating", "cast(1 as float) AS positive_ratio")
+    scored = score_games(rows, games, users)
+    assert scored.agg({"total_recs": "sum"}).first()[0] == 200_000
+    scored.collect()
+    assert "skew=true" in plan(scored, physical=True)
+
+
+def test_a_hot_series_is_dealt_over_tasks(spark):
+    samples = spark.range(1000).selectExpr(
+        "'r' AS run_id", "'keda' AS strategy", "id AS timestamp", "cast(if(id < 10, 0, 1) as int) AS executor_count",
+        "cast(id as double) AS cpu_millicores", "1.0D AS memory_mib",
+    )
+    started = started_samples(samples)
+    assert started.count() == 990 and started.columns == samples.columns
+    assert "_salt" in plan(started)
