@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.texts import ID, KEY, TEXT, attach, keyed
+from ledgerline.sources.shared import written
 
 LINES = 3
 
@@ -45,6 +46,8 @@ def repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
         .where("n > 1")
         .select("d1", "d2", "earliest")
     )
+    # written, so that both sides of the join are plain shuffles and a hot window can be split
+    repeated = written(repeated, "windows")
     return windows.join(repeated, ["d1", "d2"]).where(place > F.col("earliest")).select(ID, KEY, "start")
 
 
