@@ -36,7 +36,8 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    larger = both.where("b > a").join(least, "a")
+    # written, so that both sides of the join are plain shuffles and the many neighbours of a hub can be split
+    larger = both.where("b > a").join(written(least, "least"), "a")
     return larger.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a > b").distinct()
 
 

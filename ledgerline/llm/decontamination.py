@@ -74,7 +74,7 @@ def _bits(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """A row per shingle of each window: item_id, item_key, words, size, width, first (of the window), at, token."""
+    """A row per item with words: item_id, words, size (of its windows), width (of its shingles), tokens, item_key."""
 
     def cut(batches):
         for batch in batches:

@@ -138,7 +138,7 @@ def _core_links(assigned: DataFrame) -> DataFrame:
     """The links among the core rows of each cell, without comparing them: a star and the counts."""
     core = assigned.where("core").select(F.element_at("cells", 1).alias("home"), "node", "copies")
     whole = core.groupBy("home").agg(F.min("node").alias("least"), F.sum("copies").alias("all_copies"))
-    known = core.join(whole, "home")
+    known = core.join(F.broadcast(whole), "home")  # MOST_CELLS rows at most
     none = F.lit(None).cast("long")
     star = known.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"), none.alias("copies"))
     counts = known.select(F.col("node").alias("a"), none.alias("b"), (F.col("all_copies") - F.col("copies")).alias("copies"))
