@@ -98,8 +98,10 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     postings = F.explode(
         F.array(*[F.struct(F.lit(i).alias("slot"), F.col("simhash").bitwiseAND(F.lit(m)).alias("octets")) for i, m in enumerate(masks)])
     )
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = (
-        distinct.select("simhash", postings.alias("p"))
+        distinct.repartition(spread, F.hash("simhash"))  # few bytes come in, many times more go out
+        .select("simhash", postings.alias("p"))
         .groupBy("p.slot", "p.octets")
         .agg(F.collect_list("simhash").alias("members"))
         .where(F.size("members") > 1)
