@@ -36,7 +36,7 @@ def spherical_kmeans(rows: np.ndarray, cells: int, closest: float = 1.0, rounds:
     """Unit centroids, of which no two have a cosine of ``closest`` or more before the last round.
 
     Near copies in great number draw many first centroids; one of them is kept, so such a group is one cell
-    (worked in blocks) and not more cells than a vector probes.
+    (worked in blocks) and not many cells that all probe each other.
     """
     centroids = rows[np.random.default_rng(seed).choice(len(rows), cells, replace=False)].copy()
     for _ in range(rounds):
@@ -66,8 +66,30 @@ def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int, closest: f
     return spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))), closest)
 
 
-def _assigned(classes: DataFrame, shared, probes: int, least_cosine: float) -> DataFrame:
-    """``classes`` with the cells of the nearest centroids, nearest first (the first is the vector's home), and ``core``.
+def probed_cells(rows: np.ndarray, centroids: np.ndarray, least_cosine: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """(cells, cosine to the home centroid) of unit rows: the home cell first, then every cell that may hold a partner.
+
+    Two rows of different homes lie on either side of the plane midway between the two centroids, so the
+    angle between them is at least the sum of their angles to that plane. If they are linked, one of them is within
+    half the angle of ``least_cosine`` of the plane. Each row probes the cells it is so near to, hence every linked
+    pair meets, whatever the number of cells.
+    """
+    reach = np.sqrt(max(0.0, (1 - least_cosine) / 2))
+    cells, nearest = [], []
+    for at in range(0, len(rows), 512):
+        near = rows[at : at + 512] @ centroids.T
+        home = near.argmax(axis=1)
+        top = near[np.arange(len(near)), home]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids[home] @ centroids.T)))
+        probed = top[:, None] - near <= reach * apart + 1e-7
+        probed[np.arange(len(near)), home] = False
+        cells += [np.concatenate([[h], np.nonzero(p)[0]]).astype(np.int32) for h, p in zip(home, probed)]
+        nearest.append(top)
+    return cells, np.concatenate([*nearest, np.zeros(0)])
+
+
+def _assigned(classes: DataFrame, shared, least_cosine: float) -> DataFrame:
+    """``classes`` with their probed cells (the first is the vector's home), and ``core``.
 
     A vector is core if its angle to its home centroid is at most half the angle of ``least_cosine``: any two
     core vectors of a cell are then linked for certain. The tiny margin keeps rounding out of that.
@@ -76,23 +98,21 @@ def _assigned(classes: DataFrame, shared, probes: int, least_cosine: float) -> D
 
     def assign(batches):
         for batch in batches:
-            near = unit_rows(batch["vector"]) @ shared.value.T
-            count = min(probes, near.shape[1])
-            best = np.argpartition(-near, count - 1, axis=1)[:, :count]
-            order = np.take_along_axis(-near, best, axis=1).argsort(axis=1, kind="stable")
-            cells = np.take_along_axis(best, order, axis=1).astype(np.int32)
-            yield batch.assign(cells=list(cells), core=near.max(axis=1) >= half)
+            if len(batch):
+                cells, nearest = probed_cells(unit_rows(batch["vector"]), shared.value, least_cosine)
+                yield batch.assign(cells=cells, core=nearest >= half)
 
     return classes.mapInPandas(assign, "vector array<double>, node long, copies long, cells array<int>, core boolean")
 
 
-def _dealt(assigned: DataFrame, size: int) -> DataFrame:
+def _dealt(assigned: DataFrame, size: int, number_type: str) -> DataFrame:
     """The rows of every product: cell, x and y name it, ``side`` is 0 for its block x and 1 for its block y.
 
     A cell's rows are split, by a hash of the node, into blocks of about ``size`` rows, numbered through: loose home
     rows, core home rows, and guests, which only probe the cell. Loose blocks meet all blocks, core blocks meet
     guests, and core blocks need not meet each other, so a dense group of copies costs no more than its
-    few loose rows and guests times its size. What the driver learns is three counts per cell.
+    few loose rows and guests times its size. What the driver learns is three counts per cell. Vectors travel as
+    ``number_type``, the type they came in.
     """
     spark = assigned.sparkSession
     spread = assigned.select("core", F.posexplode("cells").alias("rank", "cell"))
@@ -116,21 +136,30 @@ def _dealt(assigned: DataFrame, size: int) -> DataFrame:
         met = [(number, min(own, o), max(own, o), int(o < own)) for o in range(loose)]
         return met + [(number, own, o, 0) for o in [*range(loose, loose + cores), *visitors]]
 
+    def part(batch, own, products, told):
+        names = pd.DataFrame(products, columns=["cell", "x", "y", "side"])
+        return pd.concat([names, batch.iloc[own].reset_index(drop=True)], axis=1).assign(cells=told)
+
     def deal(batches):
         for batch in batches:
-            own, products = [], []
+            own, products, told = [], [], []
             draws = pd.util.hash_array(batch["node"].to_numpy(np.int64))
-            for at, (cells, core, draw) in enumerate(zip(batch["cells"], batch["core"], draws.tolist())):
+            core = batch["core"].to_numpy()
+            every = batch["cells"].to_numpy()
+            batch = batch.drop(columns=["core", "cells"])
+            for at, (cells, draw) in enumerate(zip(every, draws.tolist())):
                 for rank, number in enumerate(cells):
-                    met = meetings(number, rank, core, draw)
+                    met = meetings(number, rank, core[at], draw)
                     own.extend([at] * len(met))
                     products.extend(met)
-            for start in range(0, len(own), 4096):
-                part = batch.drop(columns="core").iloc[own[start : start + 4096]].reset_index(drop=True)
-                names = pd.DataFrame(products[start : start + 4096], columns=["cell", "x", "y", "side"])
-                yield pd.concat([names, part], axis=1)
-
-    shape = "cell int, x int, y int, side int, vector array<double>, node long, copies long, cells array<int>"
+                    told.extend([cells[:1] if rank else cells] * len(met))  # of a guest, only its home is asked
+                    if len(own) >= 4096:
+                        yield part(batch, own, products, told)
+                        own, products, told = [], [], []
+            if own:
+                yield part(batch, own, products, told)
+
+    shape = f"cell int, x int, y int, side int, vector array<{number_type}>, node long, copies long, cells array<int>"
     return assigned.mapInPandas(deal, shape)
 
 
@@ -180,14 +209,13 @@ def _compare(least_cosine: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, least_cosine: float = 0.9, probes: int = 6, cell: int = CELL, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, least_cosine: float = 0.9, cell: int = CELL, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """vec_id, n_links, component_id (long) and kept (boolean): one row per row of ``vectors`` (vec_id, embedding).
 
-    Two rows are linked if the cosine of their vectors, in double precision, is ``least_cosine`` or more and
-    they meet: the index puts every vector into the cell of its nearest centroid and compares it with
-    the members of its ``probes`` nearest cells. No pair below the bound is linked; the share of pairs found is
-    measured against brute force in the tests. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
+    Two rows are linked if the cosine of their vectors, in double precision, is ``least_cosine`` or more: the
+    index puts every vector into the cell of its nearest centroid and compares it with the members of
+    every cell that may hold a partner (see ``probed_cells``), so all such pairs are found and no others. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
     if they exceed SAMPLE_BYTES), one per ``cell`` vectors, at most MOST_CELLS, and merged where they are
     near copies themselves. A larger cell is compared in blocks of ``block`` rows. Vectors so near their centroid that
     they must be linked with each other are counted and not compared; the rest of a cell costs its size times the cell's.
@@ -209,8 +237,9 @@ def near_duplicates(
     classes = written(_classes(usable), "vectors")
     centroids = _fit(classes, classes.count(), cell, sample_rows, least_cosine)
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS vectors at most
-    assigned = written(_assigned(classes, shared, probes, least_cosine), "assigned")
-    products = _dealt(assigned, block).groupBy("cell", "x", "y")
+    assigned = written(_assigned(classes, shared, least_cosine), "assigned")
+    number_type = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    products = _dealt(assigned, block, number_type).groupBy("cell", "x", "y")
     compared = products.applyInPandas(_compare(least_cosine), "a long, b long, copies long")
     found = written(compared.unionAll(_core_links(assigned)), "cosines")
     links = found.where("b is not null").groupBy("a", "b").agg(F.lit(1).alias("one"))

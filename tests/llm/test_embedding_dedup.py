@@ -51,6 +51,12 @@ def test_recall_where_neighbours_are_not_clear(spark):
     assert sum(links.values()) >= 0.9 * sum(wanted.values()) > 1000
 
 
+def test_recall_over_many_cells(spark):
+    """Over a hundred, from a small sample: most pairs lie in none of the vectors that were drawn."""
+    rows = groups(7, [2] * 1000, width=32, noise=0.056)
+    assert found(near_duplicates(table(spark, rows), cell=14, sample_rows=600)) == brute(rows)
+
+
 def test_dense_group_is_counted_exactly(spark):
     """Most of a tight group is core, its fringe and the strays beside it are not."""
     rows = groups(5, [300], noise=0.02) + [(i + 300, v) for i, v in groups(6, [120], noise=0.06)] + [(i + 420, v) for i, v in groups(5, [60], noise=0.09)]
