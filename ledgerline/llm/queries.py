@@ -34,7 +34,7 @@ def op1_secret_scan(spark, sf_dir):
 
 
 def op2_substring_dedup(spark, sf_dir):
-    found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), "line")
+    found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), "line", min_words=1)
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["finish"].cast("string")))
     return found.select(
         "doc_id", "n_removed", "kept_chars", F.array_join(spans, ",").alias("removed_spans"),

@@ -47,3 +47,12 @@ def test_long_passage_over_documents(documents):
 
 def test_empty_table(documents):
     assert dedup_units(documents([])).count() == 0
+
+
+def test_query_removes_short_lines_too(spark, tmp_path):
+    from ledgerline.llm.queries import QUERIES
+
+    rows = [(1, "All rights reserved.\nx\n\n日本語の長い行"), (2, "all  rights reserved.\ny\n\n日本語の長い行"), (3, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["removed_spans"] for r in QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {1: "", 2: "0:21,25:32", 3: "0:1"}
