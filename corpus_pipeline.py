@@ -25,12 +25,24 @@ def drop_repeated_lines(spark, docs, sf_dir):
     return found.where(~emptied).withColumn("n_chars", F.length(TEXT).cast("long")).select(COLUMNS)
 
 
+def _named(docs):
+    return docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
+
+
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps one document, the one of the least id, of each group of near-duplicates; a row without id stays."""
+    """Keeps one row of each group of near-duplicates: the least by (doc_id, text key), a null id last.
+
+    Groups are found by text, so rows that share an id and differ in text are judged by themselves; of repeated
+    rows one is left.
+    """
     send_package(spark)
-    found = simhash.near_duplicates(docs, shingle_words=3, max_bits=2)
-    copies = found.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("copy_id"))
-    return docs.join(copies, docs[ID] == F.col("copy_id"), "left_anti").select(COLUMNS)
+    named = _named(docs)
+    found = simhash.near_duplicates(named.select(F.col(KEY).alias(ID), TEXT), shingle_words=3, max_bits=2)
+    groups = found.groupBy(F.col(ID).alias(KEY)).agg(F.min("component_id").alias("group"))
+    first = named.groupBy(KEY).agg(F.min(F.struct(F.col(ID).isNull().alias("unnamed"), F.col(ID))).alias("first"))
+    least = first.join(groups, KEY).groupBy("group").agg(F.min(F.struct("first.*", KEY)).alias("least"))
+    chosen = least.select(f"least.{ID}", f"least.{KEY}")
+    return named.join(chosen, same(named, chosen, [ID, KEY]), "left_semi").dropDuplicates([ID, KEY]).select(COLUMNS)
 
 
 def drop_contaminated(spark, docs, sf_dir):
@@ -38,7 +50,7 @@ def drop_contaminated(spark, docs, sf_dir):
     send_package(spark)
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = found.where("contaminated").select(ID, KEY)
-    named = docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
+    named = _named(docs)
     return named.join(dirty, same(named, dirty, [ID, KEY]), "left_anti").select(COLUMNS)
 
 

@@ -75,3 +75,12 @@ def test_nulls_and_odd_rows_pass(spark, sf_dir):
         docs = written(stage(spark, docs, sf_dir), "test")
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert None in ids and not {-1, -2} & ids
+
+
+def test_one_row_of_each_group_is_kept(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b, c, d = ("the quick brown fox jumps", "an entirely different text here", "third words of another kind", "fourth and last of these texts")
+    ids = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (None, d), (5, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ids], real.select(corpus_pipeline.COLUMNS).schema)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(pairs(r.asDict() for r in left), key=str) == sorted([(1, a), (2, b), (None, c), (5, d)], key=str)
