@@ -1,7 +1,6 @@
 """Secret scans: patterns over a text and over every layer that is encoded in it, with spans of the text itself."""
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -32,7 +31,12 @@ UNICODE = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}"
     r"|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{2,})*={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{2,})*={0,2}")
+BLANKS = str.maketrans("-_", "+/", " \t\r\n")
+#: What a packed stream begins with, wherever it stands in decoded bytes (zlib has too little of it).
+MAGIC = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+#: Shorter decoded stretches cannot hold a secret, however they are encoded.
+STRETCH = re.compile("[^�]{16}")
 PIECE = 1 << 22
 OVERLAP = 1 << 12
 
@@ -125,13 +129,41 @@ def _unicode_pieces(text: str) -> list:
     return pieces
 
 
-def _from_base64(blob: str) -> bytes | None:
-    """The bytes of standard or URL-safe base64, padded or not; None if no base64 has this length."""
-    plain = blob.rstrip("=").replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
+def _from_base64(blob: str) -> bytes:
+    """The bytes of standard or URL-safe base64, padded or not; an odd last character is dropped."""
+    plain = blob.rstrip("=").translate(BLANKS)
+    plain = plain[:-1] if len(plain) % 4 == 1 else plain
+    return base64.b64decode(plain + "=" * (-len(plain) % 4))
+
+
+def _unpacks(data: bytes) -> bool:
+    """Whether data begins with a zlib stream, by its first 4 KB."""
+    name, stream = _decompressor(data)
     try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+        return name == "zlib" and len(stream.decompress(data[: 1 << 12], 1 << 12)) >= 16
+    except zlib.error:
+        return False
+
+
+def _base64_texts(run: str, path: str) -> Iterator[tuple[str, str]]:
+    """(text, path) of a run of base64 characters: as a whole, and of blobs that begin or end inside it.
+
+    A prefix shifts the characters of a blob by 0 to 3, so the run is decoded in the four alignments; text shows
+    as stretches of one of them, a packed stream by its first bytes. zlib is looked for behind / - _ + and line breaks.
+    """
+    plain = run.rstrip("=").translate(BLANKS)
+    for shift in range(4):
+        data = _from_base64(plain[shift:])
+        left = [len(data)]
+        yield from _texts(data, path, shift == 0, left)
+        for found in MAGIC.finditer(data):
+            if found.start() and found.start() >= len(data) - left[0]:  # not inside a stream that was read
+                yield from _texts(data[found.start() :], path, False, left)
+    for found in re.finditer(r"[/_+-]|\n[ \t]*", run):
+        if _decompressor(_from_base64(run[found.end() : found.end() + 8]))[0] != "zlib":
+            continue
+        if _unpacks(_from_base64(run[found.end() : found.end() + 6000])):
+            yield from _texts(_from_base64(run[found.end() :]), path)
 
 
 def _decompressor(data: bytes):
@@ -149,36 +181,60 @@ def _decompressor(data: bytes):
     return None, None
 
 
-def _inflated(name: str, stream, data: bytes) -> Iterator[bytes]:
-    """What the stream holds, in parts of a few MB at most; ends without a word where it is broken."""
+def _inflated(name: str, stream, data: bytes, left: list) -> Iterator[bytes]:
+    """What the stream and further ones of its kind behind it hold, in parts of a few MB at most.
+
+    Ends without a word where it is broken. ``left`` learns how many bytes are behind the last whole one.
+    """
     try:
-        if name == "zstd":
-            for at in range(0, len(data), 1 << 12):
-                yield stream.decompress(data[at : at + (1 << 12)])
-        elif name in ("gzip", "zlib"):
-            while data and not stream.eof:
+        while True:
+            if name == "zstd":
+                at = 0
+                while at < len(data) and not stream.eof:
+                    yield stream.decompress(data[at : at + (1 << 12)])
+                    at += 1 << 12
+                rest = stream.unused_data + data[at:]
+            elif name in ("gzip", "zlib"):
+                while data and not stream.eof:
+                    yield stream.decompress(data, PIECE)
+                    data = stream.unconsumed_tail
+                rest = stream.unused_data
+            else:
                 yield stream.decompress(data, PIECE)
-                data = stream.unconsumed_tail
-        else:
-            yield stream.decompress(data, PIECE)
-            while not stream.eof and not stream.needs_input:
-                yield stream.decompress(b"", PIECE)
+                while not stream.eof and not stream.needs_input:
+                    yield stream.decompress(b"", PIECE)
+                rest = stream.unused_data
+            if not stream.eof:
+                return
+            left[0] = len(rest)
+            data = rest.lstrip(b"\0")
+            following, stream = _decompressor(data)
+            if following != name:
+                return
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
         return
 
 
-def _texts(data: bytes, path: str) -> Iterator[tuple[str, str]]:
-    """(text, path) of decoded bytes: themselves, or what they unpack to, in pieces that overlap."""
+def _texts(data: bytes, path: str, whole: bool = True, left: list | None = None) -> Iterator[tuple[str, str]]:
+    """(text, path) of decoded bytes: themselves, or what they unpack to; bytes that are no UTF-8 become U+FFFD.
+
+    Bytes that do not unpack are left out if no stretch could hold a secret, unless they are UTF-8 and ``whole``.
+    """
     name, stream = _decompressor(data)
-    if not name:
-        try:
-            yield data.decode(), path
-        except UnicodeDecodeError:
-            pass
+    if name:
+        yield from _unpacked(name, stream, data, path, [0] if left is None else left)
+    if name not in (None, "zlib"):
         return
-    decoder, held, packed = codecs.getincrementaldecoder("utf-8")(), "", b""
+    text = data.decode(errors="replace")
+    if STRETCH.search(text) or (whole and not name and text and "\ufffd" not in text):
+        yield text, path
+
+
+def _unpacked(name: str, stream, data: bytes, path: str, left: list) -> Iterator[tuple[str, str]]:
+    """(text, path) of a packed stream, in pieces that overlap."""
+    decoder, held, size, packed = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, b""
     begun = False
-    parts = _inflated(name, stream, data)
+    parts = _inflated(name, stream, data, left)
     for part in parts:
         if not begun:
             packed += part
@@ -188,20 +244,15 @@ def _texts(data: bytes, path: str) -> Iterator[tuple[str, str]]:
             if _decompressor(part)[0]:  # a stream in a stream: its packed bytes are held whole
                 yield from _texts(b"".join([part, *parts]), f"{path}>{name}")
                 return
-        try:
-            held += decoder.decode(part)
-        except UnicodeDecodeError:
-            return
-        while len(held) >= PIECE:
-            yield held[:PIECE], f"{path}>{name}"
-            held = held[PIECE - OVERLAP :]
-    if not begun:
-        try:
-            held = packed.decode()
-        except UnicodeDecodeError:
-            return
-    if held:
-        yield held, f"{path}>{name}"
+        text = decoder.decode(part)
+        held.append(text)
+        size += len(text)
+        if size >= PIECE:
+            yield (piece := "".join(held)), f"{path}>{name}"
+            held, size = [piece[-OVERLAP:]], OVERLAP
+    held.append(decoder.decode(b"" if begun else packed, True))
+    if last := "".join(held):
+        yield last, f"{path}>{name}"
 
 
 def children(layer: Layer) -> Iterator[Layer]:
@@ -212,17 +263,18 @@ def children(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (pieces := _unicode_pieces(text)):
         yield layer.spliced(pieces, f"{layer.path}>unicode")
     for found in BASE64.finditer(text):
-        whole = _from_base64(found.group())
-        blobs = [(found.start(), found.end(), whole)]
+        blobs = [(found.start(), found.end(), _base64_texts(found.group(), f"{layer.path}>base64"))]
         if "\n" in found.group():  # lines of one blob, or blobs on lines of their own
             at = found.start()
             for line in found.group().split("\n"):
-                if len(line) >= 16:
-                    blobs.append((at, at + len(line), _from_base64(line)))
+                blob = line.strip(" \t\r")
+                if len(blob) >= 16:
+                    start = at + line.index(blob)
+                    blobs.append((start, start + len(blob), _texts(_from_base64(blob), f"{layer.path}>base64")))
                 at += len(line) + 1
-        for start, end, data in blobs:
-            for decoded, path in _texts(data, f"{layer.path}>base64") if data else ():
-                yield Layer(decoded, *layer.root_span(start, end), path)
+        for start, end, decoded in blobs:
+            for inner, path in decoded:
+                yield Layer(inner, *layer.root_span(start, end), path)
 
 
 def find(text: str) -> tuple[list, list, int]:
@@ -260,8 +312,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ``base`` are the secrets that stand in the text, ``spans`` these and the ones in decoded layers: URL and
     Unicode escapes, base64, and gzip, zlib, bzip2, xz or zstd inside it, in any order and depth. ``layer`` names
     the decodings (empty for base). Offsets are code points of the text, end exclusive, by start, then kind.
-    Null and empty texts have none. Whole texts and whole layers are read, an unpacked stream in overlapping pieces, so
-    memory is bounded by the text, by one piece per level, and by the packed size of a stream inside a stream. Columns of the three names are replaced.
+    Null and empty texts have none. Whole texts and whole layers are read, an unpacked stream in overlapping
+    pieces, so memory is bounded by the text, by one piece per level, and by the packed size of
+    a stream inside a stream. A blob may begin or end inside a run of base64 characters, and bytes that are no UTF-8 are skipped. Columns of the three names are replaced.
     """
     span = "array<struct<kind:string,start:long,finish:long,layer:string>>"
 

@@ -81,6 +81,33 @@ def test_mime_lines():
     assert (2, 2 + len(blob), 0, "base64") in spans
 
 
+def wrapped(blob, indent=""):
+    return f"\n{indent}".join(blob[i : i + 60] for i in range(0, len(blob), 60))
+
+
+LONG = SECRET + " padding" * 20
+PLACED = {
+    "path": "https://a.example.com/d/" + b64(SECRET),
+    "prefix": "id_" + b64(SECRET),
+    "packed path": "https://a.example.com/d/" + b64(gzip.compress(SECRET.encode())),
+    "zlib path": "https://a.example.com/d/" + b64(zlib.compress(LONG.encode())),
+    "foreign line": wrapped(b64(LONG).rstrip("=")) + "\nword and more",
+    "packed foreign line": wrapped(b64(lzma.compress(LONG.encode())).rstrip("=")) + "\nwords and more",
+    "indented": "key:\n    " + wrapped(b64(gzip.compress(LONG.encode())), "    "),
+    "odd byte": b64(b"\xff\xfe " + SECRET.encode() + b" \x80"),
+    "odd byte in a stream": b64(gzip.compress(b"\xff " + SECRET.encode())),
+    "gzip members": b64(gzip.compress(b"first member") + gzip.compress(SECRET.encode())),
+    "bzip2 members": b64(bz2.compress(b"first member") + bz2.compress(SECRET.encode())),
+    "xz members": b64(lzma.compress(b"first member") + lzma.compress(SECRET.encode())),
+    "zstd members": b64(zstandard.compress(b"first member") + zstandard.compress(SECRET.encode())),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLACED))
+def test_blobs_inside_runs(name):
+    assert 0 in {kind for *_, kind, layer in secret_scan.find(f"x {PLACED[name]} y")[1] if layer}
+
+
 def test_long_stream_is_read_whole():
     inner = "prose and more prose " * 400_000 + SECRET + " prose" * 1_000_000
     text = "x " + b64(gzip.compress(inner.encode()))
