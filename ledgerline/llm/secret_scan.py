@@ -38,7 +38,8 @@ MAGIC = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY
 #: Shorter decoded stretches cannot hold a secret, however they are encoded.
 STRETCH = re.compile("[^�]{16}")
 PIECE = 1 << 22
-OVERLAP = 1 << 12
+#: Places that no encoded run and no secret goes over, before or after any decoding; a piece may end behind one.
+SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\s"':%\\{}&#;-]|(?<=\s)[A-Za-z]+\x20(?=[A-Za-z])|\n(?=\r?\n)""")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -231,7 +232,7 @@ def _texts(data: bytes, path: str, whole: bool = True, left: list | None = None)
 
 
 def _unpacked(name: str, stream, data: bytes, path: str, left: list) -> Iterator[tuple[str, str]]:
-    """(text, path) of a packed stream, in pieces that overlap."""
+    """(text, path) of a packed stream, in pieces that end where no encoded run or secret is open."""
     decoder, held, size, packed = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, b""
     begun = False
     parts = _inflated(name, stream, data, left)
@@ -247,14 +248,25 @@ def _unpacked(name: str, stream, data: bytes, path: str, left: list) -> Iterator
         text = decoder.decode(part)
         held.append(text)
         size += len(text)
-        if size >= PIECE:
-            yield (piece := "".join(held)), f"{path}>{name}"
-            held, size = [piece[-OVERLAP:]], OVERLAP
+        if size >= PIECE and (cut := _last_safe(text)):
+            yield "".join([*held[:-1], text[:cut]]), f"{path}>{name}"
+            held, size = [text[cut:]], len(text) - cut
     held.append(decoder.decode(b"" if begun else packed, True))
     if last := "".join(held):
         yield last, f"{path}>{name}"
 
 
+def _last_safe(text: str) -> int:
+    """The end of the last SAFE place of a text, 0 if there is none."""
+    width = 1 << 12
+    while True:
+        at = max(0, len(text) - width)
+        last = max((m.end() for m in SAFE.finditer(text, at)), default=0)
+        if last or not at:
+            return last
+        width <<= 6
+
+
 def children(layer: Layer) -> Iterator[Layer]:
     """The layers one decoding below, one at a time."""
     text = layer.text
@@ -312,8 +324,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ``base`` are the secrets that stand in the text, ``spans`` these and the ones in decoded layers: URL and
     Unicode escapes, base64, and gzip, zlib, bzip2, xz or zstd inside it, in any order and depth. ``layer`` names
     the decodings (empty for base). Offsets are code points of the text, end exclusive, by start, then kind.
-    Null and empty texts have none. Whole texts and whole layers are read, an unpacked stream in overlapping
-    pieces, so memory is bounded by the text, by one piece per level, and by the packed size of
+    Null and empty texts have none. Whole texts and whole layers are read, an unpacked stream in pieces that end where no encoded
+    run is open, so memory is bounded by the text, by one piece or the longest run per level, and by the packed size of
     a stream inside a stream. A blob may begin or end inside a run of base64 characters, and bytes that are no UTF-8 are skipped. Columns of the three names are replaced.
     """
     span = "array<struct<kind:string,start:long,finish:long,layer:string>>"

@@ -108,6 +108,16 @@ def test_blobs_inside_runs(name):
     assert 0 in {kind for *_, kind, layer in secret_scan.find(f"x {PLACED[name]} y")[1] if layer}
 
 
+@pytest.mark.parametrize("before", [20_000, 1_000])
+def test_nested_blob_across_a_border(before):
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(1_500))
+    blob = b64(gzip.compress((noise + " " + SECRET).encode()))
+    prose = "prose and more prose "
+    inner = (prose * 300_000)[: secret_scan.PIECE - before] + " " + blob + " " + prose * 300_000
+    text = "x " + b64(gzip.compress(inner.encode()))
+    assert (2, len(text), 0, "base64>gzip>base64>gzip") in secret_scan.find(text)[1]
+
+
 def test_long_stream_is_read_whole():
     inner = "prose and more prose " * 400_000 + SECRET + " prose" * 1_000_000
     text = "x " + b64(gzip.compress(inner.encode()))
