@@ -3,7 +3,21 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontamination, embedding_dedup, langid, line_dedup, piece_bpe, secret_scan, simhash, substring_dedup, url_filter
+from ledgerline.llm import (
+    chat,
+    decontamination,
+    embedding_dedup,
+    langid,
+    line_dedup,
+    periodic_runs,
+    piece_bpe,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    token_counts,
+    turn_repair,
+    url_filter,
+)
 from ledgerline.sources.packages import send_package
 
 
@@ -98,6 +112,68 @@ def op9_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def damaged_turns(conversations):
+    """Rows of conversations, a twentieth each dropped, emptied, without stops, repeated or given to the user."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(name).cast("string"), blank) for name in ("conv_id", "turn")])
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(key.cast("binary")) % 20).alias("fate"),
+    )
+    fate = F.col("fate")
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(1), F.when(fate == 3, 2).otherwise(1))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    return rows.where(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+def op11_conversation_repair(spark, sf_dir):
+    conversations = _table(spark, sf_dir, "conversations")
+    report, _ = turn_repair.repair(damaged_turns(conversations))
+    every = conversations.select(F.col("conv_id").alias("_llm_conv")).distinct()
+    joined = every.join(report, F.col("_llm_conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        F.col("_llm_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_token_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), most_tokens=2048)
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def with_repeats(docs):
+    """Documents of which a tenth, by a hash of the id, repeats a stretch of its words from some place to its end."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("words").cast("long")
+    g = F.floor(h / 10)
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words))
+    a = F.when(n > 0, g % n)
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    block = F.slice("words", (a + 1).cast("int"), period.cast("int"))
+    copies = F.flatten(F.array_repeat(block, F.ceil((n - a) / period).cast("int")))
+    repeated = F.concat(F.slice("words", F.lit(1), a.cast("int")), F.slice(copies, F.lit(1), (n - a).cast("int")))
+    return chosen.withColumn("text", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).drop("words")
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs, least_words=24)
+    best = F.aggregate(
+        F.slice("runs", 2, 1 << 30), F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -109,6 +185,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_counts": op12_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP2_SQL = r"""
@@ -279,6 +358,68 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 FROM whole
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS codes
+  FROM conversations
+), fated AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, codes), lambda crc, c:
+    list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)),
+    4294967295::BIGINT) % 20 AS fate
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), inserts (state, letters, now, said) AS (
+  VALUES ('', '', '', ''), ('s', '', 's', ''), ('u', '', 'u', ''), ('a', '', 'a', ''),
+         ('', 'I', 'u', chr(10) || 'user:'), ('s', 'I', 'u', chr(10) || 'user:'), ('a', 'I', 'u', chr(10) || 'user:'),
+         ('u', 'I', 'a', chr(10) || 'assistant:'), ('', 'II', 'a', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         ('s', 'II', 'a', chr(10) || 'user:' || chr(10) || 'assistant:')
+), options (now, letter, initial, after, cost) AS (
+  VALUES ('', 'D', NULL, '', 3), ('s', 'D', NULL, 's', 3), ('u', 'D', NULL, 'u', 3), ('a', 'D', NULL, 'a', 3),
+         ('', 'R', NULL, 'u', 2), ('s', 'R', NULL, 'u', 2), ('u', 'R', NULL, 'a', 2), ('a', 'R', NULL, 'u', 2),
+         ('', 'K', 's', 's', 0), ('', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0), ('a', 'K', 'u', 'u', 0)
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '' AS state, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM counts
+  UNION ALL
+  SELECT w.conv_id, r.i, o.after,
+         min({'cost': (w.best.cost + 2 * length(x.letters) + o.cost + CASE WHEN o.letter <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END)::BIGINT,
+              'audit': w.best.audit || x.letters || o.letter,
+              'said': w.best.said || x.said || CASE o.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text
+                ELSE chr(10) || CASE o.after WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text END})
+  FROM ways w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+  JOIN inserts x ON x.state = w.state JOIN options o ON o.now = x.now
+  WHERE (o.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (o.initial IS NULL OR o.initial = left(r.role, 1))
+  GROUP BY w.conv_id, r.i, o.after
+), ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + 2 * length(x.letters), 'audit': w.best.audit || x.letters, 'said': w.best.said || x.said}) AS best
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN inserts x ON x.state = w.state
+  WHERE x.now IN ('', 'a') GROUP BY w.conv_id
+)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLE = {
     "op6_url_filter": OP6_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
@@ -286,4 +427,5 @@ ORACLE = {
     "op8_chat_formatting": OP8_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }

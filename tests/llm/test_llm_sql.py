@@ -14,4 +14,4 @@ def test_equals_sql(spark, sf_dir, name):
 
 def test_all_queries_are_registered():
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
