@@ -1,8 +1,8 @@
 """Resource samples -> cost, latency and utilisation per run and strategy.
 
 A series is one (run_id, strategy). Sums and peaks are plain aggregates. Where the order of
-samples matters, a series is first folded to one row per second, so that however many rows a
-series has, the window over it is no longer than the run is in seconds.
+samples matters, a series is first folded to one row per second and cut into slices of time, whose
+summaries are merged: no window is wider than a slice.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,9 @@ from ledgerline.functions.scalars import (
 
 SERIES = ["run_id", "strategy"]
 INTERVAL_SECONDS = 10
+#: Width of the slices in which the order of samples is looked at, and the limit of an array's length.
+SLICE_SECONDS = 86_400
+MOST_PARTS = 1 << 30
 SUMMARY_COLUMNS = [
     "run_id", "strategy", "duration_seconds", "observed_seconds",
     "scale_up_latency_seconds", "scale_down_time_seconds",
@@ -89,38 +92,77 @@ def series_totals(samples: DataFrame, interval_seconds=INTERVAL_SECONDS, strict=
     )
 
 
-def scaling_times(samples: DataFrame) -> DataFrame:
-    """Seconds from the first running executors to the first growth, and from the last peak down.
+def scaling_parts(samples: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """What each slice of a series tells about scaling, in a form that neighbours can be merged in.
 
-    Samples of one second count as its highest executor count; later means a later second.
+    Samples of one second count as its highest executor count. A part holds its first second, its records (the seconds
+    with more executors than any before them in the part: one row per executor count at most), its last peak and the
+    second after it. The only window is as wide as a slice.
     """
     seconds = samples.groupBy(*SERIES, "timestamp").agg(F.max("executor_count").alias("executors"))
-    order = Window.partitionBy(*SERIES).orderBy("timestamp")
-    running = F.when(F.col("executors") > 0, F.struct("timestamp", "executors"))
-    walked = seconds.select(
-        *SERIES,
-        "timestamp",
-        "executors",
-        F.first(running, ignorenulls=True)
-        .over(order.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("start"),
+    sliced = seconds.withColumn("slice", F.floor(F.col("timestamp") / slice_seconds))
+    order = Window.partitionBy(*SERIES, "slice").orderBy("timestamp")
+    so_far = F.max("executors").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    walked = sliced.select(
+        *SERIES, "slice", "timestamp", "executors",
+        (F.col("executors").isNotNull() & F.coalesce(F.col("executors") > so_far, F.lit(True))).alias("record"),
         F.lead("timestamp").over(order).alias("next_timestamp"),
     )
-    grown = F.when(F.col("executors") > F.col("start.executors"), F.col("timestamp") - F.col("start.timestamp"))
-    last_peak = F.max(F.struct("executors", "timestamp", "next_timestamp"))
+    peak = F.max(F.struct("executors", "timestamp", "next_timestamp"))
+    record = F.when(F.col("record"), F.struct("timestamp", "executors"))
+    return walked.groupBy(*SERIES, "slice").agg(
+        F.min("timestamp").alias("from_timestamp"), F.array_sort(F.collect_list(record)).alias("records"), peak.alias("peak")
+    )
+
+
+def _joined(before, after):
+    """One part from two neighbours; the order in which parts are joined does not matter."""
+    highest = F.get(before["records"], F.size(before["records"]) - 1)["executors"]
+    higher = F.filter(after["records"], lambda record: F.coalesce(record["executors"] > highest, F.lit(True)))
+    earlier, later = before["peak"]["executors"], after["peak"]["executors"]
+    left = F.struct(
+        before["peak"]["executors"].alias("executors"),
+        before["peak"]["timestamp"].alias("timestamp"),
+        F.coalesce(before["peak"]["next_timestamp"], after["from_timestamp"]).alias("next_timestamp"),
+    )
+    return F.struct(
+        before["from_timestamp"].alias("from_timestamp"),
+        F.concat(before["records"], higher).alias("records"),
+        F.when(F.coalesce(later >= earlier, earlier.isNull()), after["peak"]).otherwise(left).alias("peak"),
+    )
+
+
+def merged_parts(parts: DataFrame, keys=SERIES) -> DataFrame:
+    """Neighbouring parts of each of ``keys`` as one part; merged parts can be merged again."""
+    part = F.struct("from_timestamp", "records", "peak")
     return (
-        walked.groupBy(*SERIES)
-        .agg(F.min(grown).cast("double").alias("scale_up_latency_seconds"), last_peak.alias("last_peak"))
-        .select(
-            *SERIES,
-            "scale_up_latency_seconds",
-            (F.col("last_peak.next_timestamp") - F.col("last_peak.timestamp"))
-            .cast("double")
-            .alias("scale_down_time_seconds"),
-        )
+        parts.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        .select(*keys, F.reduce(F.slice("parts", 2, MOST_PARTS), F.get("parts", F.lit(0)), _joined).alias("part"))
+        .select(*keys, "part.*")
+    )
+
+
+def scaling_of(parts: DataFrame) -> DataFrame:
+    """Scaling times of whole series, one part each: from the first running record to the next, and from the last peak down."""
+    running = F.filter("records", lambda record: record["executors"] > 0)
+    grown = F.get(running, F.lit(1))["timestamp"] - F.get(running, F.lit(0))["timestamp"]
+    return parts.select(
+        *SERIES,
+        grown.cast("double").alias("scale_up_latency_seconds"),
+        (F.col("peak.next_timestamp") - F.col("peak.timestamp")).cast("double").alias("scale_down_time_seconds"),
     )
 
 
+def scaling_times(samples: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """Seconds from the first running executors to the first growth, and from the last peak down.
+
+    Samples of one second count as its highest executor count; later means a later second. Slices of a series are
+    summed up apart and merged, so a series that holds a third of all samples is many tasks' work.
+    """
+    return scaling_of(merged_parts(scaling_parts(samples, slice_seconds)))
+
+
 def started_samples(samples: DataFrame) -> DataFrame:
     """Samples from the first second with running executors on; a series without any has none."""
     first_running = F.min(F.when(F.col("executor_count") > 0, F.col("timestamp")))

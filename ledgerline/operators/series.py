@@ -1,7 +1,8 @@
 """Metric series by pod: counter rates, gauges, liveness, threshold breaches.
 
 Metrics are long rows (metric, pod, container, area, ts, value), ts in epoch seconds. A series
-is folded to one row per second before any window, which bounds the window by the time span.
+is folded to one row per second and cut into slices of time before any window; a slice sees as much
+of its neighbours as its windows need.
 """
 
 import re
@@ -9,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.shared import written
+
 # Metric names, pod name prefixes, thresholds of the two autoscalers.
 CPU_COUNTER = "container_cpu_usage_seconds_total"
 PROCESS_CPU_COUNTER = "process_cpu_seconds_total"
@@ -59,48 +62,113 @@ def pod_strategy(pod):
     return strategy
 
 
-def counter_rate(counter: DataFrame, window_seconds=60) -> DataFrame:
+def _slice(ts, slice_seconds):
+    return F.floor(ts / slice_seconds)
+
+
+def _in_slices(rows: DataFrame, first, last) -> DataFrame:
+    """Each row once in every slice from ``first`` to ``last``, its own among them; ``halo`` marks the others."""
+    spread = rows.select("*", F.explode(F.sequence(first, last)).alias("in_slice"))
+    return spread.withColumn("halo", F.col("in_slice") != F.col("slice")).drop("slice").withColumnRenamed("in_slice", "slice")
+
+
+def counter_steps(counter: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """pod, container, ts, value, step, previous_ts: the increase of each second's reading over the one before.
+
+    A drop is a restart from 0; the first reading has no step. Readings are walked in slices of time. The last
+    reading of a slice is also put before the next slice that has any, so that no window is wider than a slice.
+    """
+    seconds = counter.groupBy(*POD_SERIES, "ts").agg(F.max("value").alias("value")).withColumn("slice", _slice(F.col("ts"), slice_seconds))
+    lasts = seconds.groupBy(*POD_SERIES, "slice").agg(F.max(F.struct("ts", "value")).alias("last"))
+    following = F.lead("slice").over(Window.partitionBy(*POD_SERIES).orderBy("slice"))
+    carried = lasts.withColumn("slice", following).filter("slice IS NOT NULL").select(*POD_SERIES, "last.*", "slice", F.lit(True).alias("halo"))
+    order = Window.partitionBy(*POD_SERIES, "slice").orderBy("ts")
+    value, previous = F.col("value"), F.lag("value").over(order)
+    walked = seconds.withColumn("halo", F.lit(False)).unionByName(carried).select(
+        *POD_SERIES, "ts", "value", "slice", "halo",
+        F.when(value < previous, value).otherwise(value - previous).alias("step"),
+        F.lag("ts").over(order).alias("previous_ts"),
+    )
+    return walked.filter("NOT halo").drop("halo")
+
+
+def counter_rate(counter: DataFrame, window_seconds=60, slice_seconds=SLICE_SECONDS) -> DataFrame:
     """Per sample: increase since the one before (a drop is a restart from 0) and trailing rate.
 
     The rate is the increase over the samples of the window divided by the time they cover;
     it is not extrapolated to the window's edges, and null where no increase is known.
     """
-    seconds = counter.groupBy(*POD_SERIES, "ts").agg(F.max("value").alias("value"))
-    order = Window.partitionBy(*POD_SERIES).orderBy("ts")
-    previous = F.lag("value").over(order)
-    value = F.col("value")
-    steps = seconds.select(
-        *POD_SERIES,
-        "ts",
-        "value",
-        F.when(value < previous, value).otherwise(value - previous).alias("step"),
-        (F.col("ts") - F.lag("ts").over(order)).alias("covered"),
-    )
-    trailing = order.rangeBetween(-(window_seconds - 1), 0)
-    return steps.select(
-        *POD_SERIES,
-        "ts",
-        "value",
-        F.coalesce("step", F.lit(0.0)).alias("increase"),
-        F.try_divide(F.sum("step").over(trailing), F.sum("covered").over(trailing)).alias("rate"),
+    steps = counter_steps(counter, slice_seconds).withColumn("covered", F.col("ts") - F.col("previous_ts"))
+    around = _in_slices(steps, F.col("slice"), _slice(F.col("ts") + window_seconds - 1, slice_seconds))
+    trailing = Window.partitionBy(*POD_SERIES, "slice").orderBy("ts").rangeBetween(-(window_seconds - 1), 0)
+    return (
+        around.select(
+            *POD_SERIES,
+            "ts",
+            "value",
+            F.coalesce("step", F.lit(0.0)).alias("increase"),
+            F.try_divide(F.sum("step").over(trailing), F.sum("covered").over(trailing)).alias("rate"),
+            "halo",
+        )
+        .filter("NOT halo")
+        .drop("halo")
     )
 
 
-def instant_values(df: DataFrame, keys, value, lookback, step_seconds=STEP_SECONDS) -> DataFrame:
+def extrapolated_rate(counter: DataFrame, window_seconds=60, step_seconds=STEP_SECONDS, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """pod, container, step, samples, increase, rate: the rate over the window that ends at each step of a time grid.
+
+    The increase between the first and the last sample of the window (a drop is a restart from 0) is carried on to the
+    window's edges, as monitoring systems do: by the time to an edge if that is less than 1.1 mean gaps, else by
+    half a mean gap; and back no further than to where the counter would have been 0. A window of one sample has no
+    rate. Each sample is laid on the at most window_seconds / step_seconds steps whose windows hold it.
+    """
+    width, step, least = F.lit(window_seconds), F.col("step"), F.lit(1.1)
+    first_step = F.ceil(F.col("ts") / step_seconds) * step_seconds
+    last_step = F.floor((F.col("ts") + window_seconds - 1) / step_seconds) * step_seconds
+    laid = (
+        counter_steps(counter, slice_seconds)
+        .withColumnRenamed("step", "grown")
+        .withColumns({"first_step": first_step, "last_step": last_step})
+        .filter("first_step <= last_step")
+        .withColumn("step", F.explode(F.sequence("first_step", "last_step", F.lit(step_seconds).cast("long"))))
+    )
+    inside = F.col("previous_ts") > step - width
+    windows = laid.groupBy(*POD_SERIES, "step").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.min(F.struct("ts", "value")).alias("first"),
+        F.max("ts").alias("last_ts"),
+        F.sum(F.when(inside, F.col("grown"))).alias("increase"),
+    )
+    first, increase = F.col("first.value"), F.col("increase")
+    covered = (F.col("last_ts") - F.col("first.ts")).cast("double")
+    gap = F.try_divide(covered, F.col("samples") - 1)
+    to_start, to_end = F.col("first.ts") - (step - width), step - F.col("last_ts")
+    before = F.when(to_start >= gap * least, gap / 2).otherwise(to_start)
+    to_zero = F.when((increase > 0) & (first >= 0), F.try_divide(covered * first, increase))
+    after = F.when(to_end >= gap * least, gap / 2).otherwise(to_end)
+    carried = F.try_divide(increase * (covered + F.least(before, to_zero) + after), covered * window_seconds)
+    return windows.select(*POD_SERIES, "step", "samples", "increase", F.when(F.col("samples") > 1, carried).alias("rate"))
+
+
+def instant_values(df: DataFrame, keys, value, lookback, step_seconds=STEP_SECONDS, slice_seconds=SLICE_SECONDS) -> DataFrame:
     """keys, step, value: what each series shows at every step of a time grid.
 
     That is its newest known reading of the last ``lookback`` seconds (the step's own second included); a
     series that is silent for longer shows nothing. ``df`` has one row per key and second. Each reading is
-    laid on the steps from its own time to the next reading's, at most lookback / step_seconds rows.
+    laid on the steps from its own time to the next reading's, at most lookback / step_seconds rows. The next reading
+    matters only within the lookback, so each slice of time sees that much of the one after it.
     """
-    order = Window.partitionBy(*keys).orderBy("ts")
+    order = Window.partitionBy(*keys, "slice").orderBy("ts")
 
     def step_from(ts):
         return F.ceil(ts / step_seconds) * step_seconds
 
-    known = df.filter(F.col(value).isNotNull()).withColumn("next_ts", F.lead("ts").over(order))
+    known = df.filter(F.col(value).isNotNull()).withColumn("slice", _slice(F.col("ts"), slice_seconds))
+    around = _in_slices(known, _slice(F.col("ts") - lookback, slice_seconds), F.col("slice"))
+    walked = around.withColumn("next_ts", F.lead("ts").over(order)).filter("NOT halo")
     last = F.least(F.col("ts") + lookback - 1, step_from(F.col("next_ts")) - 1)
-    spread = known.select(
+    spread = walked.select(
         *keys, value, step_from(F.col("ts")).alias("first"), (F.floor(last / step_seconds) * step_seconds).alias("last")
     ).filter("first <= last")
     return spread.select(*keys, F.explode(F.sequence("first", "last", F.lit(step_seconds).cast("long"))).alias("step"), value)
@@ -157,27 +225,41 @@ def live_count(up: DataFrame, step_seconds=STEP_SECONDS, lookback=GAUGE_LOOKBACK
     )
 
 
-def executor_lifecycle(up: DataFrame) -> DataFrame:
+def executor_lifecycle(up: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
     """Spans of unchanged liveness per pod."""
-    seconds = up.groupBy("pod", "ts").agg(F.max("value").alias("value"))
-    spans = _spans(seconds, ["pod"], "ts", F.col("value"))
-    return spans.groupBy("pod", "span").agg(
-        F.max("value").cast("int").alias("up"),
-        F.min("ts").alias("span_start"),
-        F.max("ts").alias("span_end"),
-        F.count(F.lit(1)).alias("readings"),
-    ).drop("span")
-
-
-def _spans(rows: DataFrame, keys, ts, state) -> DataFrame:
-    """Number the runs of rows whose ``state`` equals their predecessor's."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    before = F.lag(state).over(order)
-    changed = F.when(before.eqNullSafe(state), 0).otherwise(1)
-    marked = rows.withColumn("changed", changed)
-    return marked.withColumn(
+    seconds = up.groupBy("pod", "ts").agg(F.max("value").alias("value")).withColumn("up", F.col("value").cast("int"))
+    spans = sliced_spans(seconds, ["pod"], "ts", "value", slice_seconds, {"up": F.max})
+    return spans.select("pod", "up", "span_start", "span_end", "readings")
+
+
+def sliced_spans(rows: DataFrame, keys, ts, state, slice_seconds, folded=None) -> DataFrame:
+    """Spans of rows whose ``state`` equals their predecessor's: keys, state, span_start, span_end, readings, folded.
+
+    Spans are found inside slices of time, so no task holds more than a slice of a key. Only the first and
+    last span of a slice can go on in another one; these, two rows a slice, are then joined in order.
+    ``folded`` names columns with the aggregate that carries each of them over a span, and over spans.
+    """
+    folded = {name: how(name).alias(name) for name, how in (folded or {}).items()}
+    sliced = rows.withColumn("slice", _slice(F.col(ts), slice_seconds))
+    order = Window.partitionBy(*keys, "slice").orderBy(ts)
+    changed = F.when(F.lag(state).over(order).eqNullSafe(F.col(state)) & F.lag(ts).over(order).isNotNull(), 0).otherwise(1)
+    numbered = sliced.withColumn("changed", changed).withColumn(
         "span", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("changed")
+    )
+    inside = numbered.groupBy(*keys, "slice", "span", state).agg(
+        F.min(ts).alias("span_start"), F.max(ts).alias("span_end"), F.count(F.lit(1)).alias("readings"), *folded.values()
+    )
+    edged = inside.withColumn("closes", F.col("span") == F.max("span").over(Window.partitionBy(*keys, "slice")))
+    opens = F.col("span") == 1
+    whole = Window.partitionBy(*keys).orderBy("span_start")
+    goes_on = opens & F.coalesce(F.lag("closes").over(whole), F.lit(False)) & F.lag(state).over(whole).eqNullSafe(F.col(state))
+    ends = edged.filter(opens | F.col("closes")).withColumn("new", F.when(goes_on, 0).otherwise(1))
+    chains = ends.withColumn("chain", F.sum("new").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chains.groupBy(*keys, "chain", state).agg(
+        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.sum("readings").alias("readings"), *folded.values()
+    )
+    shape = [*keys, state, "span_start", "span_end", "readings", *folded]
+    return edged.filter(~opens & ~F.col("closes")).select(*shape).unionByName(joined.select(*shape))
 
 
 def autoscaler_readings(metrics: DataFrame, step_seconds=STEP_SECONDS) -> DataFrame:
@@ -211,40 +293,17 @@ def thresholds(spark) -> DataFrame:
 
 
 def threshold_breaches(readings: DataFrame, limits: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
-    """Spans of consecutive readings above the threshold.
+    """Spans of consecutive readings above the threshold, with their length and peak.
 
-    Spans are found inside slices of time, so no task holds more than a slice of a signal. Only the first and
-    last span of a slice can go on in another one; these, two rows a slice, are then joined in order.
+    The judged readings are written first: finding the spans inside slices and joining their ends read them twice.
     """
     signal = ["strategy", "signal", "threshold"]
     judged = readings.join(limits, ["strategy", "signal"]).select(
-        *signal,
-        "step",
-        "value",
-        F.floor(F.col("step") / slice_seconds).alias("slice"),
-        F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("breached"),
+        *signal, "step", "value", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("breached")
     )
-
-    def of(ends):
-        return [
-            F.min("breach_start" if ends else "step").alias("breach_start"),
-            F.max("breach_end" if ends else "step").alias("breach_end"),
-            (F.sum("readings") if ends else F.count(F.lit(1))).alias("readings"),
-            F.max("peak" if ends else "value").alias("peak"),
-        ]
-
-    spans = _spans(judged, [*signal, "slice"], "step", F.col("breached"))
-    inside = spans.groupBy(*signal, "slice", "span", "breached").agg(*of(False))
-    within = Window.partitionBy(*signal, "slice")
-    edged = inside.withColumn("opens", F.col("span") == 1).withColumn("closes", F.col("span") == F.max("span").over(within))
-    on_edge = F.col("opens") | F.col("closes")
-    order = Window.partitionBy(*signal).orderBy("breach_start")
-    goes_on = F.col("opens") & F.lag("closes").over(order) & (F.lag("breached").over(order) == F.col("breached"))
-    chained = edged.filter(on_edge).withColumn("new", F.when(goes_on, 0).otherwise(1))
-    chains = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = chains.groupBy(*signal, "chain", "breached").agg(*of(True)).drop("chain")
-    found = edged.filter(~on_edge).select(*joined.columns).unionByName(joined)
-    return found.filter("breached").drop("breached")
+    spans = sliced_spans(written(judged, "judged"), signal, "step", "breached", slice_seconds, {"value": F.max})
+    renamed = {"span_start": "breach_start", "span_end": "breach_end", "value": "peak"}
+    return spans.filter("breached").drop("breached").withColumnsRenamed(renamed)
 
 
 def series_exists(metrics: DataFrame, metric, **labels) -> bool:

@@ -70,6 +70,10 @@ def counter_rate(metrics):
     return _cpu_rates(metrics)
 
 
+def extrapolated_rate(metrics):
+    return series.extrapolated_rate(series.select_series(metrics, series.CPU_COUNTER, real_containers=True))
+
+
 def process_cpu_rate(metrics):
     counter = series.select_series(metrics, series.PROCESS_CPU_COUNTER, pod_prefix="spark-dynamic")
     return series.counter_rate(counter, 30).select("pod", "container", "ts", "rate")
@@ -179,6 +183,7 @@ QUERIES = {
     "newest_complete_run": _raw_samples_query(quality.newest_complete_run),
     "run_checks": _samples_query(quality.run_checks),
     "counter_rate": _metrics_query(counter_rate, 9),
+    "extrapolated_rate": _metrics_query(extrapolated_rate, 9),
     "process_cpu_rate": _metrics_query(process_cpu_rate, 9),
     "cpu_millicores": _metrics_query(cpu_millicores),
     "memory_mib": _metrics_query(memory_mib),

@@ -161,6 +161,32 @@ def test_latencies_equal_a_sequential_walk(spark):
     assert found == {run: walk(points) for run, points in data.items()}
 
 
+@pytest.mark.parametrize("width", [1, 4, 7, 25])
+def test_scaling_is_the_same_in_any_slices(spark, width):
+    rng = random.Random(width)
+    data = {f"run{i}": [(rng.randint(-20, 60), rng.choice([0, 0, 1, 1, 2, 5])) for _ in range(rng.randint(1, 30))] for i in range(60)}
+    rows = [(run, "keda", t, e, 1.0, 1.0) for run, points in data.items() for t, e in points]
+    samples = spark.createDataFrame(rows, SCHEMA)
+    parts = ops.scaling_parts(samples, width)
+    halves = ops.merged_parts(parts.withColumn("half", F.floor(F.col("slice") / 3)), [*ops.SERIES, "half"])
+    for found in (ops.scaling_times(samples, width), ops.scaling_of(ops.merged_parts(halves))):
+        times = {r["run_id"]: (r["scale_up_latency_seconds"], r["scale_down_time_seconds"]) for r in found.collect()}
+        assert times == {run: walk(points) for run, points in data.items()}
+
+
+def test_no_window_over_a_whole_series(spark):
+    plan = ops.scaling_times(series(spark, (0, 1, 1, 1)))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("slice#" in line for line in windows)
+
+
+def test_scaling_of_unknown_counts(spark):
+    rows = [("r", "keda", 0, None, 1.0, 1.0), ("r", "keda", 10, 1, 1.0, 1.0), ("r", "keda", 20, 2, 1.0, 1.0), ("r", "keda", 30, None, 1.0, 1.0)]
+    for width in (5, 1000):
+        found = ops.scaling_times(spark.createDataFrame([*rows, ("r", "hpa", 5, None, 1.0, 1.0)], SCHEMA), width)
+        assert {tuple(r) for r in found.collect()} == {("r", "keda", 10.0, 10.0), ("r", "hpa", None, None)}
+
+
 def test_a_hot_series_is_folded_before_the_window(spark):
     """A third of a million samples of one series in five seconds, beside small series."""
     hot = spark.range(300_000).selectExpr(

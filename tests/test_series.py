@@ -159,3 +159,53 @@ def test_breaches_over_slices(spark, slice_seconds):
             open_span = None
     found = ops.threshold_breaches(readings, ops.thresholds(spark), slice_seconds).collect()
     assert sorted((r["breach_start"], r["breach_end"], r["readings"], r["peak"]) for r in found) == wanted
+
+
+def test_extrapolated_rate_by_hand(spark):
+    steady = metric(spark, ops.CPU_COUNTER, *[("p", 5 + 10 * i, 100 + 5 * i) for i in range(10)])
+    found = {r["step"]: (r["samples"], r["rate"]) for r in ops.extrapolated_rate(steady).collect()}
+    assert found[60] == (6, pytest.approx(0.5)) and found[10] == (1, None)
+    assert found[30] == (3, pytest.approx(10 * (20 + 5 + 5) / 20 / 60))  # no earlier sample within 1.1 gaps of the edge
+    assert found[120] == (4, pytest.approx(15 * (30 + 5 + 5) / 30 / 60))
+    young = metric(spark, ops.CPU_COUNTER, ("p", 35, 1), ("p", 45, 21))
+    rates = {r["step"]: r["rate"] for r in ops.extrapolated_rate(young).collect()}
+    assert rates[50] == pytest.approx(20 * (10 + 0.5 + 5) / 10 / 60)  # back to where the counter was 0
+    restart = metric(spark, ops.CPU_COUNTER, ("p", 10, 50), ("p", 30, 4), ("p", 50, 6))
+    assert {r["step"]: (r["increase"], r["rate"]) for r in ops.extrapolated_rate(restart).collect()}[60] == (6.0, pytest.approx(6 * (40 + 10 + 10) / 40 / 60))
+    flat = metric(spark, ops.CPU_COUNTER, ("p", 10, 50), ("p", 30, 50))
+    assert {r["step"]: r["rate"] for r in ops.extrapolated_rate(flat).collect()}[30] == 0.0
+
+
+def ragged(spark, seed):
+    """Scrapes with bursts, long silences, restarts and times before 1970."""
+    rng = random.Random(seed)
+    rows = []
+    for pod in ("a", "b", "c"):
+        ts = -400
+        for _ in range(80):
+            ts += rng.choice([1, 5, 10, 15, 60, 300, 2000])
+            rows.append((pod, ts, rng.choice([0, 1, 1, 2, 8])))
+    return metric(spark, ops.CPU_COUNTER, *rows)
+
+
+@pytest.mark.parametrize("slice_seconds", [7, 60, 450])
+def test_slices_of_time_do_not_show(spark, slice_seconds):
+    counter = ragged(spark, slice_seconds)
+    seconds = counter.select("pod", "ts", "value")
+    for job in (
+        lambda width: ops.counter_rate(counter, 60, width),
+        lambda width: ops.extrapolated_rate(counter, 90, 10, width),
+        lambda width: ops.instant_values(seconds, ["pod"], "value", 45, 10, width),
+        lambda width: ops.executor_lifecycle(counter, width),
+    ):
+        narrow, whole = [sorted(map(tuple, job(width).collect()), key=str) for width in (slice_seconds, 1 << 40)]
+        assert narrow == whole and len(whole) > 20
+
+
+def test_no_window_is_wider_than_a_slice(spark):
+    counter = ragged(spark, 1)
+    for job in (ops.counter_rate(counter), ops.extrapolated_rate(counter), ops.executor_lifecycle(counter), ops.instant_values(counter, ["pod"], "value", 60)):
+        plan = job._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        # besides slices, only one or two rows a slice are put in order
+        assert windows and all("slice#" in line or "span_start#" in line for line in windows)
