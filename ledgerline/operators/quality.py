@@ -32,11 +32,11 @@ def run_of_file(name):
     return F.regexp_extract(name, RUN_FILE, 1), F.regexp_extract(name, RUN_FILE, 2)
 
 
-def with_run(raw: DataFrame) -> DataFrame:
-    """Rows of a file source with the file they came from and the run and mode its name stands for."""
+def with_run(raw: DataFrame, *more) -> DataFrame:
+    """Rows of a file source with the file they came from and the run and mode its name stands for, and ``more`` columns."""
     run_id, mode = run_of_file(F.col("file"))
     return (
-        raw.select(*raw.columns, F.col("_metadata.file_name").alias("file"))
+        raw.select(*raw.columns, *more, F.col("_metadata.file_name").alias("file"))
         .withColumn("run_id", F.when(run_id == "", F.col("file")).otherwise(run_id))
         .withColumn("mode", mode)
     )
@@ -108,16 +108,6 @@ def labelled_samples(raw: DataFrame, rules="load") -> DataFrame:
     )
 
 
-def checked_samples(raw: DataFrame, rules="load") -> DataFrame:
-    """The good rows, typed; reading a bad one stops the job with its file, its fields and what is wrong."""
-    require_columns(raw, SAMPLE_COLUMNS, "samples")
-    valid, reasons, typed = sample_rules(rules)
-    shown = F.to_json(F.struct(*SAMPLE_COLUMNS), {"ignoreNullFields": "false"})
-    message = F.concat(F.lit("Invalid numeric data in "), F.coalesce("file", F.lit("?")), F.lit(": "), shown, F.lit(": "), reasons)
-    # a filter, since a column that a job does not read is never computed
-    return raw.filter(F.when(valid, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).withColumns(typed)
-
-
 def unlabelled_samples(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of ``labelled_samples``, shaped as by ``split_samples``."""
     good = labelled.filter(F.col("outcome") == "good").drop("as_read", "reasons", "outcome")

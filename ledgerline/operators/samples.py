@@ -274,6 +274,7 @@ def minute_parts(samples: DataFrame, interval_seconds=INTERVAL_SECONDS) -> DataF
     for name in AVERAGED:
         figures += [F.sum(F.col(name).cast("double")).alias(f"{name}_sum"), F.count(name).alias(f"{name}_known")]
     figures.append((F.sum(billed_rate()) * interval_seconds).alias("simulated_cost_usd"))
+    figures.append(F.max("timestamp").alias("last_timestamp"))
     return _by_minute(samples, "0 seconds", figures)
 
 

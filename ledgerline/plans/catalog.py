@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions.frames import rounded
 from ledgerline.operators import property as prices
 from ledgerline.operators import builder, quality, reviews, samples, series, usage
-from ledgerline.sources import tables
+from ledgerline.plans.registry import run
+from ledgerline.schemas import SALE_COLUMNS, SAMPLE_COLUMNS
+from ledgerline.sources import files, tables
+from ledgerline.sources.shared import shared_folder
 from ledgerline.streaming import samples as streams
 
 
@@ -127,6 +130,79 @@ def stream_rollup(spark, sf_dir):
     return rounded(streams.rollup_now(tables.samples(tables.event_stream(spark, sf_dir))), 8, **COST_DIGITS)
 
 
+def _arriving(spark, sf_dir, slices, delayed, arrived):
+    """Write the samples as they arrive and call ``arrived`` with a stream of them and a folder, after each slice."""
+    folder = shared_folder(spark, "arriving")
+    for part in tables.arrivals(tables.events(spark, sf_dir), slices, delayed):
+        newest = tables.samples(part)
+        newest.write.mode("append").parquet(f"{folder}/samples")
+        stream = spark.readStream.schema(newest.schema).parquet(f"{folder}/samples")
+        arrived(stream, folder)
+    return stream, folder
+
+
+def stream_started_samples(spark, sf_dir):
+    """The gate over samples that arrive in four slices of time; every slice is a restart from the checkpoint."""
+
+    def arrived(stream, folder):
+        gated = streams.started_stream(stream)
+        streams.write_stream(gated, f"{folder}/started", f"{folder}/checkpoint").awaitTermination()
+
+    stream, folder = _arriving(spark, sf_dir, 4, 0, arrived)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/started")
+
+
+def stream_closed_minutes(spark, sf_dir):
+    """Closed minutes over samples that arrive in four slices of time, each seventh event one slice late."""
+
+    def arrived(stream, folder):
+        for query in streams.close_minutes(stream, folder):
+            query.awaitTermination()
+
+    stream, folder = _arriving(spark, sf_dir, 4, 7, arrived)
+    return rounded(streams.minute_ledger(stream, folder), 8, **COST_DIGITS)
+
+
+def numbered_rejects(spark, sf_dir):
+    """The bad rows of results files, with their row in the file; a file for each day is written first, in the order of events."""
+    folder = shared_folder(spark, "results")
+    day = F.concat(F.substring("file", 1, 8), F.lit("-000000-steam_heavy.csv"))
+    raw = tables.raw_samples(tables.events(spark, sf_dir)).withColumn("file", day)
+    raw = raw.repartition("file").sortWithinPartitions("file", "event_id")
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.select("file", *SAMPLE_COLUMNS).write.partitionBy("file").csv(folder, header=True, **keep_spaces)
+    _, rejects = files.read_samples(spark, folder, strict=False, rules="full")
+    return rejects.select(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"), "row", *SAMPLE_COLUMNS, "reasons")
+
+
+def csv_steam_heavy(spark, sf_dir):
+    """The flagship job over headed CSV files of the three tables."""
+    root = files.DataRoot(shared_folder(spark, "games"))
+    for name, source in (("recommendations", tables.reviews), ("games", tables.games), ("users", tables.users)):
+        source(spark, sf_dir).write.csv(root.table("games", name), header=True)
+    return rounded(run(spark, "steam_heavy", root)[0]["steam_heavy"])
+
+
+def csv_property_report(spark, sf_dir):
+    """The four report tables as written to CSV, from a headerless file of 16 fields with bad and quoted ones; read back as text."""
+    root = files.DataRoot(shared_folder(spark, "prices"))
+    raw = tables.raw_sales(spark, sf_dir)
+    known = {name: F.col(name) for name in raw.columns} | {"street": F.lit('1, "Mill" Lane'), "saon": F.lit("")}
+    fields = [known.get(name, F.lit(None).cast("string")).alias(name) for name in SALE_COLUMNS]
+    raw.select(*fields).write.csv(root.table("input", "land-data"), escape='"', emptyValue="")
+    run(spark, "property_prices", root, out=root.output("report"))
+    report = {
+        "by_county": ["county"], "by_year": ["year"], "by_property_type": ["property_type"], "affordability_gap": ["district", "county"]
+    }
+    found = None
+    for name, keys in report.items():
+        table = spark.read.csv(root.output("report", name), header=True)
+        total = F.col("count" if name == "by_property_type" else "total_sales")
+        part = table.select(F.lit(name).alias("report"), F.concat_ws("/", *keys).alias("key"), total.alias("total_sales"), "median_price")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def built_samples(spark, sf_dir):
     rows = tables.events(spark, sf_dir)
     dump = usage.usage_dump(tables.clocked_usage_lines(rows), ["strategy", "timestamp"])
@@ -201,4 +277,9 @@ QUERIES = {
     "built_cost_summary": built_cost_summary,
     "stream_rollup": stream_rollup,
     "stream_ingest": stream_ingest,
+    "stream_started_samples": stream_started_samples,
+    "stream_closed_minutes": stream_closed_minutes,
+    "numbered_rejects": numbered_rejects,
+    "csv_steam_heavy": csv_steam_heavy,
+    "csv_property_report": csv_property_report,
 }

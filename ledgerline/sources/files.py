@@ -7,12 +7,12 @@ is text until a job types it. Parquet copies of the same tables are accepted as
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import require_columns
 from ledgerline.functions.scalars import strategy_name
-from ledgerline.operators.quality import checked_samples, run_of_file, split_samples, with_run
+from ledgerline.operators.quality import labelled_samples, run_of_file, unlabelled_samples, with_run
 from ledgerline.schemas import (
     GAME_COLUMNS,
     REVIEW_COLUMNS,
@@ -21,7 +21,7 @@ from ledgerline.schemas import (
     USER_COLUMNS,
     text_schema,
 )
-
+from ledgerline.sources.shared import written
 
 SCRAPE_FILE = r"^([A-Za-z]+)-(\d+)\."
 
@@ -76,22 +76,33 @@ def read_sales(spark, root: DataRoot) -> DataFrame:
     return df
 
 
-MOST_FIELDS = 64
+def _placed():
+    """Where a row stands: its file, the split of the file that it was read from, and a number that grows along the split."""
+    return [
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+    ]
 
 
 def _any_order(spark, path) -> DataFrame:
     """Sample files read by each file's own header: fields by place, named by joining the header row of the file.
 
-    Reads the files twice, once for the header rows. A file without the required columns is an error.
+    Looks at the lines first, for the number of fields of the widest header; then reads the files twice, once for the
+    header rows. A file without the required columns is an error.
     """
-    names = [f"c{i}" for i in range(MOST_FIELDS)]
+    lines = spark.read.text(path)
+    for name in SAMPLE_COLUMNS[:2]:
+        lines = lines.filter(F.col("value").contains(name))
+    most = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or len(SAMPLE_COLUMNS)
+    names = [f"c{i}" for i in range(most)]
     rows = spark.read.schema(text_schema(names)).option("header", False).csv(path)
-    cells = rows.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    cells = rows.select(F.array(*names).alias("cells"), *_placed(), F.col("_metadata.file_name").alias("file"))
     is_header = F.lit(True)
     for name in SAMPLE_COLUMNS[:2]:
         is_header &= F.coalesce(F.array_contains("cells", name), F.lit(False))
     headers = cells.filter(is_header).groupBy("path").agg(F.first("cells").alias("header"))
-    joined = cells.filter(~is_header).join(headers, "path", "left")
+    joined = cells.withColumn("is_header", is_header).join(headers, "path", "left")
 
     def cell(name):
         place = F.array_position("header", name)
@@ -100,35 +111,74 @@ def _any_order(spark, path) -> DataFrame:
 
     run_id, mode = run_of_file(F.col("file"))
     return (
-        joined.select(*[cell(name) for name in SAMPLE_COLUMNS], "file")
+        joined.select(*[cell(name) for name in SAMPLE_COLUMNS], "file", "path", "block", "seq", "is_header")
         .withColumn("run_id", F.when(run_id == "", F.col("file")).otherwise(run_id))
         .withColumn("mode", mode)
     )
 
 
+def _raw_placed(spark, path, any_order) -> tuple[DataFrame, int]:
+    """Sample rows as text with their places, and the number that the first of the rows has in its file."""
+    if any_order:
+        return _any_order(spark, path), 1
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    require_columns(df, SAMPLE_COLUMNS, path)
+    run = with_run(df.select(*SAMPLE_COLUMNS), *_placed())
+    return run.withColumn("is_header", F.lit(False)), 2
+
+
+RAW_COLUMNS = [*SAMPLE_COLUMNS, "file", "run_id", "mode"]
+
+
 def read_raw_samples(spark, path, any_order=False) -> DataFrame:
     """Sample files as text, with the file each row came from and the run its name stands for.
 
     The columns may be in any order, but in the same one in all files, unless ``any_order`` is set.
     """
-    if any_order:
-        return _any_order(spark, path)
-    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    require_columns(df, SAMPLE_COLUMNS, path)
-    return with_run(df).select(*SAMPLE_COLUMNS, "file", "run_id", "mode")
+    raw, _ = _raw_placed(spark, path, any_order)
+    return raw.filter("NOT is_header").select(*RAW_COLUMNS)
 
 
-def read_samples(spark, path, strict=True, any_order=False) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects). Strict reading has no rejects: the job that meets a bad row stops and names its file and fields.
+def row_numbers(marked: DataFrame, placed: DataFrame, first: int) -> DataFrame:
+    """``marked`` rows of ``placed`` with their row number in the file instead of block and seq.
 
-    An input without rows is an error in strict mode, seen from its first row.
+    ``placed`` has every row that was read. Rows are counted per split of a file, and the counts of the splits before
+    are added up, so that only two numbers a split meet in one place. ``first`` is the number of a file's first row.
     """
-    raw = read_raw_samples(spark, path, any_order)
-    if not strict:
-        return split_samples(raw)
-    if raw.isEmpty():
+    blocks = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", "first_seq", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
+    number = F.col("rows_before") + F.col("seq") - F.col("first_seq") + first
+    return marked.join(starts, ["path", "block"]).withColumn("row", number).drop("block", "seq", "first_seq", "rows_before")
+
+
+def read_samples(spark, path, strict=True, any_order=False, rules="load") -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of sample files; rejects keep the text as it came, with the reasons, their file's ``path`` and
+    their ``row`` in it.
+
+    Rows are numbered as records: the header is row 1, and lines without any text do not count. The files are read and
+    typed once, into a table in the shared folder; a file may have been read in several splits. Strict reading has no
+    rejects: the job that meets a bad row stops and names the first bad file and row, the row and what is wrong. An
+    input without rows is an error in strict mode, seen at once.
+    """
+    raw, first = _raw_placed(spark, path, any_order)
+    table = written(labelled_samples(raw, rules), "samples")
+    rows = table.filter("NOT is_header")
+    if strict and rows.isEmpty():
         raise ValueError(f"No samples in {path}")
-    return checked_samples(raw), split_samples(raw)[1].limit(0)
+    good, bad = unlabelled_samples(rows)
+    rejects = row_numbers(bad, table, first).select(*RAW_COLUMNS, "path", "row", "reasons")
+    if not strict:
+        return good.select(*RAW_COLUMNS), rejects
+    found = rejects.orderBy("file", "row").limit(1).collect()
+    if found:  # a filter, since a column that a job does not read is never computed; over all rows, as none may be good
+        good = rows.filter(F.raise_error(F.lit(_complaint(found[0]))).cast("boolean"))
+    return good.select(*RAW_COLUMNS), rejects.limit(0)
+
+
+def _complaint(row) -> str:
+    shown = {name: row[name] for name in SAMPLE_COLUMNS}
+    return f"Invalid numeric data in {row['file']} at row {row['row']}: {shown}: {row['reasons']}"
 
 
 def _of_scrape(df: DataFrame) -> DataFrame:

@@ -98,6 +98,19 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def arrivals(events: DataFrame, slices: int, delayed=0) -> list[DataFrame]:
+    """The events as they arrive: a frame for each of ``slices`` equal spans of time, in order.
+
+    With ``delayed``, each event whose id is divisible by it comes one frame later, so there is one frame more.
+    """
+    low, high = events.agg(F.min(_clock()), F.max(_clock())).first()
+    if low is None:
+        return [events]
+    place = F.floor((_clock() - low) * slices / (high - low + 1))
+    place = place + F.when(F.col("event_id") % delayed == 0, 1).otherwise(0) if delayed else place
+    return [events.filter(place == k) for k in range(slices + bool(delayed))]
+
+
 def _clock():
     return F.floor(F.unix_timestamp("ts") / CLOCK)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import rounded
 from ledgerline.operators.quality import split_samples
-from ledgerline.operators.samples import cost_summary, minute_rollup
+from ledgerline.operators.samples import cost_summary, minute_rollup, started_samples
 from ledgerline.schemas import SAMPLE_COLUMNS
 from ledgerline.sources.files import read_raw_samples
 from ledgerline.sources.shared import shared_folder
@@ -135,3 +135,72 @@ def test_header_must_match(spark, tmp_path):
     (folder / "a.csv").write_text("timestamp,strategy,executor_count,cpu_millicores,memory_mib\n1,keda,1,1,1\n")
     with pytest.raises(Exception, match="header"):
         ops.ingest_now(ops.stream_samples(spark, str(folder)))
+
+
+SAMPLE = "run_id string, strategy string, timestamp bigint, executor_count int, cpu_millicores double, memory_mib double"
+
+
+class Arriving:
+    """Samples (strategy, timestamp, executors) that arrive in steps, each a run of the stream from its checkpoint."""
+
+    def __init__(self, spark, **options):
+        self.spark, self.folder, self.options = spark, shared_folder(spark, "arriving"), options
+        self.all = []
+
+    def step(self, *rows):
+        rows = [("r", s, t, e, 100.0, 64.0) for s, t, e in rows]
+        self.all += rows
+        self.spark.createDataFrame(rows, SAMPLE).write.mode("append").parquet(f"{self.folder}/samples")
+        self.stream = self.spark.readStream.schema(SAMPLE).parquet(f"{self.folder}/samples")
+
+    def gated(self):
+        ops.write_stream(ops.started_stream(self.stream, **self.options), f"{self.folder}/out", f"{self.folder}/checkpoint").awaitTermination()
+        return sorted((r["strategy"], r["timestamp"], r["executor_count"]) for r in self.spark.read.schema(SAMPLE).parquet(f"{self.folder}/out").collect())
+
+    def ledger(self):
+        for query in ops.close_minutes(self.stream, self.folder):
+            query.awaitTermination()
+        return ops.minute_ledger(self.stream, self.folder)
+
+
+def test_gate_in_time_order_equals_batch_and_survives_restarts(spark):
+    rng = random.Random(5)
+    arriving = Arriving(spark)
+    for start in (0, 300, 600):
+        arriving.step(*[(rng.choice(["dra", "keda", "hpa", "idle"]), rng.randint(start, start + 299), 0) for _ in range(30)],
+                      *[(s, rng.randint(start, start + 299), rng.choice([0, 0, 1])) for s in ("dra", "keda") for _ in range(8)],
+                      *([("hpa", 750, 2)] if start == 600 else []))
+        found = arriving.gated()
+    batch = started_samples(spark.createDataFrame(arriving.all, SAMPLE))
+    assert found == sorted((r["strategy"], r["timestamp"], r["executor_count"]) for r in batch.collect())
+    assert {s for s, _, _ in found} == {"dra", "keda", "hpa"}
+
+
+def test_gate_keeps_state_between_runs_and_forgets_idle_series(spark):
+    arriving = Arriving(spark, idle_seconds=500)
+    arriving.step(("keda", 5, 0), ("keda", 20, 1), ("keda", 10, 0), ("hpa", 30, 0))
+    assert arriving.gated() == [("keda", 20, 1)]
+    arriving.step(("keda", 40, 0), ("hpa", 40, 0))
+    assert arriving.gated() == [("keda", 20, 1), ("keda", 40, 0)]
+    arriving.step(("hpa", 50, 3), ("hpa", 2000, 0))
+    kept = [("hpa", 50, 3), ("hpa", 2000, 0), ("keda", 20, 1), ("keda", 40, 0)]
+    assert arriving.gated() == kept
+    arriving.step(("keda", 2010, 0), ("hpa", 2010, 0))
+    assert arriving.gated() == sorted([*kept, ("hpa", 2010, 0)])
+
+
+def test_ledger_counts_late_samples(spark):
+    arriving = Arriving(spark)
+
+    def shown():
+        rows = arriving.ledger().collect()
+        assert sum(r["on_time"] + r["late"] for r in rows) == len(arriving.all)
+        return {(r["strategy"], r["minute_start"]): (r["closed"], r["on_time"], r["late"], r["peak_executor_count"]) for r in rows}
+
+    arriving.step(("keda", 10, 1), ("keda", 95, 2), ("keda", 200, 1))
+    assert shown() == {("keda", 0): (True, 1, 0, 1), ("keda", 60): (True, 1, 0, 2), ("keda", 180): (False, 1, 0, 1)}
+    arriving.step(("keda", 20, 9), ("keda", 175, 4), ("keda", 190, 3), ("hpa", 70, 1), ("keda", 400, 1))
+    assert shown() == {
+        ("keda", 0): (True, 1, 1, 1), ("keda", 60): (True, 1, 0, 2), ("keda", 120): (True, 1, 0, 4),
+        ("keda", 180): (True, 2, 0, 3), ("keda", 360): (False, 1, 0, 1), ("hpa", 60): (True, 0, 1, None),
+    }
