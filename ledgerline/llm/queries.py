@@ -48,10 +48,10 @@ def op1_secret_scan(spark, sf_dir):
 
 
 def op2_substring_dedup(spark, sf_dir):
-    found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), "line", min_words=1)
+    found = substring_dedup.dedup_units(_table(spark, sf_dir, "documents"), min_chars=80)
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["finish"].cast("string")))
     return found.select(
-        "doc_id", "n_removed", "kept_chars", F.array_join(spans, ",").alias("removed_spans"),
+        "doc_id", "n_removed", "n_repeated", "kept_chars", F.array_join(spans, ",").alias("removed_spans"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -196,21 +196,35 @@ WITH lines AS (
          coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
         FROM documents)
+), grouped AS (
+  SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS norm,
+         count(*) FILTER (trim(regexp_replace(line, '\s+', ' ', 'g')) = '') OVER (PARTITION BY doc_id ORDER BY i) AS paragraph
+  FROM lines
 ), units AS (
-  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM lines
+  SELECT doc_id, paragraph, i, start, start + length(line) AS finish, norm, false AS whole FROM grouped WHERE norm <> ''
+  UNION ALL
+  SELECT doc_id, paragraph, min(i), min(start), max(start + length(line)), string_agg(norm, ' ' ORDER BY i), true
+  FROM grouped WHERE norm <> '' GROUP BY doc_id, paragraph HAVING count(*) > 1
 ), ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= 5
-            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone
-  FROM units
+  SELECT *, row_number() OVER (PARTITION BY lower(norm) ORDER BY doc_id, start) > 1 AS repeated FROM units
+), gone AS (
+  SELECT * FROM ranked r WHERE repeated AND length(norm) >= 80
+), outermost AS (
+  SELECT * FROM gone WHERE whole
+  UNION ALL
+  SELECT * FROM gone g WHERE NOT whole AND NOT EXISTS (
+    SELECT 1 FROM gone p WHERE p.whole AND p.doc_id = g.doc_id AND p.paragraph = g.paragraph)
+), spans AS (
+  SELECT doc_id, count(*) AS n, string_agg(start || ':' || finish, ',' ORDER BY start) AS spans FROM outermost GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-         string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text,
-         string_agg(start || ':' || (start + length(line)), ',' ORDER BY i) FILTER (gone) AS spans
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, length(coalesce(k.text, '')) AS kept_chars,
-       coalesce(spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id)
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text
+  FROM grouped l
+  WHERE NOT EXISTS (SELECT 1 FROM outermost o WHERE o.doc_id = l.doc_id AND l.start >= o.start AND l.start + length(l.line) <= o.finish)
+  GROUP BY l.doc_id
+), repeats AS (SELECT doc_id, count(*) AS n FROM ranked WHERE repeated GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_removed, coalesce(r.n, 0) AS n_repeated, length(coalesce(k.text, '')) AS kept_chars,
+       coalesce(s.spans, '') AS removed_spans, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN spans s USING (doc_id) LEFT JOIN repeats r USING (doc_id)
 """
 
 OP3_SQL = r"""

@@ -1,6 +1,4 @@
-"""Substring dedup: every line or paragraph is kept once, at its earliest ranked place."""
-
-import re
+"""Substring dedup: lines and paragraphs are hashed, and those of some length are kept at their earliest place only."""
 
 import pandas as pd
 import xxhash
@@ -11,32 +9,45 @@ from pyspark.sql.functions import pandas_udf
 from ledgerline.llm.texts import ID, KEY, TEXT, attach, keyed
 from ledgerline.sources.shared import written
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]+(?:\n(?!\s*\n))?)+")}
-MIN_WORDS = 5
+MIN_CHARS = 80
 CHUNK = 20_000
 
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS):
-    """(start, end, digest high, digest low) of each unit of at least ``min_words`` words.
+def spans(text: str):
+    """(start, end) of each line that is not blank, and of each paragraph of two or more such lines in a row."""
+    at, first, last = 0, None, None
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            yield at, at + len(line)
+            first, last = (at if first is None else first), at + len(line)
+            several = first < at
+        elif first is not None:
+            if several:
+                yield first, last
+            first = None
+        at += len(line) + 1
+
 
-    Offsets are code points of the text as given; the digest is of the unit in lower case with each run of
-    white space as one space.
+def units(text: str):
+    """(start, end, chars, digest high, digest low) of each line and paragraph of a text.
+
+    Offsets are code points of the text as given; ``chars`` is the length with each run of white space as one space,
+    and the digest is of that in lower case, so a passage that was wrapped anew has the digest it had.
     """
-    for found in UNITS[unit].finditer(text):
-        words = found.group().lower().split()
-        if len(words) >= min_words:
-            digest = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-            yield found.start(), found.end(), (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+    for start, end in spans(text):
+        plain = " ".join(text[start:end].split())
+        digest = xxhash.xxh3_128_intdigest(plain.lower().encode("utf-8", "surrogatepass"))
+        yield start, end, len(plain), (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
 
 
-def unit_digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, start, finish, d1, d2 of every unit of keyed documents."""
+def unit_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, finish, chars, d1, d2 of every line and paragraph of keyed documents."""
 
     def cut(batches):
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch[ID], batch[KEY], batch[TEXT]):
-                for row in units(text, unit, min_words):
+                for row in units(text):
                     rows.append((doc_id, key, *row))
                     if len(rows) >= CHUNK:
                         yield _frame(rows)
@@ -44,10 +55,10 @@ def unit_digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
             yield _frame(rows)
 
     def _frame(rows):
-        names = [ID, KEY, "start", "finish", "d1", "d2"]
+        names = [ID, KEY, "start", "finish", "chars", "d1", "d2"]
         return pd.DataFrame(rows, columns=names).astype({ID: "Int64"} | dict.fromkeys(names[1:], "int64"))
 
-    shape = f"{ID} long, {KEY} long, start long, finish long, d1 long, d2 long"
+    shape = f"{ID} long, {KEY} long, start long, finish long, chars long, d1 long, d2 long"
     return docs.select(ID, KEY, TEXT).mapInPandas(cut, shape)
 
 
@@ -61,13 +72,13 @@ def _without(text: str, spans) -> str:
     return left[:-1] if at >= len(text) and left.endswith("\n") else left
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, start, finish of every unit that has an earlier one of the same digest.
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, finish, chars of every line and paragraph that has an earlier one of the same digest.
 
     The order is (doc_id, key, start), a null id first. Digests are grouped with map-side combining:
     a unit that is in every document is one row per task, and only digests and offsets are shuffled.
     """
-    found = unit_digests(docs, unit, min_words)
+    found = unit_digests(docs)
     place = F.struct(ID, KEY, "start")
     repeated = (
         found.groupBy("d1", "d2")
@@ -77,18 +88,19 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     )
     # written, so that both sides of the join are plain shuffles and a hot unit can be split
     repeated = written(repeated, "units")
-    return found.join(repeated, ["d1", "d2"]).where(place > F.col("earliest")).select(ID, KEY, "start", "finish")
+    return found.join(repeated, ["d1", "d2"]).where(place > F.col("earliest")).select(ID, KEY, "start", "finish", "chars")
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs``, every row and column, with ``text`` reduced to first occurrences, and three more columns.
+def dedup_units(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs``, every row and column, with ``text`` reduced to first occurrences, and four more columns.
 
-    ``unit`` is "line" or "paragraph" (lines up to a blank one). Units of fewer than ``min_words`` words
-    are left alone; the rest are compared in lower case with white space runs as one space. In the order of
-    (doc_id, start) the first of equal units stays and the others go, in the same document too, each with its
-    line break. ``removed`` is an array of (start, finish) in code points of the text as given, by start
-    (empty if none), ``n_removed`` its size, ``kept_chars`` the length left (null text: null text, 0, 0).
-    Rows that agree in doc_id and text are one document. Equal names among the other columns are replaced.
+    Units are the lines that are not blank and the paragraphs of two or more such lines, compared in lower case with
+    white space runs as one space. In the order of (doc_id, start) the first of equal units is no repeat and the others
+    are, in the same document too; ``n_repeated`` counts these. Repeats of ``min_chars`` characters or more go, each with
+    its line break; shorter ones, such as a closing word on a line of its own, stand in unrelated texts and stay.
+    ``removed`` is an array of (start, finish) in code points of the text as given, by start (empty if none; lines inside
+    a removed paragraph are part of it), ``n_removed`` its size, ``kept_chars`` the length left (null text: null text, 0,
+    0, 0). Rows that agree in doc_id and text are one document. Equal names among the other columns are replaced.
     """
 
     @pandas_udf("string")
@@ -97,15 +109,24 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
         return pd.Series([None if t is None else _without(t, spans) for t, spans in zip(texts, pairs)], dtype=object)
 
     wide = docs.withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
-    gone = (
-        repeated_units(keyed(docs), unit, min_words)
-        .groupBy(ID, KEY)
-        .agg(F.array_sort(F.collect_set(F.struct("start", "finish"))).alias("removed"))
+    span = F.struct("start", (-F.col("finish")).alias("back"))
+    gone = repeated_units(keyed(docs)).groupBy(ID, KEY).agg(
+        F.size(F.collect_set(span)).alias("n_repeated"),  # rows that agree in id and text repeat their units
+        F.array_sort(F.collect_set(F.when(F.col("chars") >= min_chars, span))).alias("spans"),
     )
     none = F.array().cast("array<struct<start:bigint,finish:bigint>>")
-    marked = attach(wide.drop("removed"), gone).withColumn("removed", F.coalesce("removed", none))
+    # by start, the longest first: a span that does not reach past those before it lies inside one of them
+    outer = F.aggregate(
+        "spans", none,
+        lambda found, s: F.when(-s["back"] <= F.coalesce(F.get(found, F.size(found) - 1)["finish"], F.lit(-1)), found).otherwise(
+            F.concat(found, F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("finish"))))
+        ),
+    )
+    named = gone.select(ID, KEY, "n_repeated", outer.alias("removed"))
+    marked = attach(wide.drop("removed", "n_repeated"), named).withColumn("removed", F.coalesce("removed", none))
     return (
         marked.withColumn(TEXT, F.when(F.size("removed") > 0, without(TEXT, "removed")).otherwise(F.col(TEXT)))
+        .withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)).cast("long"))
         .withColumn("n_removed", F.size("removed").cast("long"))
         .withColumn("kept_chars", F.coalesce(F.length(TEXT), F.lit(0)).cast("long"))
         .drop(KEY)
