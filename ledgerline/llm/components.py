@@ -43,7 +43,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Needs a > b in every row."""
-    least = links.groupBy("a").agg(F.min("b").alias("low"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("low")), "least")  # as above
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.where("a > b").unionAll(least.select("a", F.col("low").alias("b"))).distinct()
 

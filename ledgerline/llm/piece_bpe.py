@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ledgerline.llm.texts import ID, TEXT
+from ledgerline.llm.texts import ID, TEXT, release_memory
 
 SPACE = "▁"
 CACHED_CHUNKS = 200_000
@@ -106,6 +106,12 @@ class PieceBpe:
         self.old: dict[str, str] = {}
         self.odd: set[str] = set()
 
+    def forget(self):
+        """Empty the caches. They are bounded by number, but a worker keeps them beside the stages that come after."""
+        for cache in (self.pairs, self.young, self.old):
+            cache.clear()
+        self.odd.clear()
+
     def _cutter(self) -> re.Pattern:
         """Matches the stretches of a text that are encoded on their own.
 
@@ -269,7 +275,7 @@ def _utf8(octets: bytes) -> str:
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> PieceBpe:
-    """One coder for each model and Python worker; its caches are cleared when full."""
+    """One coder for each model and Python worker; its caches are cleared when full, and by ``tokenize`` after each task."""
     return PieceBpe(path)
 
 
@@ -298,6 +304,9 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
                 columns = [*part.columns, ids, pa.array(counts, pa.int64()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added.names])
+            del batch, part
+        own.forget()
+        release_memory()
 
     return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, *added.fields]))
 

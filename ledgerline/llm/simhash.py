@@ -37,14 +37,14 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """doc_id and simhash (long) of every row."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3, *more: str) -> DataFrame:
+    """doc_id and simhash (long) of every row, and the columns that ``more`` names."""
 
     @pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(text, shingle_words) for text in texts], dtype="int64")
 
-    return docs.select(F.col(ID).cast("long").alias(ID), simhash(F.col(TEXT).cast("string")).alias("simhash"))
+    return docs.select(F.col(ID).cast("long").alias(ID), simhash(F.col(TEXT).cast("string")).alias("simhash"), *more)
 
 
 @lru_cache
@@ -62,12 +62,21 @@ def _flips(free_mask: int, max_bits: int) -> np.ndarray:
     return np.array([sum(c) for c in sets], np.uint64)
 
 
+def _tally(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many positional bytes the fingerprints of each pair share."""
+    return (np.ascontiguousarray(left).view(np.uint8) == np.ascontiguousarray(right).view(np.uint8)).reshape(-1, 8).sum(axis=1)
+
+
 def _bucket_links(members: np.ndarray, mask: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the distinct fingerprints of one bucket, thinned to a star per local component."""
+    """Links between the distinct fingerprints of one list, thinned to a star per local component.
+
+    The candidate pairs of a short list are all its pairs, those of a long one the members that differ by some flip
+    in the bytes the list leaves open. Each candidate's shared positional bytes are tallied, pairs that reach
+    8 - max_bits are kept, and their bits are counted.
+    """
     members = np.sort(members.astype(np.int64).view(np.uint64))
     if len(members) <= 128:
-        near = np.bitwise_count(members[:, None] ^ members[None, :]) <= max_bits
-        left, right = np.nonzero(np.triu(near, 1))
+        left, right = np.triu_indices(len(members), 1)
     else:
         found = []
         for flip in _flips(~mask & (1 << 64) - 1, max_bits):
@@ -76,6 +85,10 @@ def _bucket_links(members: np.ndarray, mask: int, max_bits: int) -> tuple[np.nda
             hit = np.nonzero((members[at] == wanted) & (members < wanted))[0]
             found.append((hit, at[hit]))
         left, right = (np.concatenate(side) for side in zip(*found))
+    near = _tally(members[left], members[right]) >= 8 - max_bits
+    left, right = left[near], right[near]
+    near = np.bitwise_count(members[left] ^ members[right]) <= max_bits
+    left, right = left[near], right[near]
     nodes, roots = local_components(members[left].view(np.int64), members[right].view(np.int64))
     return nodes[nodes != roots], roots[nodes != roots]
 
@@ -117,6 +130,12 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return lists.select("slot", "members").mapInPandas(link, "a long, b long")
 
 
+def _components(prints: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(simhash and first_id of every different fingerprint; node and component of those that are linked)."""
+    classes = prints.groupBy("simhash").agg(F.min(ID).alias("first_id"))
+    return classes, connected_components(fingerprint_links(classes.select("simhash"), max_bits))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, simhash (long), component_id (smallest doc_id reachable over links, itself included).
 
@@ -126,15 +145,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
     component unless all ids of it are null. An empty table gives an empty table. Other columns are ignored.
     """
     prints = written(fingerprints(docs, shingle_words), "simhash")
-    classes = prints.groupBy("simhash").agg(F.min(ID).alias("first_id"))
-    components = connected_components(fingerprint_links(classes.select("simhash"), max_bits))
+    classes, components = _components(prints, max_bits)
+    least = components.join(classes.withColumnRenamed("simhash", "node"), "node").groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = attach(
         classes.join(components.withColumnRenamed("node", "simhash"), "simhash", "left").select(
             "simhash", F.coalesce("component", "simhash").alias("component"), "first_id"
         ),
-        components.join(classes.withColumnRenamed("simhash", "node"), "node")
-        .groupBy("component")
-        .agg(F.min("first_id").alias("least_id")),
+        written(least, "least-ids"),  # written, so that a component of a third of all fingerprints can be split
         ["component"],
     ).select("simhash", F.coalesce("least_id", "first_id").alias("component_id"))
     return prints.join(merged, "simhash").select(ID, "simhash", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the least by doc_id, a null id last, then by a row digest.
+
+    Groups are found by text, so rows that share an id and differ in text are judged by themselves. A row is
+    known by a 128-bit digest of all its columns; rows that are equal in all of them are one, which is settled before
+    anything is joined, so a row repeated in a third of the table is no hot key.
+    """
+    row = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
+    known = docs.withColumn("_llm_row", row)
+    prints = written(fingerprints(known, shingle_words, "_llm_row"), "simhash")
+    first = F.min(F.struct(F.col(ID).isNull().alias("unnamed"), ID, "_llm_row")).alias("first")
+    firsts = written(prints.groupBy("simhash").agg(first), "first-rows")
+    components = connected_components(fingerprint_links(firsts.select("simhash"), max_bits)).withColumnRenamed("node", "simhash")
+    grouped = firsts.join(components, "simhash", "left").groupBy(F.coalesce("component", "simhash").alias("group"))
+    chosen = grouped.agg(F.min("first").alias("first")).select("first._llm_row")
+    return known.dropDuplicates(["_llm_row"]).join(chosen, "_llm_row", "left_semi").drop("_llm_row")

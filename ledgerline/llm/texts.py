@@ -1,7 +1,9 @@
 """Shared pieces of the text operators."""
 
+import ctypes
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,12 @@ def attach(docs: DataFrame, found: DataFrame, names=(ID, KEY)) -> DataFrame:
         lambda a, b: a & b, [docs[name].eqNullSafe(hidden[f"_llm_found_{name}"]) for name in names]
     )
     return docs.join(hidden, condition, "left").drop(*[f"_llm_found_{name}" for name in names])
+
+
+def release_memory():
+    """Give memory that this Python worker has freed back to the system; workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU library has it
+        pass

@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerline.llm import simhash
+from ledgerline.llm.components import connected_components
 
 
 def plain(text):
@@ -93,3 +96,28 @@ def test_whole_table(spark, sf_dir):
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=str) == brute(rows)
     prints = dict(rows)
     assert all(r["fingerprint"] == f"{plain(prints[r['doc_id']]):016x}" for r in found)
+
+
+def test_one_row_of_each_group(spark):
+    a, b = "the quick brown fox jumps over it", "an entirely different text stands here"
+    rows = [(3, a, "en"), (3, a, "de"), (3, a, "de"), (None, a, "en"), (4, b, None), (4, b, None), (None, "third words of another kind", "en"), (9, None, "x"), (8, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = sorted(map(tuple, simhash.one_of_each(docs).collect()), key=str)
+    assert len(left) == 4 and {r[:2] for r in left} == {(3, a), (4, b), (None, "third words of another kind"), (8, "")}
+    again = sorted(map(tuple, simhash.one_of_each(docs.orderBy("lang").repartition(3)).collect()), key=str)
+    assert again == left
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_component_of_a_third_of_all_fingerprints(spark):
+    """A chain of fingerprints, each two bits from the next, beside as many single ones."""
+    chain, value = [], 0
+    for k in range(400):
+        value ^= 0b11 << (2 * (k % 31))
+        chain.append(value)
+    chain = list(dict.fromkeys(chain))
+    rng = random.Random(3)
+    single = [rng.getrandbits(63) for _ in range(2 * len(chain))]
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in dict.fromkeys(chain + single)], "simhash long"))
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert {found[v] for v in chain} == {min(chain)} and not set(single) & set(found)
