@@ -12,50 +12,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark, docs, sf_dir):
-    """Keeps the documents whose language is told with the calibrated least score; learns from ``docs`` itself."""
+    """Keeps the documents whose language is told with the calibrated least score; learns from ``docs`` itself.
+
+    Null texts and texts without a letter have no language and go. Each row is judged by its text alone, so repeated
+    rows stay or go together.
+    """
     send_package(spark)
     found = langid.identify(docs.select(COLUMNS), rows_a_language=600, most_languages=256)
     return found.where("accepted").select(COLUMNS)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Removes passages of three lines that an earlier document has; a document with nothing left goes."""
+    """Removes passages of three lines that an earlier document has; a document with nothing left goes.
+
+    Earlier is by (doc_id, text digest), null ids first. Rows that agree in both lose the same lines; empty texts have none
+    to lose and stay.
+    """
     found = line_dedup.dedup_lines(docs.select(COLUMNS))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.col(TEXT), F.lit(" \t\r\n")) == "")
     return found.where(~emptied).withColumn("n_chars", F.length(TEXT).cast("long")).select(COLUMNS)
 
 
-def _named(docs):
-    return docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
-
-
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps one row of each group of near-duplicates: the least by (doc_id, text key), a null id last.
-
-    Groups are found by text, so rows that share an id and differ in text are judged by themselves; of repeated
-    rows one is left.
-    """
+    """Keeps one row of each group of near-duplicates; see ``simhash.one_of_each`` for which one, and for nulls and repeats."""
     send_package(spark)
-    named = _named(docs)
-    found = simhash.near_duplicates(named.select(F.col(KEY).alias(ID), TEXT), shingle_words=3, max_bits=2)
-    groups = found.groupBy(F.col(ID).alias(KEY)).agg(F.min("component_id").alias("group"))
-    first = named.groupBy(KEY).agg(F.min(F.struct(F.col(ID).isNull().alias("unnamed"), F.col(ID))).alias("first"))
-    least = first.join(groups, KEY).groupBy("group").agg(F.min(F.struct("first.*", KEY)).alias("least"))
-    chosen = least.select(f"least.{ID}", f"least.{KEY}")
-    return named.join(chosen, same(named, chosen, [ID, KEY]), "left_semi").dropDuplicates([ID, KEY]).select(COLUMNS)
+    return simhash.one_of_each(docs.select(COLUMNS), shingle_words=3, max_bits=2)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Drops documents of which a twentieth of the words or more is in passages of the benchmark."""
+    """Drops documents of which a twentieth of the words or more is in passages of the benchmark.
+
+    Rows that agree in id and text go or stay together; null and empty texts have no words and stay.
+    """
     send_package(spark)
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = found.where("contaminated").select(ID, KEY)
-    named = _named(docs)
+    named = docs.select(COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))))
     return named.join(dirty, same(named, dirty, [ID, KEY]), "left_anti").select(COLUMNS)
 
 
 def encode(spark, docs, sf_dir):
-    """Token ids of every document, and a digest of the text that they decode to."""
+    """Token ids of every document, and a digest of the text that they decode to; null text counts as empty, every row stays."""
     send_package(spark)
     found = piece_bpe.tokenize(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.sha2("decoded", 256).alias("decoded_sha256")
