@@ -14,6 +14,10 @@ BLOCK = 512
 MOST_CELLS = 4096
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 64 << 20
+#: Of a calibrated margin: standard deviations that it covers, rows compared with each other, and pairs that tell.
+DEVIATIONS = 3.5
+PAIRED_ROWS = 4096
+TOLD_SHARE = 0.999
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -57,24 +61,54 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
 
 
-def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int, closest: float) -> np.ndarray:
-    """Centroids from a sample of the classes by a hash of their id, of ``sample_rows`` rows or SAMPLE_BYTES at most."""
+def _fit(classes: DataFrame, count: int, cell: int, sample_rows: int, closest: float, exact: bool) -> tuple[np.ndarray, float]:
+    """Centroids, and the share of the margin to probe, from a sample of the classes by a hash of their id.
+
+    The sample has ``sample_rows`` rows or SAMPLE_BYTES at most.
+    """
     width = classes.agg(F.max(F.size("vector"))).first()[0]
     rows = max(1, min(sample_rows, SAMPLE_BYTES // (8 * width)))
     sample = classes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(rows).toPandas()
     drawn = unit_rows(sample["vector"])
-    return spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))), closest)
+    centroids = spherical_kmeans(drawn, max(1, min(-(-count // cell), MOST_CELLS, -(-len(drawn) // 4))), closest)
+    return centroids, 1.0 if exact else calibrated_share(drawn, centroids, closest)
 
 
-def probed_cells(rows: np.ndarray, centroids: np.ndarray, least_cosine: float) -> tuple[list[np.ndarray], np.ndarray]:
+def calibrated_share(rows: np.ndarray, centroids: np.ndarray, least_cosine: float) -> float:
+    """Which share of the whole margin (see ``probed_cells``) finds nearly all partners of vectors like ``rows``.
+
+    Partners differ in some direction, of which only the part along the line between two centroids matters. In n
+    effective dimensions (of the rows' covariance) that part is about 1 / sqrt(n) of the whole, so DEVIATIONS / sqrt(n)
+    of the margin is enough. Linked pairs among the first PAIRED_ROWS rows that need more raise it to what TOLD_SHARE of them need.
+    """
+    spread = np.linalg.eigvalsh(np.cov(rows.T)) if len(rows) > 1 and rows.shape[1] > 1 else np.ones(1)
+    dimensions = spread.sum() ** 2 / max((spread**2).sum(), 1e-300)
+    share = min(1.0, DEVIATIONS / np.sqrt(max(1.0, dimensions)))
+    drawn = rows[:PAIRED_ROWS]
+    left, right = np.nonzero(np.triu(drawn @ drawn.T >= least_cosine, 1))
+    if not len(left):
+        return share
+    reach = np.sqrt(max(1e-300, (1 - least_cosine) / 2))
+    home = np.concatenate([(drawn[at : at + 2048] @ centroids.T).argmax(axis=1) for at in range(0, len(drawn), 2048)])
+    needed = np.zeros(len(left))
+    for at in range(0, len(left), 4096):
+        a, b = left[at : at + 4096], right[at : at + 4096]
+        line = centroids[home[a]] - centroids[home[b]]
+        apart = np.maximum(np.linalg.norm(line, axis=1), 1e-300)
+        nearest = np.minimum((drawn[a] * line).sum(axis=1), -(drawn[b] * line).sum(axis=1))
+        needed[at : at + 4096] = np.where(home[a] == home[b], 0, nearest / apart / reach)
+    return float(min(1.0, max(share, np.quantile(needed, TOLD_SHARE))))
+
+
+def probed_cells(rows: np.ndarray, centroids: np.ndarray, least_cosine: float, share: float = 1.0) -> tuple[list[np.ndarray], np.ndarray]:
     """(cells, cosine to the home centroid) of unit rows: the home cell first, then every cell that may hold a partner.
 
     Two rows of different homes lie on either side of the plane midway between the two centroids, so the
     angle between them is at least the sum of their angles to that plane. If they are linked, one of them is within
     half the angle of ``least_cosine`` of the plane. Each row probes the cells it is so near to, hence every linked
-    pair meets, whatever the number of cells.
+    pair meets, whatever the number of cells. A ``share`` below 1 narrows that margin.
     """
-    reach = np.sqrt(max(0.0, (1 - least_cosine) / 2))
+    reach = share * np.sqrt(max(0.0, (1 - least_cosine) / 2))
     cells, nearest = [], []
     for at in range(0, len(rows), 512):
         near = rows[at : at + 512] @ centroids.T
@@ -88,7 +122,7 @@ def probed_cells(rows: np.ndarray, centroids: np.ndarray, least_cosine: float) -
     return cells, np.concatenate([*nearest, np.zeros(0)])
 
 
-def _assigned(classes: DataFrame, shared, least_cosine: float) -> DataFrame:
+def _assigned(classes: DataFrame, shared, least_cosine: float, share: float) -> DataFrame:
     """``classes`` with their probed cells (the first is the vector's home), and ``core``.
 
     A vector is core if its angle to its home centroid is at most half the angle of ``least_cosine``: any two
@@ -99,7 +133,7 @@ def _assigned(classes: DataFrame, shared, least_cosine: float) -> DataFrame:
     def assign(batches):
         for batch in batches:
             if len(batch):
-                cells, nearest = probed_cells(unit_rows(batch["vector"]), shared.value, least_cosine)
+                cells, nearest = probed_cells(unit_rows(batch["vector"]), shared.value, least_cosine, share)
                 yield batch.assign(cells=cells, core=nearest >= half)
 
     return classes.mapInPandas(assign, "vector array<double>, node long, copies long, cells array<int>, core boolean")
@@ -209,13 +243,20 @@ def _compare(least_cosine: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, least_cosine: float = 0.9, cell: int = CELL, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame,
+    least_cosine: float = 0.9,
+    cell: int = CELL,
+    block: int = BLOCK,
+    sample_rows: int = SAMPLE_ROWS,
+    exact: bool = True,
 ) -> DataFrame:
     """vec_id, n_links, component_id (long) and kept (boolean): one row per row of ``vectors`` (vec_id, embedding).
 
     Two rows are linked if the cosine of their vectors, in double precision, is ``least_cosine`` or more: the
     index puts every vector into the cell of its nearest centroid and compares it with the members of
-    every cell that may hold a partner (see ``probed_cells``), so all such pairs are found and no others. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
+    every cell that may hold a partner (see ``probed_cells``), so all such pairs are found and no others. Unless ``exact``,
+    cells are probed within a share of that margin that is calibrated on the sample (see ``calibrated_share``): a
+    few of the pairs near the bound may be missed, and far fewer cells are probed. Centroids are fitted on a sample of at most ``sample_rows`` rows (fewer
     if they exceed SAMPLE_BYTES), one per ``cell`` vectors, at most MOST_CELLS, and merged where they are
     near copies themselves. A larger cell is compared in blocks of ``block`` rows. Vectors so near their centroid that
     they must be linked with each other are counted and not compared; the rest of a cell costs its size times the cell's.
@@ -235,9 +276,9 @@ def near_duplicates(
     padded = F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector")))
     usable = usable.select("vec_id", F.when(F.size("vector") < width, padded).otherwise(F.col("vector")).alias("vector"))
     classes = written(_classes(usable), "vectors")
-    centroids = _fit(classes, classes.count(), cell, sample_rows, least_cosine)
+    centroids, share = _fit(classes, classes.count(), cell, sample_rows, least_cosine, exact)
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS vectors at most
-    assigned = written(_assigned(classes, shared, least_cosine), "assigned")
+    assigned = written(_assigned(classes, shared, least_cosine, share), "assigned")
     number_type = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     products = _dealt(assigned, block, number_type).groupBy("cell", "x", "y")
     compared = products.applyInPandas(_compare(least_cosine), "a long, b long, copies long")

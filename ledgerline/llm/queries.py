@@ -86,7 +86,7 @@ def op6_url_filter(spark, sf_dir):
 
 
 def op7_embedding_near_dedup(spark, sf_dir):
-    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least_cosine=0.9, exact=False)
 
 
 def op8_chat_formatting(spark, sf_dir):

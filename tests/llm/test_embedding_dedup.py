@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from ledgerline.llm.components import local_components
-from ledgerline.llm.embedding_dedup import near_duplicates, spherical_kmeans, unit_rows
+from ledgerline.llm.embedding_dedup import calibrated_share, near_duplicates, probed_cells, spherical_kmeans, unit_rows
 
 
 def table(spark, rows):
@@ -57,6 +57,41 @@ def test_recall_over_many_cells(spark):
     assert found(near_duplicates(table(spark, rows), cell=14, sample_rows=600)) == brute(rows)
 
 
+@pytest.mark.parametrize("width, most_probes", [(16, 15), (64, 15)])
+def test_calibrated_margin_over_hundreds_of_cells(width, most_probes):
+    """Partners with cosines of 0.90 to 0.93 and no clear neighbours else: nearly all meet, and few cells are probed."""
+    random = np.random.default_rng(width)
+    ones = unit_rows(random.normal(size=(6000, width)))
+    turned = random.normal(size=ones.shape)
+    turned = unit_rows(turned - (turned * ones).sum(axis=1, keepdims=True) * ones)
+    cosine = random.uniform(0.9, 0.93, size=(len(ones), 1))
+    others = cosine * ones + np.sqrt(1 - cosine**2) * turned
+    sample = np.concatenate([ones, others])[random.permutation(12_000)[:4000]]
+    centroids = spherical_kmeans(sample, 200, 0.9)
+    share = calibrated_share(sample, centroids, 0.9)
+    (left, _), (right, _) = [probed_cells(rows[:2000], centroids, 0.9, share) for rows in (ones, others)]
+    met = [b[0] in a or a[0] in b for a, b in zip(left, right)]
+    assert np.mean(met) >= 0.995 and np.mean([len(cells) for cells in left]) <= most_probes
+    whole, _ = probed_cells(ones[:2000], centroids, 0.9)
+    assert share < 1 and np.mean([len(cells) for cells in whole]) > np.mean([len(cells) for cells in left])
+
+
+def test_margin_of_few_rows_and_flat_ones():
+    assert calibrated_share(np.array([[1.0]]), np.array([[1.0]]), 0.9) == 1.0
+    flat = unit_rows(np.random.default_rng(1).normal(size=(500, 2)) @ np.random.default_rng(2).normal(size=(2, 40)))
+    assert calibrated_share(flat, spherical_kmeans(flat, 20), 0.9) == 1.0  # two effective dimensions
+
+
+def test_query_finds_planted_links(spark, tmp_path):
+    from ledgerline.llm.queries import QUERIES
+
+    rows = groups(8, [40, 9, *[2] * 60, *[1] * 700], width=48, noise=0.04)
+    table(spark, rows).select("vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, wanted = found(QUERIES["op7_embedding_near_dedup"](spark, str(tmp_path))), brute(rows)
+    assert sum(n for _, n, _ in wanted) > 1000 and sum(n for _, n, _ in got) >= 0.95 * sum(n for _, n, _ in wanted)
+    assert all(a[1] <= b[1] for a, b in zip(got, wanted))
+
+
 def test_dense_group_is_counted_exactly(spark):
     """Most of a tight group is core, its fringe and the strays beside it are not."""
     rows = groups(5, [300], noise=0.02) + [(i + 300, v) for i, v in groups(6, [120], noise=0.06)] + [(i + 420, v) for i, v in groups(5, [60], noise=0.09)]
