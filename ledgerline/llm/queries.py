@@ -279,32 +279,34 @@ FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_i
 """
 
 OP6_SQL = r"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
-), cut AS (
+), lexed AS (
   SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
-    CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 40 THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS ls
+    CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS lex
   FROM split
-), lexed AS (
-  SELECT page_id, host, path, CASE WHEN len(ls) > 8 THEN list_append(ls[1:8], '**') ELSE ls END AS lex FROM cut
 ), worst AS (
   SELECT doc_id AS page_id, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id
 ), counted AS (
-  SELECT host, lex, count(bad) AS labelled, count(*) FILTER (bad) AS bad
+  SELECT host, lex, count(*) AS pages, count(bad) AS labelled, count(*) FILTER (bad) AS bad
   FROM lexed LEFT JOIN worst USING (page_id) GROUP BY host, lex
-), places AS (
-  SELECT host, lex, d, lex[1:d - 1] AS parent, lex[d] AS segment
-  FROM (SELECT host, lex, unnest(range(1, len(lex) + 1)) AS d FROM counted)
-), wide AS (
-  SELECT host, parent FROM places GROUP BY host, parent HAVING count(DISTINCT segment) > 30
-), templates AS (
-  SELECT host, lex, list(CASE WHEN w.host IS NOT NULL AND segment NOT LIKE '*%' THEN '*' ELSE segment END ORDER BY d) AS template
-  FROM places p LEFT JOIN wide w USING (host, parent) GROUP BY host, lex
+), walked AS (
+  SELECT host, lex, pages::DOUBLE AS pages, labelled::DOUBLE AS labelled, bad::DOUBLE AS bad, 0 AS d, []::VARCHAR[] AS template FROM counted
+  UNION ALL
+  SELECT host, lex, pages, labelled, bad, d + 1,
+         list_append(template, CASE WHEN lex[d + 1] LIKE '*%' OR n >= 0.05::DOUBLE * all_n
+           OR (all_l > 0 AND abs(b - l * (all_b / all_l)) > 1.96::DOUBLE * sqrt(l * (all_b / all_l) * (1 - all_b / all_l)))
+           THEN lex[d + 1] ELSE '*' END)
+  FROM (
+    SELECT *, sum(pages) OVER child AS n, sum(labelled) OVER child AS l, sum(bad) OVER child AS b,
+           sum(pages) OVER node AS all_n, sum(labelled) OVER node AS all_l, sum(bad) OVER node AS all_b
+    FROM walked WINDOW node AS (PARTITION BY host, template), child AS (PARTITION BY host, template, lex[d + 1]))
+  WHERE d < len(lex)
 ), paths AS (
-  SELECT c.*, coalesce(template, []) AS template FROM counted c LEFT JOIN templates USING (host, lex)
+  SELECT host, lex, labelled, bad, template FROM walked WHERE d = len(lex)
 ), expanded AS (
   SELECT *, template[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(template) + 1)) AS d FROM paths)
 ), nodes AS (
@@ -312,8 +314,8 @@ WITH split AS (
 ), kept AS (
   SELECT n.host, n.d, n.prefix, (n.bad + 0.2::DOUBLE * 5.0::DOUBLE) / (n.labelled + 5.0::DOUBLE) AS share
   FROM nodes n LEFT JOIN nodes p ON p.host = n.host AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
-  WHERE n.d = 0 OR (p.labelled > 0 AND abs(n.bad - n.labelled * (p.bad::DOUBLE / p.labelled))
-    > 1.96::DOUBLE * sqrt(n.labelled * (p.bad::DOUBLE / p.labelled) * (1 - p.bad::DOUBLE / p.labelled)))
+  WHERE n.d = 0 OR (p.labelled > 0 AND abs(n.bad - n.labelled * (p.bad / p.labelled))
+    > 1.96::DOUBLE * sqrt(n.labelled * (p.bad / p.labelled) * (1 - p.bad / p.labelled)))
 ), decided AS (
   SELECT e.host, e.lex, e.template, k.prefix AS branch, k.share
   FROM expanded e JOIN kept k ON k.host = e.host AND k.d = e.d AND k.prefix = e.prefix

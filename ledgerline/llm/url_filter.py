@@ -9,8 +9,6 @@ from ledgerline.llm.texts import attach
 from ledgerline.sources.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_SEGMENTS = 8
-LONGEST_SEGMENT = 40
 
 
 @dataclass(frozen=True)
@@ -43,64 +41,88 @@ def rule_for(host, path, rules):
 
 
 def lexical_template(path):
-    """The segments of a path, those with a digit or over LONGEST_SEGMENT characters as * (and their extension).
-
-    Beyond MOST_SEGMENTS segments the rest is one ** segment.
-    """
+    """The segments of a path, those with a digit as * (and their extension)."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    variable = F.transform(
+    return F.transform(
         segments,
-        lambda s: F.when(
-            s.rlike("[0-9]") | (F.length(s) > LONGEST_SEGMENT),
-            F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)),
-        ).otherwise(s),
+        lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s),
     )
-    cut = F.concat(F.slice(variable, 1, MOST_SEGMENTS), F.array(F.lit("**")))
-    return F.when(F.size(segments) > MOST_SEGMENTS, cut).otherwise(variable)
 
 
-def _prefixes(column, least):
-    """Every beginning of an array, as rows of depth and prefix, from ``least`` segments on."""
-    depths = F.sequence(F.lit(least), F.size(column))
-    return F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), F.slice(column, 1, d).alias("prefix"))))
+def _shared_length(low, high):
+    """How many first elements two arrays share."""
+    same = F.zip_with(low, high, lambda a, b: a.eqNullSafe(b))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
-def _generalised(paths: DataFrame, most_children: int) -> DataFrame:
-    """host, lex, labelled, bad and template: segments under a parent of more than most_children become *."""
-    steps = F.transform(
-        F.sequence(F.lit(1), F.size("lex")),
-        lambda d: F.struct(d.alias("depth"), F.slice(F.col("lex"), 1, d - 1).alias("parent"), F.get(F.col("lex"), d - 1).alias("segment")),
-    )
-    places = paths.where(F.size("lex") > 0).select("host", "lex", F.inline(steps))
-    wide = (
-        places.select("host", "parent", "segment").distinct()
-        .groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"))
-        .where(F.col("children") > most_children)
-    )
-    starred = F.when(F.col("children").isNotNull() & ~F.startswith("segment", F.lit("*")), "*").otherwise(F.col("segment"))
-    templates = (
-        attach(places, wide, ["host", "parent"])
-        .groupBy("host", "lex")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", starred.alias("segment")))).alias("parts"))
-        .select("host", "lex", F.transform("parts", lambda p: p["segment"]).alias("template"))
+def _differs(bad, labelled, all_bad, all_labelled, deviation):
+    """Whether bad labels are further than ``deviation`` standard errors from the rate of all."""
+    rate = F.try_divide(all_bad.cast("double"), all_labelled)
+    return F.coalesce(F.abs(bad - labelled * rate) > deviation * F.sqrt(labelled * rate * (1 - rate)), F.lit(False))
+
+
+def _generalised(counted: DataFrame, frequent_share: float, deviation: float) -> DataFrame:
+    """host, lex, labelled, bad, template and depths (of the nodes where templates part, the host's first).
+
+    The tree is walked from the hosts down. All templates of a node that begin alike walk on together, to where
+    they part; there the next segments are compared under the node, as already generalised. A segment stays if it has at least
+    ``frequent_share`` of the node's pages or its labels differ from the node's; the others become one *. A round is
+    a few joins of counts, and there are as many as the most partings on one path.
+    """
+    none = F.array().cast("array<string>")
+    walking = written(
+        counted.withColumns({"template": none, "depths": F.array(F.lit(0)), "at": F.lit(0)}), "paths"
     )
-    return attach(paths, templates, ["host", "lex"]).withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
+    ended = []
+    while not walking.isEmpty():
+        rest = F.slice("lex", F.col("at") + 1, F.size("lex") - F.col("at"))
+        nodes = walking.groupBy("host", "template").agg(
+            F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"),
+            _shared_length(F.min(rest), F.max(rest)).alias("shared"),  # of the least and the greatest, hence of all
+        )
+        along = F.concat("template", F.slice("lex", F.col("at") + 1, F.col("shared")))
+        moved = attach(walking, written(nodes, "nodes"), ["host", "template"]).withColumn("template", along)
+        moved = written(moved.withColumn("at", F.col("at") + F.col("shared")).drop("shared"), "moved")
+        ended.append(moved.where(F.size("lex") == F.col("at")).drop("all_pages", "all_labelled", "all_bad"))
+        parting = moved.where(F.size("lex") > F.col("at")).withColumn("segment", F.get("lex", F.col("at")))
+        children = parting.groupBy("host", "template", "segment").agg(
+            F.sum("pages").alias("own_pages"), F.sum("labelled").alias("own_labelled"), F.sum("bad").alias("own_bad"),
+            *[F.max(name).alias(name) for name in ("all_pages", "all_labelled", "all_bad")],
+        )
+        frequent = F.col("own_pages") >= frequent_share * F.col("all_pages")
+        differs = _differs(F.col("own_bad"), F.col("own_labelled"), F.col("all_bad"), F.col("all_labelled"), deviation)
+        stays = F.startswith("segment", F.lit("*")) | frequent | differs
+        named = children.select("host", "template", "segment", F.when(stays, F.col("segment")).otherwise("*").alias("name"))
+        stepped = attach(parting, written(named, "children"), ["host", "template", "segment"])
+        walking = written(
+            stepped.select(
+                "host", "lex", "pages", "labelled", "bad",
+                F.concat("template", F.array("name")).alias("template"),
+                F.concat("depths", F.array(F.col("at") + 1)).alias("depths"),
+                (F.col("at") + 1).alias("at"),
+            ),
+            "paths",
+        )
+    found = walking  # empty: a table without pages has no round
+    for part in ended:
+        found = found.unionByName(part)
+    return found.drop("at", "pages")
 
 
 def _judged(paths: DataFrame, deviation: float, prior: float, strength: float) -> DataFrame:
     """host, lex, branch (the node that decides) and rejected share, for every lexical template."""
-    expanded = paths.select("host", "lex", "labelled", "bad", _prefixes("template", 0).alias("node")).select(
-        "host", "lex", "labelled", "bad", "node.*"
-    )
-    nodes = expanded.groupBy("host", "depth", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    node = F.transform("depths", lambda d, i: F.struct(
+        d.alias("depth"), F.slice(F.col("template"), 1, d).alias("prefix"),
+        F.when(i > 0, F.slice(F.col("template"), 1, F.get(F.col("depths"), i - 1))).alias("above"),
+    ))
+    expanded = paths.select("host", "lex", "labelled", "bad", F.inline(node))
+    nodes = expanded.groupBy("host", "depth", "prefix", "above").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     parents = nodes.select("host", F.col("prefix").alias("above"), F.col("labelled").alias("all_labelled"), F.col("bad").alias("all_bad"))
-    own = nodes.withColumn("above", F.when(F.col("depth") > 0, F.slice("prefix", 1, F.greatest(F.col("depth") - 1, F.lit(0)))))
-    rate = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labelled"))
-    spread = F.sqrt(F.col("labelled") * rate * (1 - rate))
-    differs = F.abs(F.col("bad") - F.col("labelled") * rate) > deviation * spread
-    kept = attach(own, parents, ["host", "above"]).where((F.col("depth") == 0) | F.coalesce(differs, F.lit(False)))
+    differs = _differs(F.col("bad"), F.col("labelled"), F.col("all_bad"), F.col("all_labelled"), deviation)
+    kept = attach(nodes, parents, ["host", "above"]).where((F.col("depth") == 0) | differs)
     share = (F.col("bad") + prior * strength) / (F.col("labelled") + strength)
-    branches = kept.select("host", "depth", "prefix", share.alias("share"))
+    branches = written(kept.select("host", "depth", "prefix", share.alias("share")), "kept-nodes")
     return (
         attach(expanded.select("host", "lex", "depth", "prefix"), branches, ["host", "depth", "prefix"])
         .where(F.col("share").isNotNull())
@@ -114,7 +136,7 @@ def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: list[Rule],
-    most_children: int = 30,
+    frequent_share: float = 0.05,
     deviation: float = 1.96,
     prior: float = 0.2,
     strength: float = 5.0,
@@ -123,7 +145,9 @@ def judge_urls(
     """page_id, host, path, rule, verdict, template, branch, bad_share: one row per row of ``pages`` (page_id, url).
 
     The longest rule that fits decides. Without one, the path's template does: segments with digits are
-    wildcards, and so are all segments under a node with more than ``most_children`` different ones. Labels
+    wildcards, and so are, level by level under the node as already generalised, all segments that have less than
+    ``frequent_share`` of the node's pages and whose labels do not differ from the node's. Both are shares and
+    errors, so a section is judged alike in a small table and a large one. Labels
     (page_id, bad boolean; the worst of several) are counted at every node of a host's tree. A node whose
     bad labels are within ``deviation`` standard errors of its parent's rate is merged with the parent, so the
     deepest node that differs, or the host, is the ``branch`` that decides: it is blocked if its share of bad
@@ -141,9 +165,9 @@ def judge_urls(
     counted = (
         split.join(worst, "page_id", "left")
         .groupBy("host", "lex")
-        .agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
+        .agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     )
-    paths = written(_generalised(written(counted, "paths"), most_children), "templates")
+    paths = written(_generalised(counted, frequent_share, deviation), "templates")
     judged = attach(paths.select("host", "lex", "template"), _judged(paths, deviation, prior, strength), ["host", "lex"])
     judged = written(judged, "branches")  # so that a hot template can be split in the join with its pages
     rule = rule_for(F.col("host"), F.col("path"), rules)

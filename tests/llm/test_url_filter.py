@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerline.llm.url_filter import Rule, judge_urls
@@ -60,5 +62,78 @@ def test_edges(spark):
     found = judge(spark, urls, [(None, True), (99, True), (2, None), (1, True), (1, False)], rules=[Rule("block", "a.net"), Rule("allow", "a.net")]).collect()
     assert len(found) == 5
     assert all(r["verdict"] == "block" for r in found if r["host"] == "a.net")
-    assert {r["template"] for r in found if r["page_id"] == 2} == {"/a/b/c/d/e/f/g/h/**"}
+    assert {r["template"] for r in found if r["page_id"] == 2} == {"/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p"}
     assert judge(spark, []).count() == 0
+
+
+def plain(urls, labels, share=0.05, deviation=1.96):
+    """(template, branch, share of bad labels) of each url, by walking each host's tree node by node."""
+    worst = {}
+    for page, bad in labels:
+        worst[page] = worst.get(page, False) or bad
+    rows = []
+    for page, url in urls:
+        host, _, path = url.split("://", 1)[1].partition("/")
+        lex = tuple("*" if any(c.isdigit() for c in s) else s for s in path.split("/") if s)
+        rows.append((page, host, lex, worst.get(page)))
+
+    def differs(own, all_):
+        rate = sum(all_) / len(all_) if all_ else 0
+        return bool(all_) and abs(sum(own) - len(own) * rate) > deviation * (len(own) * rate * (1 - rate)) ** 0.5
+
+    out = {}
+
+    def walk(members, at, template, branch, purity):
+        marks = [r[3] for r in members if r[3] is not None]
+        children = {}
+        for r in members:
+            if len(r[2]) == at:
+                out[r[0]] = (template, branch, purity)
+            else:
+                children.setdefault(r[2][at], []).append(r)
+        merged = {}
+        for name, own in children.items():
+            stays = name == "*" or len(own) >= share * len(members) or differs([r[3] for r in own if r[3] is not None], marks)
+            merged.setdefault(name if stays else "*", []).extend(own)
+        for name, own in merged.items():
+            mine = [r[3] for r in own if r[3] is not None]
+            deeper = differs(mine, marks)
+            walk(own, at + 1, (*template, name), (*template, name) if deeper else branch, (sum(mine) + 1) / (len(mine) + 5) if deeper else purity)
+
+    for host in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == host]
+        marks = [r[3] for r in own if r[3] is not None]
+        walk(own, 0, (), (), (sum(marks) + 1) / (len(marks) + 5))
+    return {page: ("/" + "/".join(t), "/" + "/".join(b), round(p, 9)) for page, (t, b, p) in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_equals_a_plain_walk(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + k)}" for k in range(26)] + [f"x{chr(97 + k)}" for k in range(26)]
+    urls = []
+    for page in range(1500):
+        depth = rng.choice([0, 1, 2, 2, 3, 5, 9])
+        path = [rng.choice(words if d == 0 else words[: 3 * d + 1]) if rng.random() < 0.8 else str(page) for d in range(depth)]
+        urls.append((page, f"http://{rng.choice(['a', 'b'])}.test/{'/'.join(path)}"))
+    bad = {w: rng.random() for w in words}
+    labels = [(p, rng.random() < bad.get(u.split("/")[3], 0.1)) for p, u in urls if rng.random() < 0.7]
+    found = {r["page_id"]: (r["template"], r["branch"], r["bad_share"]) for r in judge(spark, urls, labels, rules=[]).collect()}
+    assert found == plain(urls, labels)
+    assert len({f[1] for f in found.values()}) > 5
+
+
+@pytest.mark.parametrize("sections", [8, 40, 90])
+def test_a_bad_section_is_blocked_among_any_number_of_others(spark, sections):
+    names = ["casino", *(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(sections))]
+    urls = [(k, f"http://h.test/{names[k % len(names)]}/{chr(97 + k % 26)}{k}/page.html") for k in range(20 * len(names))]
+    labels = [(k, k % len(names) == 0) for k in range(20 * len(names))]
+    found = judge(spark, urls, labels, rules=[]).collect()
+    assert {(r["verdict"], r["branch"]) for r in found if "/casino/" in r["path"]} == {("block", "/casino")}
+    assert {r["verdict"] for r in found if "/casino/" not in r["path"]} == {"allow"}
+
+
+def test_very_deep_paths_walk_together(spark):
+    deep = "/".join(f"d{chr(97 + k % 26)}" for k in range(3000))
+    found = judge(spark, [(1, f"http://h.test/{deep}/end"), (2, f"http://h.test/{deep}/other"), (3, f"http://h.test/{deep}")]).collect()
+    assert {r["template"][-6:] for r in found} == {"dj/end", "/other", "/di/dj"}
