@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.scalars import count_or_zero
 from ledgerline.operators import series, usage
 from ledgerline.operators.samples import INTERVAL_SECONDS, started_samples
+from ledgerline.sources.shared import written
 
 
 def metrics_to_samples(metrics: DataFrame, dump: DataFrame, run_id: str, interval_seconds=INTERVAL_SECONDS) -> DataFrame:
@@ -38,4 +39,5 @@ def metrics_to_samples(metrics: DataFrame, dump: DataFrame, run_id: str, interva
         zeroed("cpu_millicores").cast("double").alias("cpu_millicores"),
         zeroed("memory_mib").cast("double").alias("memory_mib"),
     )
-    return started_samples(found.filter(F.col("strategy").isNotNull()))
+    # written, since the start of a series and its samples both read it
+    return started_samples(written(found.filter(F.col("strategy").isNotNull()), "built"))

@@ -10,7 +10,7 @@ from ledgerline.functions.scalars import (
     strict_decimal,
     strict_integer,
 )
-from ledgerline.operators.samples import INTERVAL_SECONDS, SERIES, billed_rate
+from ledgerline.operators.samples import INTERVAL_SECONDS, SERIES, SLICE_SECONDS, billed_rate, merged_parts
 from ledgerline.schemas import SAMPLE_COLUMNS
 
 # Names, ranges and limits that a sample or a run is held to.
@@ -155,38 +155,73 @@ def newest_complete_run(raw: DataFrame) -> DataFrame:
     return complete_runs(raw).filter("complete").orderBy(F.desc("file")).limit(1)
 
 
-def _order_facts(samples: DataFrame) -> DataFrame:
-    """Head and tail facts per series.
+def order_parts(samples: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """What each slice of a series tells about the order of its samples, in a form that neighbours can be merged in.
 
-    Samples that share second and executor count are interchangeable, so they are counted into
-    one row; positions come from running sums of these counts.
+    Samples that share second and executor count are interchangeable, so they are counted into one row. A part holds its
+    number of samples and of starved ones, its first samples (GAPS_MEASURED + 1 at most) and last ones (IDLE_SAMPLES at
+    most), the highest executor count before these, and how many samples come before the first with more than one
+    executor. The only window is as wide as a slice.
     """
-    steps = samples.groupBy(*SERIES, "timestamp", "executor_count").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*SERIES)
-    upto = F.sum("n").over(
-        whole.orderBy("timestamp", "executor_count").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        samples.groupBy(*SERIES, "timestamp", "executor_count")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("slice", F.floor(F.col("timestamp") / slice_seconds))
     )
-    placed = steps.select(
-        *SERIES, "timestamp", F.col("executor_count").alias("executors"), "n",
-        upto.alias("upto"), F.sum("n").over(whole).alias("total"),
-    ).withColumns(
-        {
-            "start": F.col("upto") - F.col("n"),
-            "active": F.greatest(F.lit(0), F.col("total") - IDLE_SAMPLES),
-            "measured": F.least(F.col("total"), F.lit(GAPS_MEASURED + 1)),
-        }
+    whole = Window.partitionBy(*SERIES, "slice")
+    upto = F.sum("n").over(whole.orderBy("timestamp", "executor_count").rowsBetween(Window.unboundedPreceding, 0))
+    placed = steps.withColumns({"upto": upto, "total": F.sum("n").over(whole)}).withColumn("start", F.col("upto") - F.col("n"))
+    executors, start, total = F.col("executor_count"), F.col("start"), F.col("total")
+
+    def bounded(most, kept):
+        """Up to ``most`` equal samples of a row, as an array, where ``kept`` are wanted."""
+        wanted = F.least(kept, F.lit(most)).cast("int")
+        sample = F.struct("timestamp", F.col("executor_count").alias("executors"))
+        return F.flatten(F.array_sort(F.collect_list(F.when(wanted > 0, F.array_repeat(sample, wanted)))))
+
+    return placed.groupBy(*SERIES, "slice").agg(
+        F.min("timestamp").alias("from_timestamp"),
+        F.sum("n").alias("samples"),
+        F.sum(F.when(executors < 1, F.col("n")).otherwise(0)).alias("starved"),
+        bounded(GAPS_MEASURED + 1, F.least(F.col("n"), GAPS_MEASURED + 1 - start)).alias("head"),
+        bounded(IDLE_SAMPLES, F.least(F.col("n"), F.col("upto") - (total - IDLE_SAMPLES))).alias("tail"),
+        F.max(F.when(start < total - IDLE_SAMPLES, executors)).alias("active_max"),
+        F.min(F.when(executors > 1, start)).alias("scale_up_at"),
     )
-    executors = F.col("executors")
-    active_rows = F.greatest(F.lit(0), F.least(F.col("n"), F.col("active") - F.col("start")))
-    gap_end = F.min(F.when(F.col("upto") >= F.col("measured"), F.col("timestamp")))
-    return placed.groupBy(*SERIES).agg(
-        F.try_divide(
-            (gap_end - F.min("timestamp")).cast("double"), F.max("measured") - 1
-        ).alias("mean_gap"),
-        F.min(F.when(executors > 1, F.col("start"))).alias("scale_up_at"),
-        F.sum(F.when(executors < 1, active_rows).otherwise(0)).alias("starved_samples"),
-        F.min(F.when(F.col("upto") > F.col("active"), executors)).alias("idle_min"),
-        F.max(F.when(F.col("start") < F.col("active"), executors)).alias("active_max"),
+
+
+def _joined_order(before, after):
+    """One part from two neighbours; the order in which parts are joined does not matter."""
+    both = F.concat(before["tail"], after["tail"])
+    left_out = F.greatest(F.lit(0), F.size(both) - IDLE_SAMPLES)
+    pushed = F.array_max(F.transform(F.slice(both, 1, left_out), lambda sample: sample["executors"]))
+    return F.struct(
+        before["from_timestamp"].alias("from_timestamp"),
+        (before["samples"] + after["samples"]).alias("samples"),
+        (before["starved"] + after["starved"]).alias("starved"),
+        F.slice(F.concat(before["head"], after["head"]), 1, GAPS_MEASURED + 1).alias("head"),
+        F.slice(both, left_out + 1, IDLE_SAMPLES).alias("tail"),
+        F.greatest(before["active_max"], after["active_max"], pushed).alias("active_max"),
+        F.coalesce(before["scale_up_at"], before["samples"] + after["scale_up_at"]).alias("scale_up_at"),
+    )
+
+
+ORDER_PART = ["from_timestamp", "samples", "starved", "head", "tail", "active_max", "scale_up_at"]
+
+
+def _order_facts(samples: DataFrame, slice_seconds=SLICE_SECONDS) -> DataFrame:
+    """Head and tail facts per series, merged from its slices."""
+    merged = merged_parts(order_parts(samples, slice_seconds), SERIES, ORDER_PART, _joined_order)
+    executors = F.transform("tail", lambda sample: sample["executors"])
+    head = F.transform("head", lambda sample: sample["timestamp"])
+    starved_tail = F.size(F.filter(executors, lambda n: n < 1))
+    return merged.select(
+        *SERIES,
+        F.try_divide((F.array_max(head) - F.array_min(head)).cast("double"), F.size(head) - 1).alias("mean_gap"),
+        "scale_up_at",
+        (F.col("starved") - starved_tail).alias("starved_samples"),
+        F.array_min(executors).alias("idle_min"),
+        "active_max",
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import match_nulls_join
 from ledgerline.functions.scalars import to_float, to_long, weighted_score
+from ledgerline.sources.shared import written
 
 
 def typed_reviews(raw: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def sentiment_ratio(reviews: DataFrame) -> DataFrame:
     )
 
 
-def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataFrame:
+def scored_in_any_order(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataFrame:
     """Review count, averages and weighted score per game, over reviews with a known game and user.
 
     Reviews are shuffled once, to meet their users. Both sides of that join are plain shuffles, so a user with
@@ -92,7 +93,12 @@ def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataF
         F.try_divide(F.col("products").cast("double"), F.col("sized")).alias("avg_user_library_size"),
     )
     score = weighted_score(F.col("avg_hours_played"), F.col("avg_positive_ratio"), F.col("total_recs"))
-    return scored.withColumn("weighted_score", score).orderBy(*score_order())
+    return scored.withColumn("weighted_score", score)
+
+
+def score_games(reviews: DataFrame, games: DataFrame, users: DataFrame) -> DataFrame:
+    """``scored_in_any_order``, best first."""
+    return scored_in_any_order(reviews, games, users).orderBy(*score_order())
 
 
 def score_order():
@@ -104,9 +110,10 @@ def scored_games(scored: DataFrame, ranges=64) -> DataFrame:
 
     Scores are split into ranges at their quantiles. A range's games are numbered by themselves, and the counts
     of the better ranges are added, so only ranges (at most ``ranges`` + 1 rows) meet in one task. Games of one
-    score share a range.
+    score share a range. The scores are written first, since quantiles, counts and numbers read them; their order is
+    not used.
     """
-    numbered = scored.select("app_id", "title", "rating", "weighted_score")
+    numbered = written(scored.select("app_id", "title", "rating", "weighted_score"), "scored")
     cuts = F.percentile_approx("weighted_score", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]))
     bounds = numbered.agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("cuts")).scalar()
     better = F.size(F.filter(F.col("cuts"), lambda cut: cut > F.col("weighted_score")))
@@ -150,11 +157,11 @@ def rank_in_library(reviews: DataFrame) -> DataFrame:
 
     No task ever holds all reviews of a user. Equal hours are counted first, with map-side combining. A window
     runs per (user, band of hours), where a 32-bit float has a bounded number of distinct values, and one
-    per user over whole bands, of which there are some thousands at most. Both start from the same shuffle of
-    the counts. The rank then joins back to the reviews, a hot user or tie being a hot key on their side only.
+    per user over whole bands, of which there are some thousands at most. Both read the counts, which are written
+    once. The rank then joins back to the reviews, a hot user or tie being a hot key on their side only.
     """
     keyed = reviews.select("user_id", "hours", _hours_band(F.col("hours")).alias("band"))
-    ties = keyed.groupBy("user_id", "band", "hours").agg(F.count(F.lit(1)).alias("n"))
+    ties = written(keyed.groupBy("user_id", "band", "hours").agg(F.count(F.lit(1)).alias("n")), "ties")
     before = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("user_id", "band").orderBy(F.desc("hours")).rowsBetween(*before)
     across = Window.partitionBy("user_id").orderBy(F.desc("band")).rowsBetween(*before)

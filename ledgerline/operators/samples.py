@@ -132,13 +132,18 @@ def _joined(before, after):
     )
 
 
-def merged_parts(parts: DataFrame, keys=SERIES) -> DataFrame:
-    """Neighbouring parts of each of ``keys`` as one part; merged parts can be merged again."""
-    part = F.struct("from_timestamp", "records", "peak")
+SCALING_PART = ["from_timestamp", "records", "peak"]
+
+
+def merged_parts(parts: DataFrame, keys=SERIES, fields=SCALING_PART, join=_joined) -> DataFrame:
+    """Neighbouring parts of each of ``keys`` as one part; merged parts can be merged again.
+
+    Parts are put in order by their first field. ``join`` makes one of two neighbours.
+    """
     return (
         parts.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        .select(*keys, F.reduce(F.slice("parts", 2, MOST_PARTS), F.get("parts", F.lit(0)), _joined).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
+        .select(*keys, F.reduce(F.slice("parts", 2, MOST_PARTS), F.get("parts", F.lit(0)), join).alias("part"))
         .select(*keys, "part.*")
     )
 

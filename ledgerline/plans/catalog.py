@@ -52,7 +52,8 @@ def scored_games_topk(spark, sf_dir):
 
 
 def scored_games(spark, sf_dir):
-    return rounded(reviews.scored_games(steam_heavy(spark, sf_dir)))
+    inputs = tables.reviews(spark, sf_dir), tables.games(spark, sf_dir), tables.users(spark, sf_dir)
+    return rounded(reviews.scored_games(rounded(reviews.scored_in_any_order(*inputs))))
 
 
 def clean_sales(spark, sf_dir):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerline.operators import quality as ops
@@ -168,3 +170,28 @@ def test_equal_seconds_count_as_samples(spark):
     found = verdicts(spark, keda=rows)
     assert found[("keda", "min_samples")][:2] == (True, 30.0)
     assert found[("keda", "sample_gap")][1] == 5.0
+
+
+def facts(points):
+    """Order facts of a series by walking its samples in order of time and executors."""
+    ordered = sorted(points)
+    head, tail, active = ordered[:11], ordered[-12:], ordered[:-12]
+    return (
+        (head[-1][0] - head[0][0]) / (len(head) - 1) if len(head) > 1 else None,
+        next((i for i, (_, e) in enumerate(ordered) if e > 1), None),
+        sum(e < 1 for _, e in active),
+        min(e for _, e in tail),
+        max((e for _, e in active), default=None),
+    )
+
+
+@pytest.mark.parametrize("width", [1, 9, 50, 86_400])
+def test_order_facts_are_the_same_in_any_slices(spark, width):
+    rng = random.Random(width)
+    data = {f"run{i}": [(rng.randint(-30, 200), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.choice([1, 2, 11, 12, 13, 40]))] for i in range(60)}
+    rows = [(run, "keda", t, e, 1.0, 1.0) for run, points in data.items() for t, e in points]
+    samples = spark.createDataFrame(rows, "run_id string, strategy string, timestamp bigint, executor_count int, cpu_millicores double, memory_mib double")
+    found = {r["run_id"]: tuple(r)[2:] for r in ops._order_facts(samples, width).collect()}
+    assert found == {run: facts(points) for run, points in data.items()}
+    plan = ops._order_facts(samples)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("slice#" in line for line in plan.splitlines() if "Window [" in line)
