@@ -1,6 +1,6 @@
 """House-price jobs over cleaned sales."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import match_nulls_join
@@ -9,6 +9,8 @@ from ledgerline.functions.scalars import rounded_ratio, sale_year, to_long
 PRICE_STEP = 10_000
 MIN_SALES = 100
 GAP_PER_MILLE = (100, 500, 900)
+SKETCH_SIZE = 1024
+PART_FIGURES = ["total_sales", "paid", "priced", "max_price", "min_price", "sketch"]
 
 
 def clean_sales(raw: DataFrame) -> DataFrame:
@@ -160,29 +162,73 @@ def affordability_gap(sales: DataFrame, min_sales=MIN_SALES, exact=False) -> Dat
     return _gap_table(price_stats(sales, ["district", "county"], exact, GAP_PER_MILLE), min_sales)
 
 
-def report_stats(sales: DataFrame) -> DataFrame:
-    """The groups of all four price tables from one pass over the sales, told apart by ``result``.
+REPORT_KEYS = ["county", "year", "property_type", "district"]
 
-    The sales are read once and only partial statistics are shuffled; the outcome has one row
-    per group and is small enough to persist for the four writes.
-    """
-    keys = ["county", "year", "property_type", "district"]
+
+def _of_all_tables(sales: DataFrame, figures) -> DataFrame:
+    """result, keys and ``figures`` of the groups of all four price tables, from one pass over the sales."""
     grouped = sales.groupingSets(
-        [["county"], ["year"], ["property_type"], ["district", "county"]], *[F.col(key) for key in keys]
-    )
-    stats = grouped.agg(
-        *_plain_stats(), _sketched(GAP_PER_MILLE), *[F.grouping(key).alias(f"{key}_rolled") for key in keys]
+        [["county"], ["year"], ["property_type"], ["district", "county"]], *[F.col(key) for key in REPORT_KEYS]
     )
+    stats = grouped.agg(*figures, *[F.grouping(key).alias(f"{key}_rolled") for key in REPORT_KEYS])
     result = (
         F.when(F.col("year_rolled") == 0, "by_year")
         .when(F.col("property_type_rolled") == 0, "by_property_type")
         .when(F.col("district_rolled") == 0, "affordability_gap")
         .otherwise("by_county")
     )
+    return stats.withColumn("result", result).drop(*[f"{key}_rolled" for key in REPORT_KEYS])
+
+
+def report_stats(sales: DataFrame) -> DataFrame:
+    """The groups of all four price tables from one pass over the sales, told apart by ``result``.
+
+    The sales are read once and only partial statistics are shuffled; the outcome has one row
+    per group and is small enough to persist for the four writes.
+    """
+    stats = _of_all_tables(sales, [*_plain_stats(), _sketched(GAP_PER_MILLE)])
     points = [F.col("points")[i].alias(f"p{p}") for i, p in enumerate(GAP_PER_MILLE)]
-    return stats.select(
-        result.alias("result"), *keys, "total_sales", "avg_price", "max_price", "min_price", *points
+    return stats.select("result", *REPORT_KEYS, "total_sales", "avg_price", "max_price", "min_price", *points)
+
+
+def report_parts(sales: DataFrame, sketch_size=SKETCH_SIZE) -> DataFrame:
+    """``report_stats`` of some of the sales in figures that add up: counts, sums, extremes and quantile sketches."""
+    figures = [
+        F.count(F.lit(1)).alias("total_sales"), F.sum("price").alias("paid"), F.count("price").alias("priced"),
+        F.max("price").alias("max_price"), F.min("price").alias("min_price"),
+        F.kll_sketch_agg_bigint("price", sketch_size).alias("sketch"),
+    ]
+    return _of_all_tables(sales, figures).select("result", *REPORT_KEYS, *PART_FIGURES)
+
+
+def merged_report(parts: DataFrame) -> DataFrame:
+    """``report_stats`` of all sales that went into ``parts``, in whatever pieces and order.
+
+    Percentiles are those of the merged sketches: exact up to ``sketch_size`` sales of a group, beyond that off by a
+    share of the ranks that shrinks with it (about 0.3 % at 1024, 0.1 % at 4096).
+    """
+    merged = parts.groupBy("result", *REPORT_KEYS).agg(
+        F.sum("total_sales").alias("total_sales"),
+        F.try_divide(F.sum("paid").cast("double"), F.sum("priced")).alias("avg_price"),
+        F.max("max_price").alias("max_price"),
+        F.min("min_price").alias("min_price"),
+        F.kll_merge_agg_bigint("sketch").alias("sketch"),
     )
+    known = F.kll_sketch_get_n_bigint("sketch") > 0
+    points = [
+        F.when(known, F.kll_sketch_get_quantile_bigint("sketch", F.lit(p / 1000))).alias(f"p{p}") for p in GAP_PER_MILLE
+    ]
+    return merged.select("result", *REPORT_KEYS, "total_sales", "avg_price", "max_price", "min_price", *points)
+
+
+def keep_report(sales: DataFrame, folder: str, batch: str, sketch_size=SKETCH_SIZE) -> None:
+    """Add the sales of one delivery to the report kept in ``folder``; a ``batch`` that is added again replaces itself."""
+    report_parts(sales, sketch_size).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def kept_report(spark: SparkSession, folder: str) -> DataFrame:
+    """``report_stats`` of all deliveries in ``folder``, from their parts alone."""
+    return merged_report(spark.read.parquet(folder).drop("batch"))
 
 
 def property_report(stats: DataFrame, min_sales=MIN_SALES) -> dict:

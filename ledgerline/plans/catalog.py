@@ -12,6 +12,7 @@ from ledgerline.operators import builder, quality, reviews, samples, series, usa
 from ledgerline.plans.registry import run
 from ledgerline.schemas import SALE_COLUMNS, SAMPLE_COLUMNS
 from ledgerline.sources import files, tables
+from ledgerline.sources.buckets import bucketed
 from ledgerline.sources.shared import shared_folder
 from ledgerline.streaming import samples as streams
 
@@ -56,6 +57,23 @@ def scored_games(spark, sf_dir):
     return rounded(reviews.scored_games(rounded(reviews.scored_in_any_order(*inputs))))
 
 
+def bucketed_steam_heavy(spark, sf_dir):
+    """The flagship job over reviews and users stored in buckets by user: their join needs no shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = bucketed(tables.reviews(spark, sf_dir), "user_id", buckets, "reviews")
+    known = bucketed(tables.users(spark, sf_dir), "user_id", buckets, "users")
+    return rounded(reviews.score_games(stored, tables.games(spark, sf_dir), known))
+
+
+def kept_property_report(spark, sf_dir):
+    """The price tables merged from stored parts of three deliveries of sales."""
+    folder = shared_folder(spark, "report")
+    sales = tables.sales(spark, sf_dir)
+    for batch, years in (("old", F.col("year") < 1995), ("middle", F.col("year").between(1995, 1996)), ("new", F.col("year") > 1996)):
+        prices.keep_report(sales.filter(years), folder, batch, sketch_size=4096)
+    return rounded(prices.kept_report(spark, folder))
+
+
 def clean_sales(spark, sf_dir):
     cleaned = prices.clean_sales(tables.raw_sales(spark, sf_dir))
     return cleaned.select("transaction_id", "price", "year", "property_type", "district", "county")
@@ -282,5 +300,7 @@ QUERIES = {
     "stream_closed_minutes": stream_closed_minutes,
     "numbered_rejects": numbered_rejects,
     "csv_steam_heavy": csv_steam_heavy,
+    "bucketed_steam_heavy": bucketed_steam_heavy,
+    "kept_property_report": kept_property_report,
     "csv_property_report": csv_property_report,
 }

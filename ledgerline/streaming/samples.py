@@ -111,13 +111,13 @@ def minute_ledger(samples: DataFrame, folder: str, lateness_seconds=30, interval
     closed = samples.sparkSession.read.schema(shape).parquet(f"{folder}/closed")
     figures = [name for name in closed.columns if name not in keys]
     closed = closed.withColumnsRenamed({name: f"closed_{name}" for name in figures})
-    watermark = parts.agg((F.max("last_timestamp") - lateness_seconds).alias("watermark"))
-    seen = merged_minutes(parts).join(F.broadcast(watermark)).join(closed, keys, "left")  # one row
-    is_closed = F.col("minute_end") <= F.col("watermark")
+    watermark = parts.agg(F.max("last_timestamp") - lateness_seconds).scalar()
+    seen = merged_minutes(parts).join(closed, keys, "left").withColumn("closed", F.col("minute_end") <= watermark)
+    is_closed = F.col("closed")
     on_time = F.when(is_closed, F.coalesce("closed_sample_count", F.lit(0))).otherwise(F.col("sample_count"))
     return seen.select(
         *keys,
-        is_closed.alias("closed"),
+        "closed",
         on_time.alias("on_time"),
         (F.col("sample_count") - on_time).alias("late"),
         *[F.when(is_closed, F.col(f"closed_{n}")).otherwise(F.col(n)).alias(n) for n in figures if n != "sample_count"],

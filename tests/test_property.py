@@ -100,3 +100,41 @@ def test_exact_percentiles_equal_percentile_disc(spark):
         *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY price)") for p in (0.1, 0.333, 0.5, 0.9, 1.0)]
     )
     assert found == {tuple(r) for r in wanted.collect()}
+
+
+def random_sales(spark, seed, n):
+    rows = spark.range(n, numPartitions=3).select(
+        F.floor(F.exp(F.randn(seed) + 12)).cast("bigint").alias("price"), (1990 + F.col("id") % 3).cast("int").alias("year"),
+        F.lit("D").alias("property_type"), F.concat(F.lit("d"), F.col("id") % 2).alias("district"), F.lit("KENT").alias("county"),
+    )
+    return spark.createDataFrame(rows.toPandas())
+
+
+def test_kept_report_equals_one_pass_up_to_the_rank_error(spark, tmp_path):
+    deliveries = [random_sales(spark, seed, n) for seed, n in ((1, 30_000), (2, 10), (3, 12_000))]
+    for k, sales in enumerate([*deliveries, deliveries[1]]):  # one comes again
+        ops.keep_report(sales, str(tmp_path), f"b{k % 3 if k < 3 else 1}", 1024)
+    whole = deliveries[0].unionAll(deliveries[1]).unionAll(deliveries[2])
+    keys = ["result", *ops.REPORT_KEYS]
+    found = {tuple(r[k] for k in keys): r for r in ops.kept_report(spark, str(tmp_path)).collect()}
+    exact = {tuple(r[k] for k in keys): r for r in ops.report_stats(whole).collect()}
+    assert set(found) == set(exact)
+    prices = whole.toPandas()
+    for key, row in found.items():
+        own = prices
+        for name, value in zip(ops.REPORT_KEYS, key[1:]):
+            own = own[own[name] == value] if value is not None else own
+        assert (row["total_sales"], row["max_price"], row["min_price"]) == tuple(exact[key][n] for n in ("total_sales", "max_price", "min_price"))
+        assert row["avg_price"] == pytest.approx(exact[key]["avg_price"])
+        for p in ops.GAP_PER_MILLE:
+            low, high = (own["price"] < row[f"p{p}"]).mean(), (own["price"] <= row[f"p{p}"]).mean()
+            assert low - 0.01 <= p / 1000 <= high + 0.01
+
+
+def test_small_groups_have_exact_percentiles_however_they_are_cut(spark, tmp_path):
+    sales = report_sales(spark).select("price", "year", "property_type", "district", "county")
+    for k in range(4):
+        ops.keep_report(sales.filter(F.col("price") % 4 == k), str(tmp_path), f"b{k}")
+    ops.keep_report(sales.limit(0), str(tmp_path), "empty")
+    tables = ops.property_report(ops.kept_report(spark, str(tmp_path)))
+    assert {name: [tuple(r) for r in df.collect()] for name, df in tables.items()} == {**REPORT, "by_property_type": [("F", 200, 300000, 301500.0)]}
