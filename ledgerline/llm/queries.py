@@ -43,7 +43,7 @@ def op1_secret_scan(spark, sf_dir):
 
     return found.select(
         "doc_id", *[count(kind) for kind in secret_scan.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"),
-        joined("spans").alias("spans"), "n_layers",
+        joined("spans").alias("spans"), "n_layers", "stopped",
     )
 
 

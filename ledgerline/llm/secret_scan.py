@@ -36,8 +36,13 @@ BLANKS = str.maketrans("-_", "+/", " \t\r\n")
 #: What a packed stream begins with, wherever it stands in decoded bytes (zlib has too little of it).
 MAGIC = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
 #: Shorter decoded stretches cannot hold a secret, however they are encoded.
-STRETCH = re.compile("[^�]{16}")
+STRETCH = re.compile("[^�]{16,}")
 PIECE = 1 << 22
+#: A character repeated more often than this is no part of a packed stream (their raw blocks are shorter), and a secret or
+#: an encoded run loses nothing but length if it goes on for less; left out are multiples of 12, which keeps alignments.
+LONGEST_REPEAT = 1 << 20
+#: Bytes that one text may unpack to, over all its layers; beyond, the row is marked as stopped.
+MOST_UNPACKED = 1 << 28
 #: Places that no encoded run and no secret goes over, before or after any decoding; a piece may end behind one.
 SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\s"':%\\{}&#;-]|(?<=\s)[A-Za-z]+\x20(?=[A-Za-z])|\n(?=\r?\n)""")
 
@@ -57,6 +62,14 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda span: (span[0], span[2]))
 
 
+@dataclass
+class Meter:
+    """How many bytes a text may still unpack to, and whether it was stopped for want of them."""
+
+    left: int = MOST_UNPACKED
+    stopped: bool = False
+
+
 @dataclass
 class Layer:
     """A decoded text: ``starts`` and ``ends`` are the places in the root of each character, or of the whole (int)."""
@@ -146,7 +159,7 @@ def _unpacks(data: bytes) -> bool:
         return False
 
 
-def _base64_texts(run: str, path: str) -> Iterator[tuple[str, str]]:
+def _base64_texts(run: str, path: str, meter: Meter) -> Iterator[tuple[str, str]]:
     """(text, path) of a run of base64 characters: as a whole, and of blobs that begin or end inside it.
 
     A prefix shifts the characters of a blob by 0 to 3, so the run is decoded in the four alignments; text shows
@@ -156,15 +169,15 @@ def _base64_texts(run: str, path: str) -> Iterator[tuple[str, str]]:
     for shift in range(4):
         data = _from_base64(plain[shift:])
         left = [len(data)]
-        yield from _texts(data, path, shift == 0, left)
+        yield from _texts(data, path, meter, shift == 0, left)
         for found in MAGIC.finditer(data):
             if found.start() and found.start() >= len(data) - left[0]:  # not inside a stream that was read
-                yield from _texts(data[found.start() :], path, False, left)
+                yield from _texts(data[found.start() :], path, meter, False, left)
     for found in re.finditer(r"[/_+-]|\n[ \t]*", run):
         if _decompressor(_from_base64(run[found.end() : found.end() + 8]))[0] != "zlib":
             continue
         if _unpacks(_from_base64(run[found.end() : found.end() + 6000])):
-            yield from _texts(_from_base64(run[found.end() :]), path)
+            yield from _texts(_from_base64(run[found.end() :]), path, meter)
 
 
 def _decompressor(data: bytes):
@@ -216,26 +229,62 @@ def _inflated(name: str, stream, data: bytes, left: list) -> Iterator[bytes]:
         return
 
 
-def _texts(data: bytes, path: str, whole: bool = True, left: list | None = None) -> Iterator[tuple[str, str]]:
+def _texts(data: bytes, path: str, meter: Meter, whole: bool = True, left: list | None = None) -> Iterator[tuple[str, str]]:
     """(text, path) of decoded bytes: themselves, or what they unpack to; bytes that are no UTF-8 become U+FFFD.
 
-    Bytes that do not unpack are left out if no stretch could hold a secret, unless they are UTF-8 and ``whole``.
+    Of bytes that are not all UTF-8, the stretches that could hold a secret are given, with one U+FFFD between. Bytes
+    that do not unpack are left out if there is no such stretch, unless they are UTF-8 and ``whole``.
     """
     name, stream = _decompressor(data)
     if name:
-        yield from _unpacked(name, stream, data, path, [0] if left is None else left)
+        yield from _unpacked(name, stream, data, path, [0] if left is None else left, meter)
     if name not in (None, "zlib"):
         return
     text = data.decode(errors="replace")
-    if STRETCH.search(text) or (whole and not name and text and "\ufffd" not in text):
+    stretches = "\ufffd".join(STRETCH.findall(text))
+    if stretches:
+        yield stretches, path
+    elif whole and not name and text and "\ufffd" not in text:
         yield text, path
 
 
-def _unpacked(name: str, stream, data: bytes, path: str, left: list) -> Iterator[tuple[str, str]]:
+class _Held:
+    """Text that waits for a safe place to end; what goes beyond LONGEST_REPEAT of one character in a row is left out."""
+
+    def __init__(self):
+        self.parts, self.size, self.repeat = [], 0, 0
+
+    def add(self, text: str):
+        if not text:
+            return
+        last = self.parts[-1][-1] if self.parts else ""
+        same = len(text) - len(text.lstrip(last)) if last else 0
+        spare = min(max(0, self.repeat + same - LONGEST_REPEAT), same) // 12 * 12
+        text, same = text[spare:], same - spare
+        if same == len(text):
+            self.repeat += same
+        else:
+            repeat = _repeat(text)
+            spare = max(0, repeat - LONGEST_REPEAT) // 12 * 12
+            text, self.repeat = text[: len(text) - spare], repeat - spare
+        if text:
+            self.parts.append(text)
+            self.size += len(text)
+
+    def keep(self, last: str):
+        self.parts, self.size, self.repeat = [last] if last else [], len(last), _repeat(last)
+
+
+def _repeat(text: str) -> int:
+    """How often the last character of a text is repeated at its end."""
+    return len(text) - len(text.rstrip(text[-1])) if text else 0
+
+
+def _unpacked(name: str, stream, data: bytes, path: str, left: list, meter: Meter) -> Iterator[tuple[str, str]]:
     """(text, path) of a packed stream, in pieces that end where no encoded run or secret is open."""
-    decoder, held, size, packed = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, b""
+    decoder, held, packed = codecs.getincrementaldecoder("utf-8")("replace"), _Held(), b""
     begun = False
-    parts = _inflated(name, stream, data, left)
+    parts = _metered(_inflated(name, stream, data, left), meter)
     for part in parts:
         if not begun:
             packed += part
@@ -243,19 +292,27 @@ def _unpacked(name: str, stream, data: bytes, path: str, left: list) -> Iterator
                 continue
             part, begun = packed, True
             if _decompressor(part)[0]:  # a stream in a stream: its packed bytes are held whole
-                yield from _texts(b"".join([part, *parts]), f"{path}>{name}")
+                yield from _texts(b"".join([part, *parts]), f"{path}>{name}", meter)
                 return
-        text = decoder.decode(part)
-        held.append(text)
-        size += len(text)
-        if size >= PIECE and (cut := _last_safe(text)):
-            yield "".join([*held[:-1], text[:cut]]), f"{path}>{name}"
-            held, size = [text[cut:]], len(text) - cut
-    held.append(decoder.decode(b"" if begun else packed, True))
-    if last := "".join(held):
+        held.add(decoder.decode(part))
+        if held.size >= PIECE and (cut := _last_safe(held.parts[-1])):
+            text = held.parts[-1]
+            yield "".join([*held.parts[:-1], text[:cut]]), f"{path}>{name}"
+            held.keep(text[cut:])
+    held.add(decoder.decode(b"" if begun else packed, True))
+    if last := "".join(held.parts):
         yield last, f"{path}>{name}"
 
 
+def _metered(parts: Iterator[bytes], meter: Meter) -> Iterator[bytes]:
+    for part in parts:
+        if meter.left < len(part):
+            meter.stopped = True
+            return
+        meter.left -= len(part)
+        yield part
+
+
 def _last_safe(text: str) -> int:
     """The end of the last SAFE place of a text, 0 if there is none."""
     width = 1 << 12
@@ -267,7 +324,7 @@ def _last_safe(text: str) -> int:
         width <<= 6
 
 
-def children(layer: Layer) -> Iterator[Layer]:
+def children(layer: Layer, meter: Meter) -> Iterator[Layer]:
     """The layers one decoding below, one at a time."""
     text = layer.text
     if "%" in text and (pieces := _percent_pieces(text)):
@@ -275,31 +332,33 @@ def children(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (pieces := _unicode_pieces(text)):
         yield layer.spliced(pieces, f"{layer.path}>unicode")
     for found in BASE64.finditer(text):
-        blobs = [(found.start(), found.end(), _base64_texts(found.group(), f"{layer.path}>base64"))]
+        blobs = [(found.start(), found.end(), _base64_texts(found.group(), f"{layer.path}>base64", meter))]
         if "\n" in found.group():  # lines of one blob, or blobs on lines of their own
             at = found.start()
             for line in found.group().split("\n"):
                 blob = line.strip(" \t\r")
                 if len(blob) >= 16:
                     start = at + line.index(blob)
-                    blobs.append((start, start + len(blob), _texts(_from_base64(blob), f"{layer.path}>base64")))
+                    blobs.append((start, start + len(blob), _texts(_from_base64(blob), f"{layer.path}>base64", meter)))
                 at += len(line) + 1
         for start, end, decoded in blobs:
             for inner, path in decoded:
                 yield Layer(inner, *layer.root_span(start, end), path)
 
 
-def find(text: str) -> tuple[list, list, int]:
-    """(base spans, all spans, number of layers) of a text.
+def find(text: str, most_unpacked: int = MOST_UNPACKED) -> tuple[list, list, int, bool]:
+    """(base spans, all spans, number of layers, stopped) of a text.
 
     A span is (start, end, kind number, path of decodings). Layers are worked off depth first until none is
     new; a layer is new unless the same text has come from the same place before, so a stream that unpacks to
-    itself ends. A secret in a layer has the span of the characters, or of the blob, that it comes from.
+    itself ends. A secret in a layer has the span of the characters, or of the blob, that it comes from. Unpacking
+    stops for good when the layers together exceed ``most_unpacked`` bytes; what was found until then is given.
     """
+    meter = Meter(most_unpacked)
     base = [(*span, "") for span in scan(text)]
     spans = {(start, end, kind): "" for start, end, kind, _ in base}
     seen, layers = set(), 0
-    work = [children(Layer(text, None, None, ""))]
+    work = [children(Layer(text, None, None, ""), meter)]
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -313,33 +372,35 @@ def find(text: str) -> tuple[list, list, int]:
         layers += 1
         for start, end, kind in scan(layer.text):
             spans.setdefault((*layer.root_span(start, end), kind), layer.path[1:])
-        work.append(children(layer))
+        work.append(children(layer, meter))
     ordered = sorted(((s, e, k, path) for (s, e, k), path in spans.items()), key=lambda x: (x[0], x[2], x[1]))
-    return base, ordered, layers
+    return base, ordered, layers, meter.stopped
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """``docs``, every row and column, and base, spans (arrays of kind, start, finish, layer) and n_layers (long).
+def find_secrets(docs: DataFrame, most_unpacked: int = MOST_UNPACKED) -> DataFrame:
+    """``docs``, every row and column, and base, spans (arrays of kind, start, finish, layer), n_layers (long) and stopped.
 
     ``base`` are the secrets that stand in the text, ``spans`` these and the ones in decoded layers: URL and
     Unicode escapes, base64, and gzip, zlib, bzip2, xz or zstd inside it, in any order and depth. ``layer`` names
     the decodings (empty for base). Offsets are code points of the text, end exclusive, by start, then kind.
     Null and empty texts have none. Whole texts and whole layers are read, an unpacked stream in pieces that end where no encoded
     run is open, so memory is bounded by the text, by one piece or the longest run per level, and by the packed size of
-    a stream inside a stream. A blob may begin or end inside a run of base64 characters, and bytes that are no UTF-8 are skipped. Columns of the three names are replaced.
+    a stream inside a stream. A blob may begin or end inside a run of base64 characters, and bytes that are no UTF-8 are skipped. A
+    character that repeats over a million times in a row is read that often. ``stopped`` marks the rows whose layers
+    unpack to more than ``most_unpacked`` bytes and were not read to the end. Columns of the four names are replaced.
     """
     span = "array<struct<kind:string,start:long,finish:long,layer:string>>"
 
-    @pandas_udf(f"base {span}, spans {span}, n_layers long")
+    @pandas_udf(f"base {span}, spans {span}, n_layers long, stopped boolean")
     def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            base, spans, layers = find(text or "")
-            rows.append((_named(base), _named(spans), layers))
-        return pd.DataFrame(rows, columns=["base", "spans", "n_layers"])
+            base, spans, *rest = find(text or "", most_unpacked)
+            rows.append((_named(base), _named(spans), *rest))
+        return pd.DataFrame(rows, columns=["base", "spans", "n_layers", "stopped"])
 
     with_found = docs.withColumn("_llm_found", found(F.col(TEXT).cast("string")))
-    for name in ("base", "spans", "n_layers"):
+    for name in ("base", "spans", "n_layers", "stopped"):
         with_found = with_found.withColumn(name, F.col(f"_llm_found.{name}"))
     return with_found.drop("_llm_found")
 

@@ -3,7 +3,9 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -59,7 +61,7 @@ WAYS = {
 @pytest.mark.parametrize("path", sorted(WAYS))
 def test_layers(path):
     text = f"é before {WAYS[path]} after é"
-    base, spans, _ = secret_scan.find(text)
+    base, spans, *_ = secret_scan.find(text)
     assert [(s, e, k, "") for s, e, k in plain(text)] == base
     at = text.index(WAYS[path])
     whole = [(s, e) for s, e, kind, layer in spans if kind == 0 and layer == path]
@@ -126,7 +128,7 @@ def test_long_stream_is_read_whole():
 
 def test_ends_on_repeated_layers():
     text = "%2525252541 " + " ".join([b64("plain text here, nothing")] * 50)
-    _, spans, layers = secret_scan.find(text)
+    _, spans, layers, _ = secret_scan.find(text)
     assert spans == [] and layers < 250
 
 
@@ -157,3 +159,49 @@ def test_whole_table(spark, sf_dir):
         assert row["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == i for *_, k in spans) for i in range(3)]
         assert set(named.split(",")) <= set(row["spans"].split(","))
+
+
+PLANTED = "password=abcdefgh12345"
+
+
+@pytest.mark.parametrize("width", [200_000_000, 3 * (1 << 20) + 7])
+def test_a_run_of_one_character_is_read_in_bounded_time(width):
+    """Hundreds of MB of one letter in a few KB, with a secret behind it and an encoded one in front."""
+    inner = base64.b64encode(f"x {PLANTED} x".encode()).decode()
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    packed = packer.compress(f"{inner} ".encode())
+    for at in range(0, width, 1 << 24):
+        packed += packer.compress(b"a" * min(1 << 24, width - at))
+    packed += packer.compress(f" {PLANTED} ".encode()) + packer.flush()
+    text = f"x {base64.b64encode(packed).decode()} y"
+    began = time.process_time()
+    _, spans, _, stopped = secret_scan.find(text)
+    assert time.process_time() - began < 15 and not stopped
+    assert {path for *_, path in spans if path} >= {"base64>gzip"} and {kind for _, _, kind, _ in spans} == {0, 2}
+
+
+def test_repeats_keep_alignments():
+    held = secret_scan._Held()
+    for part in ("ab", "c" * 3_000_000, "c" * 5, "cd", "", "d", "e" * 2_000_000 + "f"):
+        held.add(part)
+    text = "".join(held.parts)
+    assert text.startswith("abcc") and text.endswith("ccdde" + "e" * 1_999_999 + "f")
+    left = len(text.split("d")[0]) - 2
+    assert left <= secret_scan.LONGEST_REPEAT + 24 and (3_000_006 - left) % 12 == 0
+
+
+def test_noise_is_read_in_bounded_time():
+    noise = base64.b64encode(random.Random(1).randbytes(3_000_000)).decode()
+    began = time.process_time()
+    spans = secret_scan.find(f"{noise} {base64.b64encode(PLANTED.encode()).decode()}")[1]
+    assert time.process_time() - began < 15
+    assert (0, "base64") in {(kind, path) for _, _, kind, path in spans}
+
+
+def test_a_text_that_unpacks_to_more_than_the_bound_is_marked(documents):
+    blob = base64.b64encode(gzip.compress(b"ab " * 400_000 + PLANTED.encode())).decode()
+    base, spans, layers, stopped = secret_scan.find(f"{PLANTED} {blob}", most_unpacked=1 << 20)
+    assert stopped and [s[:2] for s in base] == [(0, len(PLANTED))] and (0, len(PLANTED), 0, "") in spans
+    rows = {r["doc_id"]: r["stopped"] for r in secret_scan.find_secrets(documents([(1, blob), (2, "x"), (3, None)]), 1 << 20).collect()}
+    assert rows == {1: True, 2: False, 3: False}
+    assert not secret_scan.find(f"{PLANTED} {blob}")[3]
