@@ -73,10 +73,30 @@ class LanguageModel:
         return self.languages[best], float(found[best])
 
 
-def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, epochs=10, rate=0.05, seed=7) -> LanguageModel:
+@dataclass
+class Shares:
+    """Bucket shares of texts, one row each; only the buckets that a text hits are held."""
+
+    offsets: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def __len__(self):
+        return len(self.offsets) - 1
+
+    def rows(self, numbers) -> np.ndarray:
+        """Some of the rows, with all buckets."""
+        dense = np.zeros((len(numbers), BUCKETS), np.float32)
+        for at, number in enumerate(numbers):
+            part = slice(self.offsets[number], self.offsets[number + 1])
+            dense[at, self.buckets[part]] = self.values[part]
+        return dense
+
+
+def fit(shares: Shares, labels: np.ndarray, languages: list[str], size=16, epochs=10, rate=0.05, seed=7) -> LanguageModel:
     """Train embeddings and softmax by stochastic gradient descent (Adam steps) on two thirds of the rows.
 
-    ``shares`` are the bucket shares of the texts, one row each. The other third sets the softmax temperature
+    A minibatch of ``shares`` is dense, the rest stays sparse. The other third sets the softmax temperature
     with the least log loss (1 at least, so it never sharpens), and the least score accepted: the probability that all but 0.1 % of its
     rightly predicted rows reach, 0.5 at most.
     """
@@ -87,7 +107,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
         held = np.zeros(len(shares), bool)
     learned, target = np.flatnonzero(~held), np.eye(count, dtype=np.float32)
     weights = [
-        random.normal(0, 0.1, (shares.shape[1], size)).astype(np.float32),
+        random.normal(0, 0.1, (BUCKETS, size)).astype(np.float32),
         random.normal(0, 0.1, (size, count)).astype(np.float32),
         np.zeros(count, np.float32),
     ]
@@ -98,7 +118,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
             embedding, linear, bias = weights
-            given = shares[rows]
+            given = shares.rows(rows)
             hidden = given @ embedding
             logits = hidden @ linear + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -112,8 +132,9 @@ def fit(shares: np.ndarray, labels: np.ndarray, languages: list[str], size=16, e
     embedding, linear, bias = (w.astype(np.float64) for w in weights)
     scores = embedding @ linear
     temperature, least = 1.0, 0.5
-    if held.any():
-        logits = np.concatenate([shares[at : at + 256].astype(np.float64) @ scores for at in range(0, len(shares), 256)])[held] + bias
+    tried = np.flatnonzero(held)
+    if len(tried):
+        logits = np.concatenate([shares.rows(tried[at : at + 256]).astype(np.float64) @ scores for at in range(0, len(tried), 256)]) + bias
         chosen = np.arange(len(logits)), labels[held]
 
         def chances(t):
@@ -140,7 +161,9 @@ def train(docs: DataFrame, rows_a_language: int = 600, most_languages: int = 256
     Per language about ``rows_a_language`` documents are drawn by a hash of doc_id and text, of those that
     are not held out, have a lang and have a letter; rarer languages are taken whole. Beyond ``most_languages`` the
     most frequent are learned. What comes to the driver is the counts per language and, for each drawn
-    document, the shares of at most BUCKETS buckets over its whole text: bounded by the two parameters.
+    document, the shares of the buckets that its whole text hits (BUCKETS at most, a few hundred for most): bounded by
+    the two parameters, and held as sparse rows. Rows are ordered by id, lang and a digest of the text, so equal tables give
+    equal models.
     """
     usable = F.col("lang").isNotNull() & F.col(TEXT).isNotNull() & F.col(ID).isNotNull() & ~held_out(F.col(ID))
     pool = docs.select(F.col(ID).cast("long").alias(ID), F.col(TEXT).cast("string").alias(TEXT), F.col("lang").cast("string").alias("lang")).where(usable)
@@ -160,19 +183,23 @@ def train(docs: DataFrame, rows_a_language: int = 600, most_languages: int = 256
         hit = [np.nonzero(c)[0].astype(np.int32) for c in found]
         return pd.DataFrame({"buckets": hit, "counts": [c[h].astype(np.int32) for c, h in zip(found, hit)]})
 
-    drawn = pool.where(draw < chance).select(ID, "lang", counted(TEXT).alias("c")).select(ID, "lang", "c.*")
+    digest = F.xxhash64(TEXT).alias("digest")
+    drawn = pool.where(draw < chance).select(ID, "lang", digest, counted(TEXT).alias("c")).select(ID, "lang", "digest", "c.*")
     table = drawn.where(F.size("buckets") > 0).toArrow()
     count = table.num_rows
     if not count:
         return None
-    table = table.sort_by([(ID, "ascending"), ("lang", "ascending")])
+    table = table.sort_by([(ID, "ascending"), ("lang", "ascending"), ("digest", "ascending")])
     names = table["lang"].to_pylist()
     languages = sorted(set(names))
     order = np.random.default_rng(3).permutation(count)
-    shares = np.zeros((count, BUCKETS), np.float32)
-    for row, at in enumerate(order.tolist()):
+    buckets, values = [], []
+    for at in order.tolist():
         counts = table["counts"][at].values.to_numpy()
-        shares[row, table["buckets"][at].values.to_numpy()] = counts / counts.sum()
+        buckets.append(table["buckets"][at].values.to_numpy())
+        values.append((counts / counts.sum()).astype(np.float32))
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in buckets])])
+    shares = Shares(offsets, np.concatenate(buckets), np.concatenate(values))
     return fit(shares, np.array([languages.index(names[at]) for at in order]), languages)
 
 

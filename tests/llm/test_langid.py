@@ -1,3 +1,5 @@
+import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -67,3 +69,42 @@ def test_one_language(documents):
     ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
     found = langid.identify(documents([(i, f"words of one kind {i}", "en") for i in ids])).collect()
     assert {(r["lang_pred"], r["score"]) for r in found} == {("en", 1.0)}
+
+
+def plain_predict(model, text):
+    """Language and score by looping over the grams of each word and a softmax by hand."""
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    kept = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode())
+    spaced = b" " + b" ".join(kept.split()) + b" "
+    logits, grams = [0.0] * len(model.languages), 0
+    for n in (2, 3, 4):
+        for at in range(len(spaced) - n + 1):
+            gram = spaced[at : at + n]
+            if 32 in gram[1:-1]:
+                continue
+            value = n
+            for b in gram:
+                value = (value * 0x01000193 + b) % 2**32
+            row = model.scores[value * 0x9E3779B1 % 2**32 >> 32 - 13]
+            logits = [x + y for x, y in zip(logits, row)]
+            grams += 1
+    raised = [math.exp((x / max(1, grams) + b) / model.temperature) for x, b in zip(logits, model.bias)]
+    best = max(range(len(raised)), key=lambda k: (raised[k], -k))
+    return model.languages[best], raised[best] / sum(raised)
+
+
+def test_predictions_equal_a_plain_version(labelled, model):
+    rows = [r for r in langid.identify(labelled, model).collect() if len(r["text"] or "") < 3000][:150]
+    for r in rows:
+        language, score = plain_predict(model, r["text"])
+        assert r["lang_pred"] == language and r["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_training_rows_are_sparse_and_in_a_fixed_order(labelled, model):
+    dense = np.zeros((3, langid.BUCKETS), np.float32)
+    dense[0, 5], dense[0, 9], dense[2, 8191] = 0.25, 0.75, 1
+    shares = langid.Shares(np.array([0, 2, 2, 3]), np.array([5, 9, 8191]), np.array([0.25, 0.75, 1], np.float32))
+    assert len(shares) == 3 and np.array_equal(shares.rows([0, 1, 2]), dense) and np.array_equal(shares.rows([2, 0]), dense[[2, 0]])
+    again = langid.train(labelled.repartition(5))
+    assert np.array_equal(again.scores, model.scores) and again.least_score == model.least_score
