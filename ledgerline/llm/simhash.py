@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
         written(least, "least-ids"),  # written, so that a component of a third of all fingerprints can be split
         ["component"],
     ).select("simhash", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(merged, "simhash").select(ID, "simhash", "component_id")
+    # written, so that both sides of the join are plain shuffles and the rows of a hot fingerprint can be split
+    return prints.join(written(merged, "judged-prints"), "simhash").select(ID, "simhash", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
