@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.frames import match_nulls_join
 from ledgerline.functions.scalars import to_float, to_long, weighted_score
+from ledgerline.operators.leaders import most_frequent
 from ledgerline.sources.shared import written
 
 
@@ -40,6 +41,16 @@ def most_active_users(reviews: DataFrame) -> DataFrame:
     return count_by(reviews, "user_id", "review_count").orderBy(F.desc("review_count"), "user_id")
 
 
+def top_games_topk(reviews: DataFrame, k=100) -> DataFrame:
+    """The first k rows of ``top_games``, without a count of every game."""
+    return most_frequent(reviews, "app_id", k)
+
+
+def most_active_users_topk(reviews: DataFrame, k=100) -> DataFrame:
+    """The first k rows of ``most_active_users``, without a count of every user."""
+    return most_frequent(reviews, "user_id", k, "review_count")
+
+
 def app_sentiment(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("app_id").agg(
         F.count_if(F.col("is_recommended") == "true").alias("positive_count"),

@@ -250,6 +250,8 @@ QUERIES = {
     "app_sentiment": _reviews_query(reviews.app_sentiment),
     "sentiment_ratio": _reviews_query(reviews.sentiment_ratio),
     "most_active_users": _reviews_query(reviews.most_active_users),
+    "top_games_topk": _reviews_query(reviews.top_games_topk),
+    "most_active_users_topk": _reviews_query(reviews.most_active_users_topk),
     "scored_games": scored_games,
     "scored_games_topk": scored_games_topk,
     "clean_sales": clean_sales,
