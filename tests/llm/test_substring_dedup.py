@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm.substring_dedup import dedup_units
 
@@ -72,6 +75,23 @@ def test_long_passage_over_documents(documents):
     assert found == {i: (int(i > 0), 2 * int(i > 0)) for i in range(50)}
 
 
+def test_listing_with_many_repeats(spark):
+    """Time grows with the repeats of a document, not with their square: over a minute for this one before."""
+    n = 60_000
+    line = lambda i: F.concat(F.lit("entry "), i.cast("string"), F.lit(" of a listing that goes on for rather more than eighty characters " + "x" * 30))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), line), "\n\n")
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), text.alias("text"))
+    began = time.time()
+    found = {r["doc_id"]: (r["n_removed"], r["n_repeated"], r["kept_chars"]) for r in dedup_units(docs).drop("text", "removed").collect()}
+    assert time.time() - began < 40
+    assert found[1] == (n, n, n - 2) and found[0][:2] == (0, 0)
+
+
+def test_texts_that_lose_nothing_do_not_pass_through_python(documents):
+    plan = dedup_units(documents(ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [without(CASE WHEN") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_empty_table(documents):
     assert dedup_units(documents([])).count() == 0
 
